@@ -81,7 +81,7 @@ def eligible(gates: DataFrame, key: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("gate_count"),
         F.count_if(F.col("status") == "passed").alias("passed_count"),
         F.bool_and(F.col("status") == "passed").alias("eligible"),
-    ).withColumn("scientific_acceptance_status", F.when("eligible", "accepted").otherwise("blocked"))
+    ).withColumn("scientific_acceptance_status", F.when(F.col("eligible"), "accepted").otherwise("blocked"))
 
 
 def metadata_contract(observed: DataFrame, expected: DataFrame, key: Sequence[str]) -> DataFrame:
