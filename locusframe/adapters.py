@@ -139,8 +139,8 @@ def sam_lines(spark: SparkSession, folder: str) -> DataFrame:
         .when(F.col("h"), F.when(k == 0, 73).otherwise(133))
         .when(key % 3 == 0, F.when(k == 0, 65).otherwise(129))
         .otherwise(F.when(k == 0, 99).otherwise(147)))
-    name = F.concat(F.lit("chr"), (customer + k) % suppliers)
-    # A quarter of the pairs piles up on one locus.
+    # A quarter of the pairs piles up on one locus of three sequences.
+    name = F.concat(F.lit("chr"), F.when(key % 4 == 0, customer % 3).otherwise((customer + k) % suppliers))
     place = F.when(key % 4 == 0, 20001 + key % 97 + k * 20).otherwise((key * 37 + k * 20) % 59000 + 1)
     copies = F.when(key % 17 == 0, F.lit("")).otherwise(
         F.concat(F.lit("\tNH:i:"), F.when((key % 7 == 0) | (k == 2), 2).otherwise(1)))

@@ -27,7 +27,10 @@ def operations(cigar: Column | str) -> Column:
 
 
 def has_operation(cigar: Column | str, letters: tuple[str, ...], at_least: int) -> Column:
-    return F.exists(operations(cigar), lambda o: o["op"].isin(*letters) & (o["n"] >= at_least))
+    cigar = F.col(cigar) if isinstance(cigar, str) else cigar
+    occurs = cigar.rlike("[" + "".join(letters) + "]")
+    return occurs & F.exists(
+        operations(cigar), lambda o: o["op"].isin(*letters) & (o["n"] >= at_least))
 
 
 def blocks(cigar: Column | str, pos1: Column) -> Column:

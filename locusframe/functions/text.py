@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 def percent_decode(text: Column) -> Column:
     """Percent-decoding in which ``+`` and malformed escapes stay as they are."""
     kept = F.regexp_replace(text, r"%(?![0-9A-Fa-f]{2})", "%25")
-    return F.url_decode(F.replace(kept, F.lit("+"), F.lit("%2B")))
+    decoded = F.url_decode(F.replace(kept, F.lit("+"), F.lit("%2B")))
+    return F.when(F.contains(text, F.lit("%")), decoded).otherwise(text)
 
 
 def squeezed(text: Column | str) -> Column:

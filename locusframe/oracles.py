@@ -199,7 +199,8 @@ SAM = """sam AS (
       WHEN h THEN CASE k WHEN 0 THEN 73 ELSE 133 END
       WHEN o_orderkey % 3 = 0 THEN CASE k WHEN 0 THEN 65 ELSE 129 END
       ELSE CASE k WHEN 0 THEN 99 ELSE 147 END END AS flag,
-    CASE WHEN lost THEN '*' ELSE concat('chr', (o_custkey + k) % (SELECT count(*) FROM supplier)) END AS rname,
+    CASE WHEN lost THEN '*' WHEN o_orderkey % 4 = 0 THEN concat('chr', o_custkey % 3)
+      ELSE concat('chr', (o_custkey + k) % (SELECT count(*) FROM supplier)) END AS rname,
     CASE WHEN lost THEN 0 WHEN o_orderkey % 4 = 0 THEN 20001 + o_orderkey % 97 + k*20
       ELSE (o_orderkey*37 + k*20) % 59000 + 1 END AS pos,
     CASE WHEN lost THEN '*' ELSE ['10M','5M10N5M','25S5M','4M22I4M','6M30D6M','3M7N4M9N3M'][(o_orderkey + k) % 6 + 1] END AS cigar,

@@ -65,7 +65,8 @@ def cluster_members(spark, d):
 @query
 def gap_neighbours(spark, d):
     entities = A.entities(spark, d)
-    return IV.gap_neighbours(IV.gaps(entities), entities)
+    return IV.gap_neighbours(cut_lineage(IV.gap_spans(entities).withColumn(
+        "region_id", IV.region_id("intergenic"))), entities)
 
 
 @query
@@ -196,7 +197,7 @@ def ancestor_closure(spark, d):
 
 @query
 def normalized_entities(spark, d):
-    entities = AN.functional_entities(_annotation(spark, d))
+    entities = AN.functional_entities(cut_lineage(_annotation(spark, d)))
     return entities.withColumns({
         "start_range": F.array_join("start_range", ","), "end_range": F.array_join("end_range", ",")
     }).drop("source_feature_ids", "five_prime_conf", "three_prime_conf")
@@ -218,7 +219,7 @@ def abnormal_order(spark, d):
 
 @query
 def entity_boundary_summary(spark, d):
-    return ST.entity_boundary_summary(AN.functional_entities(_annotation(spark, d)))
+    return ST.entity_boundary_summary(AN.functional_entities(cut_lineage(_annotation(spark, d))))
 
 
 @query
