@@ -9,11 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusframe.session import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def rows(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows get much work each, spread over all slots."""
+    return spread(table(spark, folder, name))
+
+
 def entities(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as stranded intervals, one sequence per supplier."""
     start = (F.col("l_orderkey") * 37 + F.col("l_linenumber") * 11) % 60000
@@ -65,7 +72,7 @@ def zones(spark: SparkSession, folder: str) -> DataFrame:
 
 def documents_as_bases(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as sequences: their letters A, C, G, T and N in upper case."""
-    return table(spark, folder, "documents").select(
+    return rows(spark, folder, "documents").select(
         F.concat(F.lit("doc"), "doc_id").alias("seqid"),
         F.lit(0).cast("bigint").alias("start_pos"),
         F.regexp_replace(F.upper("text"), "[^ACGTN]", "").alias("bases"),
@@ -79,7 +86,7 @@ def document_sequences(spark: SparkSession, folder: str) -> DataFrame:
 
 def gff_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as genes and events as their children, as GFF3 text lines."""
-    orders, events = table(spark, folder, "orders"), table(spark, folder, "events")
+    orders, events = rows(spark, folder, "orders"), rows(spark, folder, "events")
     key = F.col("o_orderkey")
     start = (key * 37) % 50000 + 1
     gene_attributes = F.concat(
@@ -126,7 +133,7 @@ def sam_lines(spark: SparkSession, folder: str) -> DataFrame:
     unmapped = key % 11 == 0
     half = key % 13 == 0
     third = F.when(customer % 5 == 0, 355).when(customer % 5 == 1, 2147)
-    records = table(spark, folder, "orders").select(
+    records = rows(spark, folder, "orders").select(
         key, customer, unmapped.alias("u"), half.alias("h"),
         F.explode(F.array_compact(F.array(F.lit(0), F.lit(1), F.when(third.isNotNull(), 2)))).alias("k"),
         third.alias("third"))

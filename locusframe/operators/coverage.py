@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.functions import cigar as C
-from locusframe.operators.intervals import KEYS, overlap_join
+from locusframe.operators.intervals import BIN_BITS, KEYS, overlap_join
 from locusframe.operators.scans import prefix_scan
 from locusframe.operators.stats import exact_median
 
@@ -157,7 +157,7 @@ def ordered_outliers(found: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def window_coverage(
-    runs: DataFrame, windows: DataFrame, keys: Sequence[str] = KEYS
+    runs: DataFrame, windows: DataFrame, keys: Sequence[str] = KEYS, bits: int = BIN_BITS
 ) -> DataFrame:
     """Covered bases, mean and maximum depth of named windows.
 
@@ -168,7 +168,9 @@ def window_coverage(
     named = [*keys, "window_id", "start_pos", "end_pos"]
     renamed = runs.where("depth > 0").select(
         *keys, F.col("start_pos").alias("run_start"), F.col("end_pos").alias("run_end"), "depth")
-    hits = overlap_join(windows.select(*named), renamed, keys, right_span=("run_start", "run_end"))
+    hits = overlap_join(
+        windows.select(*named), renamed, keys, right_span=("run_start", "run_end"),
+        bits=bits)
     shared = F.least("end_pos", "run_end") - F.greatest("start_pos", "run_start")
     sums = hits.groupBy(*named).agg(
         F.sum(shared).alias("covered_bases"),

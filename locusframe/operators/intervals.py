@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from locusframe.operators.scans import prefix_scan
 
 KEYS = ("seqid",)
-BIN_BITS = 14
+BIN_BITS = 14  # 16 kb: about the length of a long gene
 
 
 # --- neighbour facts -------------------------------------------------------
@@ -375,7 +376,23 @@ def start_in_interval(
     )
 
 
-def overlapping_entities(entities: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def fitting_bits(*sides: tuple[DataFrame, str, str]) -> int:
+    """Bin width, as a power of two, that fits the mean interval length.
+
+    With bins at least as wide as the mean of either side, binning emits at
+    most two rows per interval on average, and a bin holds few intervals that
+    do not overlap.  Costs one scan of two columns per side.
+    """
+    widest = 1.0
+    for df, start, end in sides:
+        mean = df.agg(F.avg(F.col(end) - F.col(start))).first()[0]
+        widest = max(widest, mean or 1.0)
+    return max(1, math.ceil(math.log2(widest)))
+
+
+def overlapping_entities(
+    entities: DataFrame, keys: Sequence[str] = KEYS, bits: int = BIN_BITS
+) -> DataFrame:
     """Overlapping or nested entity pairs, the earlier one on the left.
 
     The right member starts inside the left one, so only the left side is
@@ -389,7 +406,7 @@ def overlapping_entities(entities: DataFrame, keys: Sequence[str] = KEYS) -> Dat
         F.col("end_pos").alias("right_end"),
     )
     left = entities.select(*keys, "entity_id", "start_pos", "end_pos")
-    pairs = start_in_interval(left, later, keys, "right_start")
+    pairs = start_in_interval(left, later, keys, "right_start", bits)
     earlier = F.struct("start_pos", "end_pos", "entity_id") < F.struct(
         F.col("right_start").alias("start_pos"),
         F.col("right_end").alias("end_pos"),
@@ -433,7 +450,8 @@ def subtract_cuts(cuts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def subtract(
-    spans: DataFrame, cuts: DataFrame, keys: Sequence[str] = KEYS, span_keys: Sequence[str] = ()
+    spans: DataFrame, cuts: DataFrame, keys: Sequence[str] = KEYS, span_keys: Sequence[str] = (),
+    bits: int = BIN_BITS,
 ) -> DataFrame:
     """Interval subtraction of ``cuts`` from ``spans`` on the same sequence.
 
@@ -444,7 +462,7 @@ def subtract(
     spans = spans.where("end_pos > start_pos").select(*keys, *span_keys, "start_pos", "end_pos")
     renamed = cuts.select(
         *keys, F.col("start_pos").alias("cut_start"), F.col("end_pos").alias("cut_end"))
-    hit = overlap_join(spans, renamed, keys).select(
+    hit = overlap_join(spans, renamed, keys, bits=bits).select(
         *keys,
         *span_keys,
         F.col("start_pos").alias("span_start"),

@@ -84,14 +84,15 @@ def conservation(spark, d):
 
 @query
 def overlap_pairs(spark, d):
-    return IV.overlapping_entities(A.entities(spark, d))
+    return IV.overlapping_entities(A.entities(spark, d), bits=6)
 
 
 @query
 def zone_overlaps(spark, d):
     zones = A.zones(spark, d).select(
         "seqid", F.col("start_pos").alias("z_start"), F.col("end_pos").alias("z_end"), "ordinal")
-    hits = IV.overlap_join(IV.gaps(A.entities(spark, d)), zones, ["seqid"], right_span=("z_start", "z_end"))
+    hits = IV.overlap_join(IV.gaps(A.entities(spark, d)), zones, ["seqid"],
+        right_span=("z_start", "z_end"), bits=8)
     return hits.select(
         "seqid", "region_id", "ordinal", F.greatest("start_pos", "z_start").alias("cut_start"),
         F.least("end_pos", "z_end").alias("cut_end"))
@@ -100,7 +101,7 @@ def zone_overlaps(spark, d):
 @query
 def interval_subtraction(spark, d):
     gaps = cut_lineage(IV.gaps(A.entities(spark, d)))
-    return IV.subtract(gaps, A.zones(spark, d), span_keys=["region_id"])
+    return IV.subtract(gaps, A.zones(spark, d), span_keys=["region_id"], bits=8)
 
 
 @query
@@ -278,7 +279,7 @@ def sequence_statistics(spark, d):
 
 def _candidates(spark: SparkSession, d: str) -> tuple[DataFrame, RU.CandidateResult]:
     regions = cut_lineage(IV.gaps(A.entities(spark, d)))
-    return regions, RU.candidate_windows(regions, 5, 10, zones=A.zones(spark, d))
+    return regions, RU.candidate_windows(regions, 5, 10, zones=A.zones(spark, d), bits=8)
 
 
 @query

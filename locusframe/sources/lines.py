@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from locusframe.errors import ContractError
+from locusframe.session import spread
+
 # One offset row per input split; above this many the offsets are shuffled.
 BROADCAST_SPLITS = 1_000_000
 
@@ -34,14 +37,12 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     splits = raw.rdd.getNumPartitions() + len(raw.inputFiles())
     if splits <= BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
-    return raw.join(offsets, ["file", "block"]).select(
-        "file", (F.col("row") + F.col("offset")).alias("line_number"), "value")
+    return spread(raw.join(offsets, ["file", "block"]).select(
+        "file", (F.col("row") + F.col("offset")).alias("line_number"), "value"))
 
 
 def assert_empty(violations: DataFrame, columns: tuple[str, ...] = ("file", "line_number")) -> None:
     """Raise ``ContractError`` with the first violation, if there is one."""
-    from locusframe.errors import ContractError
-
     known = [c for c in columns if c in violations.columns]
     first = violations.orderBy(*known).limit(1).collect()
     if first:
