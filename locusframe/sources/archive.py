@@ -35,22 +35,25 @@ EXPERIMENT = f"""
 def read_experiments(spark: SparkSession, path: str) -> DataFrame:
     """One row per run of every experiment package."""
     raw = spark.read.format("xml").schema(EXPERIMENT).option("rowTag", "EXPERIMENT_PACKAGE").load(path)
-    library = "EXPERIMENT.DESIGN.LIBRARY_DESCRIPTOR"
-    biosample = F.filter("SAMPLE.IDENTIFIERS.EXTERNAL_ID", lambda x: x["_namespace"] == "BioSample")
-    tags = F.coalesce(F.col("SAMPLE.SAMPLE_ATTRIBUTES.SAMPLE_ATTRIBUTE"), F.expr(
+    library = "e.DESIGN.LIBRARY_DESCRIPTOR"
+    biosample = F.filter("s.IDENTIFIERS.EXTERNAL_ID", lambda x: x["_namespace"] == "BioSample")
+    tags = F.coalesce(F.col("s.SAMPLE_ATTRIBUTES.SAMPLE_ATTRIBUTE"), F.expr(
         "CAST(array() AS ARRAY<STRUCT<TAG: STRING, VALUE: STRING>>)"))
     layout = (
         F.when(F.col(f"{library}.LIBRARY_LAYOUT.PAIRED").isNotNull(), "PAIRED")
         .when(F.col(f"{library}.LIBRARY_LAYOUT").isNotNull(), "SINGLE"))
-    return raw.withColumn("r", F.explode("RUN_SET.RUN")).select(
+    named = raw.select(
+        F.col("EXPERIMENT").alias("e"), F.col("STUDY").alias("st"), F.col("SAMPLE").alias("s"),
+        F.explode("RUN_SET.RUN").alias("r"))
+    return named.select(
         F.col("r._accession").alias("run"),
-        F.col("EXPERIMENT._accession").alias("experiment"),
+        F.col("e._accession").alias("experiment"),
         F.get(biosample, F.lit(0))["_VALUE"].alias("sample"),
-        F.col("SAMPLE._accession").alias("archive_sample"),
-        F.coalesce("EXPERIMENT.STUDY_REF._accession", "STUDY._accession").alias("study"),
-        F.col("SAMPLE.DESCRIPTION").alias("sample_description"),
-        F.col("SAMPLE.SAMPLE_NAME.SCIENTIFIC_NAME").alias("organism"),
-        F.col("EXPERIMENT.DESIGN.DESIGN_DESCRIPTION").alias("design"),
+        F.col("s._accession").alias("archive_sample"),
+        F.coalesce("e.STUDY_REF._accession", "st._accession").alias("study"),
+        F.col("s.DESCRIPTION").alias("sample_description"),
+        F.col("s.SAMPLE_NAME.SCIENTIFIC_NAME").alias("organism"),
+        F.col("e.DESIGN.DESIGN_DESCRIPTION").alias("design"),
         F.col(f"{library}.LIBRARY_STRATEGY").alias("strategy"),
         F.col(f"{library}.LIBRARY_SOURCE").alias("library_source"),
         F.col(f"{library}.LIBRARY_SELECTION").alias("selection"),
@@ -58,7 +61,7 @@ def read_experiments(spark: SparkSession, path: str) -> DataFrame:
         F.array_compact(F.array(
             f"{library}.LIBRARY_STRATEGY", f"{library}.LIBRARY_SELECTION",
             f"{library}.LIBRARY_CONSTRUCTION_PROTOCOL")).alias("library_texts"),
-        F.col("EXPERIMENT.PLATFORM.ILLUMINA.INSTRUMENT_MODEL").alias("instrument"),
+        F.col("e.PLATFORM.ILLUMINA.INSTRUMENT_MODEL").alias("instrument"),
         F.map_from_arrays(
             F.array_distinct(F.transform(tags, lambda t: t["TAG"])),
             F.transform(F.array_distinct(F.transform(tags, lambda t: t["TAG"])), lambda k: F.element_at(
