@@ -72,11 +72,11 @@ def zones(spark: SparkSession, folder: str) -> DataFrame:
 
 def documents_as_bases(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as sequences: their letters A, C, G, T and N in upper case."""
-    return rows(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents").select(
         F.concat(F.lit("doc"), "doc_id").alias("seqid"),
         F.lit(0).cast("bigint").alias("start_pos"),
         F.regexp_replace(F.upper("text"), "[^ACGTN]", "").alias("bases"),
-    )
+    ))
 
 
 def document_sequences(spark: SparkSession, folder: str) -> DataFrame:

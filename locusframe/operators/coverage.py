@@ -70,18 +70,18 @@ def profile(runs: DataFrame, sequences: DataFrame, keys: Sequence[str] = KEYS) -
     mentions count as depth zero.
     """
     keys = list(keys)
-    known = runs.join(sequences.select(*keys, "length"), keys)
-    histogram = known.groupBy(*keys, "depth").agg(
-        F.sum(F.col("end_pos") - F.col("start_pos")).alias("n"))
-    listed = histogram.groupBy(*keys).agg(F.sum("n").alias("listed"))
-    zeros = (
-        sequences.select(*keys, "length").join(listed, keys, "left")
-        .select(*keys, F.lit(0).cast("bigint").alias("depth"),
-                (F.col("length") - F.coalesce("listed", F.lit(0))).alias("n"))
-        .where("n > 0")
-    )
-    full = histogram.withColumn("depth", F.col("depth").cast("bigint")).unionByName(zeros).groupBy(
-        *keys, "depth").agg(F.sum("n").alias("n"))
+    width = F.col("end_pos") - F.col("start_pos")
+
+    def weight(depth, n):
+        return F.struct(depth.cast("bigint").alias("depth"), n.cast("bigint").alias("n"))
+
+    # Every sequence starts as all zeros; a run moves its width to its depth.
+    zero = F.lit(0)
+    moved = runs.join(sequences.select(*keys), keys, "left_semi").select(*keys, F.explode(F.array(
+        weight(F.col("depth"), width), weight(zero, -width))).alias("w"))
+    start = sequences.select(*keys, weight(zero, F.col("length")).alias("w"))
+    full = moved.unionByName(start).groupBy(*keys, F.col("w.depth").alias("depth")).agg(
+        F.sum("w.n").alias("n")).where("n > 0")
     ranked = prefix_scan(full, keys, "depth", {"n_below": ("sum", "n"), "n_total": ("total", "n")})
 
     def at(rank):
