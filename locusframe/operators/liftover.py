@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,7 @@ from locusframe.functions.sequence import flip_strand, reverse_complement
 from locusframe.operators.scans import ordered_index
 from locusframe.operators.sequences import extract_sequence
 from locusframe.operators.stats import MAPPING_STATUSES, counts_over_domain
+from locusframe.session import cut_lineage
 from locusframe.sources.fasta import CHUNK_BITS
 
 # Reason texts of the mapping results.
@@ -25,6 +28,9 @@ REASON_ADJACENCY = (
 )
 HIT_CAP = 3
 
+# Rows of a broadcast part of the probes: about 200 MB of 101-base anchors.
+PROBES_PER_PART = 1_000_000
+
 
 # --- probe selection -------------------------------------------------------
 
@@ -68,30 +74,35 @@ def first_middle_last(regions: DataFrame, keys: Sequence[str] = ("seqid",)) -> D
 def kmer_starts(
     chunks: DataFrame, k: int, keys: Sequence[str] = ("seqid",), chunk_bits: int = CHUNK_BITS
 ) -> DataFrame:
-    """Every start position of every sequence with the hash of its k-mer.
+    """Every start position of every sequence with its k-mer.
 
-    A chunk is extended by the head of the next one, so no k-mer is lost at a
-    chunk border.  The bases are read as bytes: byte slices cost their own
-    length, character slices would cost their distance from the chunk start.
+    k-mers inside a chunk come straight from it, without a shuffle.  Those
+    over a chunk border come from the last ``k - 1`` bases of one chunk and
+    the first ``k - 1`` of the next; only these ends travel.  The bases are
+    read as bytes: a byte slice costs its own length, a character slice would
+    cost its distance from the chunk start.
     """
     keys = list(keys)
     size = 1 << chunk_bits
     if k - 1 > size:
         raise ValueError("k must not exceed the chunk size")
-    heads = chunks.where("chunk_no > 0").select(
-        *keys, (F.col("chunk_no") - 1).alias("chunk_no"), F.lit(1).alias("part"),
-        F.left("bases", F.lit(k - 1)).alias("bases"))
-    whole = chunks.select(*keys, "chunk_no", F.lit(0).alias("part"), "bases")
-    joined = whole.unionByName(heads).groupBy(*keys, "chunk_no").agg(
-        F.max(F.when(F.col("part") == 0, F.col("bases"))).alias("body"),
-        F.max(F.when(F.col("part") == 1, F.col("bases"))).alias("tail"))
-    text = joined.select(*keys, "chunk_no", F.concat("body", F.coalesce("tail", F.lit(""))).alias("bases"))
-    starts = text.where(F.length("bases") >= k).select(
-        *keys, "chunk_no", F.col("bases").cast("binary").alias("raw"),
+    edge = F.lit(k - 1)
+    tails = chunks.select(*keys, (F.col("chunk_no") + 1).alias("border"),
+                          F.right("bases", edge).alias("tail"), F.lit(None).cast("string").alias("head"))
+    heads = chunks.select(*keys, F.col("chunk_no").alias("border"),
+                          F.lit(None).cast("string").alias("tail"), F.left("bases", edge).alias("head"))
+    borders = tails.unionByName(heads.where("border > 0")).groupBy(*keys, "border").agg(
+        F.max("tail").alias("tail"), F.max("head").alias("head")
+    ).where("tail IS NOT NULL AND head IS NOT NULL")
+    texts = chunks.select(*keys, (F.col("chunk_no") * size).alias("origin"), "bases").unionByName(
+        borders.select(*keys, (F.col("border") * size - F.length("tail")).alias("origin"),
+                       F.concat("tail", "head").alias("bases")))
+    starts = texts.where(F.length("bases") >= k).select(
+        *keys, "origin", F.col("bases").cast("binary").alias("raw"),
         F.explode(F.sequence(F.lit(0), F.length("bases") - k)).alias("i"))
-    kmer = F.substring("raw", F.col("i") + 1, F.lit(k))
     return starts.select(
-        *keys, (F.col("chunk_no") * size + F.col("i")).alias("pos"), kmer.alias("kmer"))
+        *keys, (F.col("origin") + F.col("i")).alias("pos"),
+        F.substring("raw", F.col("i") + 1, F.lit(k)).alias("kmer"))
 
 
 def anchor_hits(
@@ -101,24 +112,30 @@ def anchor_hits(
     """Exact occurrences of each anchor on both strands: count and first hit.
 
     ``anchors`` has ``anchor`` (length ``k``).  Distinct anchors and their
-    reverse complements are probed with every target start; Spark broadcasts
-    them when they are small.  Hits are only counted and minimised per anchor,
+    reverse complements are written, counted and cut by hash into parts small
+    enough to broadcast, so the target's k-mers are never shuffled: the target
+    is scanned once per part.  Hits are only counted and minimised per anchor,
     so an anchor that matches a third of the target combines map-side.  The
     first hit follows sequence name, then strand, then position.
     """
     keys = list(keys)
     distinct = anchors.select("anchor").where(F.length("anchor") == k).distinct()
     backward = reverse_complement("anchor")
-    probes = distinct.select("anchor", F.explode(F.array(
+    probes = cut_lineage(distinct.select("anchor", F.explode(F.array(
         F.struct(F.col("anchor").alias("q"), F.lit("+").alias("o")),
         F.struct(backward.alias("q"), F.lit("-").alias("o")),
     )).alias("p")).select(
-        "anchor", F.col("p.o").alias("hit_orientation"), F.col("p.q").cast("binary").alias("kmer"))
+        "anchor", F.col("p.o").alias("hit_orientation"), F.col("p.q").cast("binary").alias("kmer")))
+    parts = max(1, math.ceil(probes.count() / PROBES_PER_PART))
     order = F.struct(
         *[F.col(c) for c in keys],
         F.when(F.col("hit_orientation") == "+", 0).otherwise(1).alias("strand_order"),
         F.col("pos").alias("pos"))
-    found = kmer_starts(chunks, k, keys, chunk_bits).join(probes, "kmer").groupBy("anchor").agg(
+    kmers = kmer_starts(chunks, k, keys, chunk_bits)
+    part = F.pmod(F.xxhash64("kmer"), F.lit(parts))
+    matched = functools.reduce(DataFrame.unionByName, [
+        kmers.join(F.broadcast(probes.where(part == i)), "kmer") for i in range(parts)])
+    found = matched.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("hits"), F.min(order).alias("first"))
     return found.select(
         "anchor", "hits", F.least("hits", F.lit(HIT_CAP)).alias("capped_hits"),

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime settings every job relies on.  Adaptive execution sizes the reduce
 # side from measured map output and splits skewed join partitions; the forced
@@ -53,6 +54,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Broadcast a *written* table of narrow rows, if a count proves it small.
+
+    Without the hint both sides of a join are shuffled before their sizes are
+    known; a table above the bound is joined that way.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Repartition input that has fewer partitions than the cluster has slots.
 

@@ -224,7 +224,9 @@ def test_edge_gene_and_capped_hits(spark):
     assert (found["many"]["start_anchor_hit_count"], found["many"]["mapping_status"]) == (3, "uncertain")
 
 
-def test_overlapping_hits_count(spark):
+@pytest.mark.parametrize("per_part", [1, 1000])
+def test_overlapping_hits_count(spark, monkeypatch, per_part):
+    monkeypatch.setattr(LO, "PROBES_PER_PART", per_part)
     chunks, _ = store(spark, {"t": "A" * 20}, 3)
     anchors = spark.createDataFrame([("AAAAA",), ("TTTTT",), ("CCCCC",)], "anchor STRING")
     found = {r["anchor"]: r for r in LO.anchor_hits(anchors, chunks, 5, chunk_bits=3).collect()}
