@@ -572,4 +572,29 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN NOT one THEN 10 WHEN two THEN 70 ELSE 40 END AS target_end, one AND two AS coordinate_valid,
             CASE WHEN one AND two THEN round(m / 50.0::DOUBLE, 6) END AS reference_identity
           FROM ok LEFT JOIN cmp ON cmp.seqid = ok.seqid"""),
+        "fasta_export": _w(BASES, """SELECT format('>{0} seqid={0} start=0 end={1} length={1}', seqid, length(bases)) || chr(10) ||
+          array_to_string(list_transform(range((length(bases) + 69) // 70), lambda i: substr(bases, i*70 + 1, 70)), chr(10)) AS value
+          FROM bases WHERE length(bases) > 0"""),
+        "gene_list_positions": """SELECT concat('G', o_orderkey // 2) AS gene_id, CAST(o_custkey % 7 AS VARCHAR) AS seqid,
+          o_orderkey AS first, o_orderkey + CASE WHEN o_orderkey % 3 = 2 THEN 60 ELSE 9 END AS last,
+          CASE WHEN o_orderkey % 3 = 1 THEN '-' ELSE '+' END AS strand
+          FROM orders WHERE o_orderkey IN (SELECT max(o_orderkey) FROM orders GROUP BY o_orderkey // 2)""",
+        "header_compatibility": """SELECT concat('chr', s_suppkey) AS rname, concat('chr', s_suppkey) AS seqid,
+          60100 + (s_suppkey % 3) * 2147483648 + CAST(s_suppkey % 4 = 0 AS INT) AS declared_length,
+          60100 + CAST(s_suppkey % 4 = 0 AS INT) AS normalized_length, 60100 AS target_length, s_suppkey % 4 <> 0 AS length_identity FROM supplier""",
+        "source_status": """SELECT c_custkey AS source_id, CASE WHEN c_custkey % 5 = 0 THEN 'unavailable' WHEN r = '' THEN 'qualified' ELSE 'unqualified' END AS qualification_status,
+          CASE WHEN c_custkey % 5 = 0 THEN 'source file could not be obtained or verified'
+            WHEN r = '' THEN 'same primary coordinate space with sufficiently explicit boundaries' ELSE r END AS reasons FROM (
+          SELECT c_custkey, concat_ws('|', CASE WHEN c_custkey % 3 = 0 THEN 'same upstream annotation or coordinate mirror; not independent evidence' END,
+            CASE WHEN c_mktsegment <> 'BUILDING' THEN 'different strain; cannot directly define BUILDING primary-coordinate boundaries' END,
+            CASE WHEN c_custkey % 7 <> 0 AND abs(c_acctbal) / 10000 > 0.5 THEN 'systematic partial gene boundaries exceed 50 percent' END,
+            CASE WHEN c_custkey % 2 = 1 THEN 'requires explicit mapping to the locked primary assembly' END,
+            CASE WHEN c_custkey % 5 = 1 THEN 'metadata does not provide an independently qualified boundary file' END) AS r FROM customer)""",
+        "engineering_screen": """SELECT run_id, round(a, 6) AS vector_fraction_all, round(u, 6) AS vector_fraction_unmapped, round(o, 6) AS outlier_fraction,
+          a >= 0.2 OR u >= 0.3 AS global_vector_signal, o >= 0.5 AS widespread_high_depth,
+          CASE WHEN a >= 0.2 OR u >= 0.3 OR o >= 0.5 THEN 'global or widespread signal detected' ELSE 'no global signal' END AS conclusion FROM (
+          SELECT o_custkey AS run_id, count(*) FILTER (WHERE o_totalprice > 450000) / CAST(count(*) AS DOUBLE) AS a,
+            coalesce(count(*) FILTER (WHERE o_orderstatus = 'F' AND o_totalprice > 450000) / CAST(nullif(count(*) FILTER (WHERE o_orderstatus = 'F'), 0) AS DOUBLE), 0) AS u,
+            coalesce(count(*) FILTER (WHERE o_orderpriority < '2') / CAST(nullif(count(*) FILTER (WHERE o_orderpriority < '4'), 0) AS DOUBLE), 0) AS o
+          FROM orders GROUP BY o_custkey)""",
     }

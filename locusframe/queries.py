@@ -16,10 +16,12 @@ from locusframe.operators import (
 )
 from locusframe.operators.sequences import extract_sequence
 from locusframe.session import apply_settings, cut_lineage
+from locusframe.plans.candidates import with_sequence
 from locusframe.sources import gff3
 from locusframe.sources.fasta import chunked
 from locusframe.sources.files import verify_declared
 from locusframe.sources.reads import parse_sam
+from locusframe.sources.sinks import fasta_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 NUCLEAR_NAMES = ("chr1", "chr2", "chr3")
@@ -526,8 +528,68 @@ def top_n_per_window(spark, d):
     return SC.top_per_group(events, ["user_id"], ["ts", "event_id"], 5)
 
 
+@query
+def fasta_export(spark, d):
+    spans = A.document_sequences(spark, d).where("length > 0").select(
+        F.col("seqid").alias("candidate_id"), "seqid", F.lit(0).cast("bigint").alias("start_pos"),
+        F.col("length").alias("end_pos"), "length")
+    return fasta_text(with_sequence(spans, chunked(A.documents_as_bases(spark, d), ["seqid"])))
+
+
+@query
+def gene_list_positions(spark, d):
+    key, chromosome = F.col("o_orderkey"), F.col("o_custkey") % 7
+    position = (
+        F.when(key % 3 == 0, F.format_string("%d:%d..%d", chromosome, key, key + 9))
+        .when(key % 3 == 1, F.format_string("%d:complement(%d..%d)", chromosome, key, key + 9))
+        .otherwise(F.format_string("%d:join(%d..%d,%d..%d)", chromosome, key + 50, key + 60, key, key + 9)))
+    rows = A.table(spark, d, "orders").select(
+        key.alias("line_number"), F.concat(F.lit("ppa:G"), F.floor(key / 2)).alias("id"),
+        position.alias("position"))
+    found = CO.gene_list_positions(rows)
+    return found.select("gene_id", "place.seqid", "place.first", "place.last", "place.strand")
+
+
+@query
+def header_compatibility(spark, d):
+    key = F.col("s_suppkey")
+    header = A.table(spark, d, "supplier").select(
+        F.concat(F.lit("chr"), key).alias("rname"),
+        (60100 + (key % 3) * 2147483648 + F.when(key % 4 == 0, 1).otherwise(0)).alias("declared_length"))
+    return AL.header_compatibility(header, A.sequences(spark, d))
+
+
 # --- gates -----------------------------------------------------------------
 
+@query
+def source_status(spark, d):
+    key = F.col("c_custkey")
+    sources = A.table(spark, d, "customer").select(
+        key.alias("source_id"),
+        F.when(key % 5 == 0, "unavailable").when(key % 5 == 1, "metadata_only").otherwise("available").alias("availability"),
+        F.when(key % 3 == 0, "coordinate mirror").otherwise("original").alias("relationship"),
+        F.lit("boundaries").alias("expected_use"), F.col("c_mktsegment").alias("strain"),
+        F.when(key % 2 == 0, "A").otherwise("B").alias("coordinate_space"),
+        F.when(key % 7 != 0, F.abs("c_acctbal") / 10000).alias("partial_gene_fraction"))
+    rated = GA.source_status(sources, "BUILDING", "A")
+    return rated.select("source_id", "qualification_status",
+                        F.array_join("qualification_reasons", "|").alias("reasons"))
+
+
+@query
+def engineering_screen(spark, d):
+    totals = A.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("run_id")).agg(
+        F.count(F.lit(1)).alias("total_query_pairs"),
+        F.count_if(F.col("o_orderstatus") == "F").alias("pair_unmapped"),
+        F.count_if(F.col("o_totalprice") > 450000).alias("vector_pairs_all"),
+        F.count_if((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 450000)).alias("vector_pairs_unmapped"),
+        F.count_if(F.col("o_orderpriority") < "4").alias("nuclear_bins"),
+        F.count_if(F.col("o_orderpriority") < "2").alias("nuclear_outlier_bins"))
+    found = GA.engineering_screen(totals, 0.2, 0.3, 0.5)
+    return found.withColumns({c: F.round(c, 6) for c in (
+        "vector_fraction_all", "vector_fraction_unmapped", "outlier_fraction")})
+
+
 @query
 def phrase_gate(spark, d):
     checked = CH.phrase_gate(A.table(spark, d, "documents"), "text", ["the of", "with"])
