@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.session import spread
+from locusframe.session import cut_lineage, spread
+from locusframe.sources.fasta import chunked
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -72,16 +73,18 @@ def zones(spark: SparkSession, folder: str) -> DataFrame:
 
 def documents_as_bases(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as sequences: their letters A, C, G, T and N in upper case."""
-    return spread(table(spark, folder, "documents").select(
+    return rows(spark, folder, "documents").select(
         F.concat(F.lit("doc"), "doc_id").alias("seqid"),
         F.lit(0).cast("bigint").alias("start_pos"),
         F.regexp_replace(F.upper("text"), "[^ACGTN]", "").alias("bases"),
-    ))
+    )
 
 
-def document_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    return documents_as_bases(spark, folder).select(
-        "seqid", F.length("bases").cast("bigint").alias("length"))
+def document_store(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written sequences, their lengths, and the written chunk store."""
+    pieces = cut_lineage(documents_as_bases(spark, folder))
+    lengths = pieces.select("seqid", F.length("bases").cast("bigint").alias("length"))
+    return pieces, lengths, cut_lineage(chunked(pieces, ["seqid"]))
 
 
 def gff_lines(spark: SparkSession, folder: str) -> DataFrame:

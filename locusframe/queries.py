@@ -171,7 +171,9 @@ def endpoint_violations(spark, d):
 # --- annotation ------------------------------------------------------------
 
 def _annotation(spark: SparkSession, d: str) -> DataFrame:
-    parsed = gff3.parse_features(A.gff_lines(spark, d))
+    # Text lines stand for a file; without the cut, filters on parsed columns
+    # would rebuild each line from its table many times.
+    parsed = gff3.parse_features(cut_lineage(A.gff_lines(spark, d)))
     return gff3.with_ids(parsed.where("problem IS NULL").drop("problem", "file"))
 
 
@@ -322,7 +324,7 @@ def long_interval_threshold(spark, d):
 # --- alignments ------------------------------------------------------------
 
 def _alignments(spark: SparkSession, d: str) -> DataFrame:
-    return parse_sam(A.sam_lines(spark, d)).where("well_formed").drop("well_formed", "file")
+    return parse_sam(cut_lineage(A.sam_lines(spark, d))).where("well_formed").drop("well_formed", "file")
 
 
 @query
@@ -358,23 +360,22 @@ def junction_support(spark, d):
 
 @query
 def motif_counts(spark, d):
-    pieces = A.documents_as_bases(spark, d)
-    lengths = A.document_sequences(spark, d)
+    _, lengths, chunks = A.document_store(spark, d)
     introns = lengths.select(
         F.col("seqid").alias("rname"), F.lit(5).cast("bigint").alias("intron_start"),
         F.lit(30).cast("bigint").alias("intron_end"))
-    found = AL.with_motifs(introns, chunked(pieces, ["seqid"]), lengths)
+    found = AL.with_motifs(introns, chunks, lengths)
     return found.groupBy("motif", "canonical").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def reference_identity(spark, d):
-    pieces = A.documents_as_bases(spark, d)
+    pieces, lengths, chunks = A.document_store(spark, d)
     reads = pieces.select(
         F.col("seqid").alias("rname"), F.col("seqid").alias("line_number"),
         F.lit(11).cast("bigint").alias("pos"), F.lit("20M10D30M5S").alias("cigar"),
         F.concat(F.substring("bases", 11, 20), F.substring("bases", 45, 30), F.lit("AAAAA")).alias("seq"))
-    found = AL.reference_identity(reads, chunked(pieces, ["seqid"]), A.document_sequences(spark, d))
+    found = AL.reference_identity(reads, chunks, lengths)
     return found.select(
         F.col("rname").alias("seqid"), "aligned_bases", "matches", "splice_junctions", "target_end",
         "coordinate_valid", "reference_identity")
@@ -484,26 +485,25 @@ def sequence_chunks(spark, d):
 
 @query
 def window_sequence(spark, d):
-    spans = A.document_sequences(spark, d).select(
+    _, lengths, chunks = A.document_store(spark, d)
+    spans = lengths.select(
         "seqid", F.floor(F.col("length") / 4).alias("start_pos"),
         F.floor(F.col("length") / 2).alias("end_pos"))
-    return extract_sequence(spans, chunked(A.documents_as_bases(spark, d), ["seqid"]))
+    return extract_sequence(spans, chunks)
 
 
 @query
 def anchor_hits(spark, d):
-    pieces = A.documents_as_bases(spark, d)
+    pieces, _, chunks = A.document_store(spark, d)
     anchors = pieces.where(F.length("bases") >= 50).select(
         F.substring("bases", F.floor(F.length("bases") / 2).cast("int") + 1, F.lit(21)).alias("anchor"))
-    found = LO.anchor_hits(anchors, chunked(pieces, ["seqid"]), 21)
+    found = LO.anchor_hits(anchors, chunks, 21)
     return found.select("anchor", "hits", "capped_hits")
 
 
 @query
 def boundary_mapping(spark, d):
-    pieces = A.documents_as_bases(spark, d)
-    lengths = A.document_sequences(spark, d)
-    chunks = cut_lineage(chunked(pieces, ["seqid"]))
+    _, lengths, chunks = A.document_store(spark, d)
     genes = lengths.where("length >= 200").select(
         F.col("seqid").alias("feature_id"), "seqid", F.floor(F.col("length") / 4).alias("start_pos"),
         F.floor(F.col("length") / 2).alias("end_pos"), F.lit("+").alias("strand"))
@@ -530,10 +530,11 @@ def top_n_per_window(spark, d):
 
 @query
 def fasta_export(spark, d):
-    spans = A.document_sequences(spark, d).where("length > 0").select(
+    _, lengths, chunks = A.document_store(spark, d)
+    spans = lengths.where("length > 0").select(
         F.col("seqid").alias("candidate_id"), "seqid", F.lit(0).cast("bigint").alias("start_pos"),
         F.col("length").alias("end_pos"), "length")
-    return fasta_text(with_sequence(spans, chunked(A.documents_as_bases(spark, d), ["seqid"])))
+    return fasta_text(with_sequence(spans, chunks))
 
 
 @query
