@@ -17,48 +17,44 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.llm.common import ship
+
 #: Text of one block of documents, in characters, and tokens of one decoded slice.
-BLOCK_CHARS = 4_000_000
-SLICE_TOKENS = 1_000_000
+BLOCK_CHARS = 2_000_000
+SLICE_TOKENS = 500_000
 #: Distinct words of one recursive query.
 WORDS = 30_000
 #: Entries of a worker's cache of encoded pieces; a full cache is emptied, which only repeats work.
-CACHE = 600_000
-CHUNKS = 300_000
+CACHE = 400_000
+CHUNKS = 200_000
 
-# Rows are linked to their right neighbour (q, nxt); each turn contracts the leftmost pair of minimum rank in every
-# word.  All turns stay in the result, so it serves words of up to SHORT bytes, whose turns are few.
+# Neighbouring token positions join the merge table; each turn contracts the leftmost pair of minimum rank in every
+# word that has one.  All turns stay in the result, so it serves words of up to SHORT bytes, whose turns are few.
 SHORT = 64
 CONTRACT_SHORT = """
-WITH RECURSIVE t(w, p, id, q, nxt, turn) AS (
-  SELECT w, p, id, q, nxt, 0 FROM start_rows
+WITH RECURSIVE t(w, ids, turn) AS (
+  SELECT w, ids, 0 FROM start_words
   UNION ALL
-  (WITH least AS (
-     SELECT w, min((merged::BIGINT << 32) | p) AS best FROM t JOIN merges ON l = id AND r = nxt GROUP BY w),
-   hit AS (
-     SELECT t.w, t.p, t.q, (best >> 32)::INTEGER AS merged
-     FROM least JOIN t ON t.w = least.w AND t.p = (best & 4294967295)),
-   pair AS (
-     SELECT hit.w, hit.p, hit.q, merged, t.q AS q2, t.nxt AS nxt2 FROM hit JOIN t ON t.w = hit.w AND t.p = hit.q)
-   SELECT t.w, t.p, CASE WHEN t.p = h.p THEN merged ELSE t.id END, CASE WHEN t.p = h.p THEN q2 ELSE t.q END,
-          CASE WHEN t.p = h.p THEN nxt2 WHEN t.q = h.p THEN merged ELSE t.nxt END, t.turn + 1
-   FROM t JOIN pair h ON t.w = h.w WHERE t.p <> h.q))
-SELECT w, list(id ORDER BY p) AS ids FROM (SELECT * FROM t QUALIFY turn = max(turn) OVER (PARTITION BY w))
-GROUP BY w ORDER BY w
+  (WITH position AS (
+     SELECT w, generate_subscripts(ids[2:], 1) AS p, unnest(ids[:-2])::BIGINT << 20 | unnest(ids[2:]) AS pair FROM t),
+   least AS (SELECT w, min(merged::BIGINT << 32 | p) AS best FROM position JOIN merges USING (pair) GROUP BY w),
+   hit AS (SELECT w, best & 4294967295 AS p, (best >> 32)::INTEGER AS merged FROM least)
+   SELECT t.w, ids[:p - 1] || [merged] || ids[p + 2:], turn + 1 FROM t JOIN hit USING (w)))
+SELECT w, arg_max(ids, turn) AS ids FROM t GROUP BY w ORDER BY w
 """
 # Longer words: only the latest state is held, by key, and a turn contracts all occurrences of the pair.
 # A contraction of all occurrences of a pair at once equals one at a time, unless the new token can
 # form a pair of lower rank; such a token is not "safe" and only its leftmost pair is contracted.
 CONTRACT_LONG = """
 WITH RECURSIVE t(w, p, id) USING KEY (w, p) AS (
-  SELECT w, p, id FROM start_rows
+  SELECT w, generate_subscripts(ids, 1), unnest(ids) FROM start_words
   UNION
   (WITH live AS (
      SELECT w, p, id, lead(p) OVER o AS q, lead(id) OVER o AS nxt FROM recurring.t
      WHERE id >= 0 AND w IN (SELECT w FROM t) WINDOW o AS (PARTITION BY w ORDER BY p)),
    pair AS (
      SELECT w, p, q, merged, safe, min(merged) OVER (PARTITION BY w) AS least
-     FROM live JOIN merges ON l = id AND r = nxt),
+     FROM live JOIN merges ON pair = id::BIGINT << 20 | nxt),
    hit AS (
      SELECT w, p, q, merged, safe, row_number() OVER o AS k, coalesce(lag(q) OVER o <> p, true) AS fresh
      FROM pair WHERE merged = least WINDOW o AS (PARTITION BY w ORDER BY p)),
@@ -91,9 +87,9 @@ class Coder:
         splits = [(ranks[token[:k]], ranks[token[k:]], rank) for token, rank in ranks.items()
                   for k in range(1, len(token)) if token[:k] in ranks and token[k:] in ranks]
         unsafe = {part for left, right, rank in splits for part in (left, right) if rank < part}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         self._load("merges", pa.table({
-            "l": pa.array([s[0] for s in splits], pa.int32()), "r": pa.array([s[1] for s in splits], pa.int32()),
+            "pair": pa.array([s[0] << 20 | s[1] for s in splits], pa.int64()),
             "merged": pa.array([s[2] for s in splits], pa.int32()),
             "safe": pa.array([s[2] not in unsafe for s in splits], pa.bool_())}))
         # One character per byte, so that strings of the vocabulary may end inside a UTF-8 character.
@@ -128,17 +124,13 @@ class Coder:
         import numpy as np
         import pyarrow as pa
 
-        sizes = np.array([len(word) for word in words])
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        tokens = np.array(self.of_byte, np.int32)[flat]
-        following = np.roll(tokens, -1)
-        following[np.cumsum(sizes) - 1] = -1
-        self.db.register("start_rows", pa.table({
-            "w": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "p": place.astype(np.int32),
-            "id": tokens, "q": (place + 1).astype(np.int32), "nxt": following}))
+        ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
+        tokens = np.array(self.of_byte, np.int32)[np.frombuffer(b"".join(words), np.uint8)]
+        self.db.register("start_words", pa.table({
+            "w": np.arange(len(words), dtype=np.int32),
+            "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens))}))
         ids = self.db.sql(query).to_arrow_table()["ids"].combine_chunks()
-        self.db.unregister("start_rows")
+        self.db.unregister("start_words")
         ends, values = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
         return (values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:]))
 
@@ -224,26 +216,34 @@ def blocks(values: Iterable, most: int) -> Iterator[list]:
         yield block
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+           round_trip: bool = False) -> DataFrame:
     """``id_col``, ``ids`` (little-endian unsigned 32-bit) and ``n_tokens`` of every whole text, without special tokens.
 
-    A null or empty text has no ids.  Repeated rows are encoded each for
-    itself; an empty table gives an empty result; other columns are not read.
+    With ``round_trip`` also ``decoded``, made from the ids alone by the same
+    worker, which spares a second set of Python workers.  A null or empty text
+    has no ids.  Repeated rows are encoded each for itself; an empty table
+    gives an empty result; other columns are not read.
     """
     def run(batches):
         import pyarrow as pa
 
         own = coder(path, pattern)
         for batch in batches:
-            names, texts = batch.column(0), batch.column(1).to_pylist()
-            ids = [data for block in blocks(texts, BLOCK_CHARS) for data in own.encode(block)]
-            yield pa.RecordBatch.from_arrays(
-                [names, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())],
-                names=[id_col, "ids", "n_tokens"])
-
+            at = 0
+            for block in blocks(batch.column(1).to_pylist(), BLOCK_CHARS):
+                ids = own.encode(block)
+                out = [batch.column(0).slice(at, len(block)), pa.array(ids, pa.binary()),
+                       pa.array([len(x) // 4 for x in ids], pa.int64())]
+                if round_trip:
+                    out.append(pa.array(own.decode(ids), pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, names=[id_col, "ids", "n_tokens", "decoded"][:len(out)])
+                at += len(block)
+
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(
-        run, f"`{id_col}` {kind}, ids binary, n_tokens bigint")
+        run, f"`{id_col}` {kind}, ids binary, n_tokens bigint" + ", decoded binary" * round_trip)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
@@ -253,10 +253,14 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") ->
 
         own = coder(path, pattern)
         for batch in batches:
-            ids = [x or b"" for x in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()]
-            out = [data for block in blocks(ids, 4 * SLICE_TOKENS) for data in own.decode(block)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())],
-                                             names=[*batch.schema.names, "decoded"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "decoded")
-    return encoded.drop("decoded").mapInArrow(run, f"{kinds}, decoded binary")
+            at = 0
+            for ids in blocks([x or b"" for x in batch.column(ids_col).to_pylist()], 4 * SLICE_TOKENS):
+                rows = batch.slice(at, len(ids))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(own.decode(ids), pa.binary())],
+                                                 names=[*rows.schema.names, "decoded"])
+                at += len(ids)
+
+    ship(encoded.sparkSession)
+    plain = encoded.drop("decoded")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
+    return plain.mapInArrow(run, f"{kinds}, decoded binary")

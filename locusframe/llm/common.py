@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locusframe.session import broadcast_if_small, cut_lineage
+from locusframe.session import broadcast_if_small, cut_lineage, shared_folder
 
-__all__ = ["anti_join", "components", "cut_lineage", "number_rows", "semi_join", "table"]
+__all__ = ["anti_join", "components", "cut_compressed", "cut_lineage", "number_rows", "semi_join", "ship", "table"]
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp()  # the driver's own: executors fetch the archive from the driver
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder, f"{package.name}-{context.applicationId}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,42 +51,35 @@ def anti_join(df: DataFrame, written: DataFrame, on: str) -> DataFrame:
     return df.join(broadcast_if_small(written.select(on)), on, "left_anti")
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
+def cut_compressed(df: DataFrame) -> DataFrame:
+    """``cut_lineage`` with a denser codec, for tables that hold whole texts or token ids."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def number_rows(df: DataFrame, key: str, order: Sequence[str], name: str, sizes: DataFrame,
                 per_block: int = 50_000) -> DataFrame:
-    """Gapless numbers from 0 within each key, in no more than a few ``per_block`` rows per task.
+    """Gapless numbers from 0 within each key, with about ``per_block`` rows to a task.
 
-    The rows of a key are dealt to blocks by the hash of ``order`` (which must
-    be unique within a key); each block is numbered from the count of the
-    blocks before it.  A key with a third of all rows gets that many more
-    blocks.  ``df`` is read twice, so pass a narrow or written table.
+    ``sizes`` has (key, ``rows``) of few keys, a number that the caller bounds
+    and not the data, and is broadcast.  The rows of a key are dealt to blocks
+    by the hash of ``order``; each block is numbered from the count of the
+    blocks before it, so a key with a third of all rows just gets that many
+    more blocks.  ``df`` is read twice: pass a written table.
     """
-    keys = list(keys)
-    sizes = df.groupBy(*keys).agg(
-        F.greatest(F.lit(1), F.ceil(F.count("*") / per_block)).cast("long").alias("_blocks"))
-    placed = _join(df, sizes, keys).withColumn(
-        "_block", F.pmod(F.xxhash64(*order), F.col("_blocks")))
-    offsets = placed.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = offsets.select(*keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inner = Window.partitionBy(*keys, "_block").orderBy(*order)
-    ranked = placed.withColumn("_inner", F.row_number().over(inner) - 1)
-    return (_join(ranked, offsets, [*keys, "_block"])
+    blocks = sizes.select(F.col(key), F.greatest(F.lit(1), F.ceil(F.col("rows") / per_block)).cast("long").alias("_blocks"))
+    placed = df.join(F.broadcast(blocks), key).withColumn("_block", F.pmod(F.xxhash64(*order), "_blocks"))
+    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(key, "_block").agg(F.count("*").alias("_n")).select(
+        key, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inner = Window.partitionBy(key, "_block").orderBy(*order)
+    return (placed.withColumn("_inner", F.row_number().over(inner) - 1)
+            .join(offsets, [key, "_block"])
             .withColumn(name, F.col("_before") + F.col("_inner"))
             .drop("_blocks", "_block", "_before", "_inner"))
 
 
-def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """An inner join in which null keys equal each other."""
-    if not keys:
-        return left.crossJoin(right)  # ``right`` is one row: a total
-    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
-                           *[c for c in right.columns if c not in keys])
-    on: Column = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(renamed, on).drop(*[f"_r_{k}" for k in keys])
-
-
 def components(links: DataFrame, first: str = "a", second: str = "b") -> DataFrame:
     """Smallest reachable id of every node that has a link: columns ``node`` and ``component``.
 

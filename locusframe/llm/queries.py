@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import byte_bpe
+from locusframe.llm import byte_bpe, packing, sharding
 from locusframe.llm.common import table
 from locusframe.llm.exact_dedup import exact_duplicates
 
@@ -19,10 +19,21 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = byte_bpe.encode(table(spark, folder, "documents"), path, pattern)
-    return byte_bpe.decode(encoded, path, pattern).select(
+    return byte_bpe.encode(table(spark, folder, "documents"), path, pattern, round_trip=True).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
+
+
+def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.assign_shards(table(spark, folder, "documents"), 16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_packing, op4_sharding)}
