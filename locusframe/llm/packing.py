@@ -102,15 +102,20 @@ def combinations(classes: int, depth: int) -> np.ndarray:
     return out
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
-    """Minimises |a x - b| over x >= 0: the active-set method on the normal equations."""
+def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400, at_once: int = 16) -> np.ndarray:
+    """Minimises |a x - b| over x >= 0: the active-set method on the normal equations.
+
+    A round frees the ``at_once`` columns of steepest gain, then steps back
+    until no free column is negative.
+    """
     x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
     for _ in range(rounds):
         gain = np.where(free, -np.inf, a.T @ (b - a @ x))
-        k = int(np.argmax(gain))
-        if gain[k] <= 1e-7 * max(1.0, np.abs(b).max()) or free.sum() >= a.shape[0]:
+        steep = np.argpartition(-gain, min(at_once, len(gain) - 1))[:at_once]
+        steep = steep[gain[steep] > 1e-6 * max(1.0, np.abs(b).max())]
+        if not len(steep):
             break
-        free[k] = True
+        free[steep] = True
         while True:
             cols = np.flatnonzero(free)
             own = a[:, cols]
