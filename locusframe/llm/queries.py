@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import byte_bpe, near_dedup, packing, sharding
+from locusframe.llm import byte_bpe, near_dedup, packing, sharding, vector_search
 from locusframe.llm.common import table
 from locusframe.llm.exact_dedup import exact_duplicates
 
@@ -39,6 +39,10 @@ def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
 
 
+def op10_vector_search(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_search.search(table(spark, folder, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_packing, op4_sharding,
-                                   op9_near_dedup)}
+                                   op9_near_dedup, op10_vector_search)}
