@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ BLOCK_CHARS = 2_000_000
 SLICE_TOKENS = 500_000
 #: Distinct words of one recursive query.
 WORDS = 30_000
-#: Entries of a worker's cache of encoded pieces; a full cache is emptied, which only repeats work.
+#: Entries of a worker's cache of encoded pieces; a full cache only repeats work.
 CACHE = 400_000
 CHUNKS = 200_000
 
@@ -142,10 +143,8 @@ class Coder:
         ends in white space depends on what follows, and then the whole text
         goes through the pattern.
         """
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        if len(self.chunks) > CHUNKS:
-            self.chunks.clear()
+        make_room(self.pieces, CACHE)
+        make_room(self.chunks, CHUNKS)
         chunks, split = self.chunks, self.split
         parts = [text.split(" ") for text in texts]
         fresh = {p for words in parts for p in words[1:] if p not in chunks}
@@ -203,6 +202,13 @@ def coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
 
 
+def make_room(cache: dict, limit: int) -> None:
+    """Drop the newer half of a full cache: what is frequent came in early."""
+    if len(cache) > limit:
+        for key in list(islice(reversed(cache), len(cache) // 2)):
+            del cache[key]
+
+
 def blocks(values: Iterable, most: int) -> Iterator[list]:
     """Consecutive values in lists of a bounded total length."""
     block, size = [], 0

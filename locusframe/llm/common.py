@@ -59,7 +59,7 @@ def cut_compressed(df: DataFrame) -> DataFrame:
 
 
 def number_rows(df: DataFrame, key: str, order: Sequence[str], name: str, sizes: DataFrame,
-                per_block: int = 50_000) -> DataFrame:
+                per_block: int = 2_000) -> DataFrame:
     """Gapless numbers from 0 within each key, with about ``per_block`` rows to a task.
 
     ``sizes`` has (key, ``rows``) of few keys, a number that the caller bounds

@@ -19,24 +19,22 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.llm.byte_bpe import blocks
+from locusframe.llm.byte_bpe import blocks, make_room
 from locusframe.llm.common import cut_compressed, number_rows, ship
 
-BLOCK_CHARS, CACHE = 4_000_000, 400_000
+BLOCK_CHARS, CACHE = 2_000_000, 700_000
 
 
 @lru_cache(maxsize=2)
 def _words(path: str):
-    """Function from a list of white-space-free words to their ids, with a cache that a full one empties."""
+    """Function from a list of white-space-free words to their ids, cached."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     encode, known = Tokenizer.from_file(path).encode_batch_fast, {"": b""}
 
     def ids(texts: list[str], end: int) -> list[bytes]:
-        if len(known) > CACHE:
-            known.clear()
-            known[""] = b""
+        make_room(known, CACHE)
         parts = [text.replace("\n", " ").split(" ") for text in texts]
         fresh = list({word for words in parts for word in words if word not in known})
         for word, found in zip(fresh, encode(fresh, add_special_tokens=False)):

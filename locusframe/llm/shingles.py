@@ -6,7 +6,9 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words are split on ASCII white space after lower-casing A-Z; a full cache of their hashes is emptied.
+from locusframe.llm.byte_bpe import make_room
+
+#: Words are split on ASCII white space after lower-casing A-Z; their hashes are cached.
 CACHE = 500_000
 
 
@@ -40,8 +42,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def word_hashes(text: str) -> np.ndarray:
     words = text.encode().lower().split()
     known = _known()
-    if len(known) > CACHE:
-        known.clear()
+    make_room(known, CACHE)
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
