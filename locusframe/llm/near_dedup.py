@@ -100,6 +100,8 @@ class _Bucket:
         self.part = table.column("part").to_numpy()
         self.label = table.column("label").to_numpy()
         keys = [table.column(c).to_numpy() for c in ("key", "low_part", "high_part")]
+        self.key, flat = keys[0], table.column("keys").combine_chunks()
+        self.keys = flat.flatten().to_numpy().reshape(len(self.id), -1)
         change = np.zeros(len(self.id), bool)
         change[0] = True
         for k in keys:
@@ -140,8 +142,16 @@ class _Bucket:
             if e - s > (64 if all_pairs else SMALL):
                 yield from self._large(int(s), int(e), all_pairs)
 
-    def _chosen(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _own(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Pairs of different labels and parts whose first common band is this bucket's: no other bucket judges them."""
         wanted = (self.label[i] != self.label[j]) & (~self.crossed[i] | (self.part[i] != self.part[j]))
+        some = np.flatnonzero(wanted)
+        first = (self.keys[i[some]] == self.keys[j[some]]).argmax(axis=1)
+        wanted[some] = self.keys[i[some], first] == self.key[i[some]]
+        return wanted
+
+    def _chosen(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        wanted = self._own(i, j)
         i, j = i[wanted], j[wanted]
         keep = self.estimate(i, j)[1]
         return i[keep], j[keep]
@@ -151,8 +161,7 @@ class _Bucket:
             return
         for i in range(s, e):
             others = np.arange(i + 1, e) if all_pairs else np.delete(np.arange(s, e), i - s)
-            others = others[(self.label[others] != self.label[i])
-                            & (~self.crossed[i] | (self.part[others] != self.part[i]))]
+            others = others[self._own(np.full(len(others), i), others)]
             if not len(others):
                 continue
             near, possible = self.estimate(np.full(len(others), i), others)
@@ -163,7 +172,7 @@ class _Bucket:
 
 
 def candidate_pairs(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
-    """Pairs (a < b) of bucket rows (key, id, n, sketch, label, size) with different labels that may be similar enough."""
+    """Pairs (a < b) of bucket rows (key, id, n, sketch, keys, label, size) with different labels that may be similar enough."""
     def run(batches) -> Iterator:
         import pyarrow as pa
 
@@ -192,7 +201,7 @@ def candidate_pairs(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame
     placed = (rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
               .withColumn("low_part", F.least("part", "other")).withColumn("high_part", F.greatest("part", "other"))
-              .select("key", "low_part", "high_part", "id", "n", "sketch", "part", "label"))
+              .select("key", "low_part", "high_part", "id", "n", "sketch", "keys", "part", "label"))
     dealt = placed.repartition("key", "low_part", "high_part").sortWithinPartitions("key", "low_part", "high_part")
     ship(rows.sparkSession)
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
@@ -230,7 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = reps.select("id", F.explode("keys").alias("key")).distinct()
     size = F.count("*").over(Window.partitionBy("key"))
     shared = cut_lineage(keys.withColumn("size", size).where("size > 1"))
-    buckets = shared.join(reps.select("id", "n", "sketch"), "id")
+    buckets = shared.join(reps.select("id", "n", "sketch", "keys"), "id")
     ids = cut_lineage(shared.select("id").distinct())
     sets = cut_lineage(shingle_sets(
         semi_join(docs, ids.withColumnRenamed("id", id_col), id_col), id_col, text_col, width).dropDuplicates(["id"]))
