@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import byte_bpe, language_id, near_dedup, packing, sharding, vector_search
+from locusframe.llm import byte_bpe, class_lm, language_id, near_dedup, packing, sharding, vector_search
 from locusframe.llm.common import table
 from locusframe.llm.exact_dedup import exact_duplicates
 
@@ -35,6 +35,10 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_class_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return class_lm.score_documents(table(spark, folder, "documents"))
+
+
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(table(spark, folder, "documents"))
 
@@ -49,4 +53,4 @@ def op10_vector_search(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_packing, op4_sharding,
-                                   op8_language_id, op9_near_dedup, op10_vector_search)}
+                                   op7_class_lm, op8_language_id, op9_near_dedup, op10_vector_search)}
