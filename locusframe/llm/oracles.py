@@ -12,6 +12,45 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id)
 """
 
+OP6 = """
+WITH turns AS (
+  SELECT DISTINCT conv_id, coalesce(turn, -1)::BIGINT AS turn, coalesce(role, 'none') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, role AS o_role, text AS o_text, floor(conv_id / 1024)::BIGINT AS block
+  FROM turns QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) = 1),
+p1 AS (
+  SELECT *, row_number() OVER w AS n, lead(conv_id) OVER w AS mate FROM convs
+  WINDOW w AS (PARTITION BY o_role, o_text, block ORDER BY conv_id)),
+p2 AS (
+  SELECT conv_id, o_role, o_text, block, row_number() OVER w AS n, lead(conv_id) OVER w AS mate
+  FROM p1 WHERE n % 2 = 1 AND mate IS NULL WINDOW w AS (PARTITION BY o_role, o_text ORDER BY conv_id)),
+p3 AS (
+  SELECT conv_id, block, row_number() OVER w AS n, lead(conv_id) OVER w AS mate
+  FROM p2 WHERE n % 2 = 1 AND mate IS NULL WINDOW w AS (PARTITION BY block ORDER BY conv_id)),
+p4 AS (
+  SELECT conv_id, row_number() OVER w AS n, lead(conv_id) OVER w AS mate
+  FROM p3 WHERE n % 2 = 1 AND mate IS NULL WINDOW w AS (PARTITION BY floor(block / 1024) ORDER BY conv_id)),
+pairs AS (
+  SELECT conv_id AS chosen_id, mate AS rejected_id FROM p1 WHERE n % 2 = 1 AND mate IS NOT NULL
+  UNION ALL SELECT conv_id, mate FROM p2 WHERE n % 2 = 1 AND mate IS NOT NULL
+  UNION ALL SELECT conv_id, mate FROM p3 WHERE n % 2 = 1 AND mate IS NOT NULL
+  UNION ALL SELECT conv_id, mate FROM p4 WHERE n % 2 = 1),
+a AS (SELECT chosen_id, rejected_id, turn, role, text FROM pairs JOIN turns ON conv_id = chosen_id),
+b AS (SELECT chosen_id, rejected_id, turn, role, text FROM pairs JOIN turns ON conv_id = rejected_id),
+ends AS (
+  SELECT chosen_id, min(turn) AS stop
+  FROM ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a)) GROUP BY chosen_id),
+parts AS (
+  SELECT a.*, CASE WHEN stop IS NULL OR turn < stop THEN 'prompt' ELSE 'chosen' END AS part
+  FROM a LEFT JOIN ends USING (chosen_id)
+  UNION ALL
+  SELECT b.*, 'rejected' FROM b JOIN ends USING (chosen_id) WHERE turn >= stop)
+SELECT chosen_id, rejected_id, part, turn, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered,
+       part <> 'prompt' AND role = 'assistant' AS trained
+FROM parts
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1}
+    return {"op1_exact_dedup": OP1, "op6_preferences": OP6}
