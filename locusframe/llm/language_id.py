@@ -22,7 +22,7 @@ from locusframe.llm.common import ship
 from locusframe.llm.shingles import odd_numbers
 
 #: Hashed columns, longest n-gram, rows of the fitted sample (all languages together), passes.
-BITS, LONGEST, SAMPLE, PASSES = 16, 4, 8_000, 2
+BITS, LONGEST, SAMPLE, PASSES = 16, 4, 3_000, 3
 COLUMNS, MIXER = 1 << BITS, np.uint64(0x9E3779B97F4A7C15)
 #: Words that are turned into n-grams at once.
 PART = 50_000
@@ -128,8 +128,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: tuple[str,
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Learn from rows with a language and a text; None if there are none.
 
-    The sample takes the rows of smallest hash, at most ``SAMPLE``; only its
-    columns and counts come to the driver.
+    The sample takes the rows whose hash is below a share of the range that
+    leaves about ``SAMPLE`` rows of any table, the same number per language;
+    only its columns and counts come to the driver.
     """
     ship(rows.sparkSession)
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
@@ -156,15 +157,16 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
             made = [columns_of(text) for text in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), batch.column(2), pa.array([c for c, _ in made], pa.list_(pa.int32())),
-                 pa.array([n for _, n in made], pa.list_(pa.float64()))], names=["lang", "order", "columns", "counts"])
+                 pa.array([n for _, n in made], pa.list_(pa.float32()))], names=["lang", "order", "columns", "counts"])
 
-    sample = (rows.where(chosen).withColumn("order", F.xxhash64("text"))
-              .select("text", "lang", "order").mapInArrow(
-                  run, "lang string, order bigint, columns array<int>, counts array<double>")
-              .where(F.size("columns") > 0).orderBy("order").limit(2 * SAMPLE).toArrow())
+    sample = (rows.where(chosen).withColumn("order", F.xxhash64("text")).select("text", "lang", "order").mapInArrow(
+        run, "lang string, order bigint, columns array<int>, counts array<float>").toArrow().combine_chunks())
     place = {name: i for i, name in enumerate(languages)}
-    data = [(np.asarray(c, np.int64), np.asarray(n), place[name]) for name, c, n in zip(
-        sample["lang"].to_pylist(), sample["columns"].to_numpy(), sample["counts"].to_numpy())]
+    columns, counts = (sample[c].combine_chunks() for c in ("columns", "counts"))
+    ends, names = columns.offsets.to_numpy(), sample["lang"].to_pylist()
+    columns, counts = columns.values.to_numpy(), counts.values.to_numpy()
+    data = [(columns[ends[k]:ends[k + 1]], counts[ends[k]:ends[k + 1]], place[names[k]])
+            for k in np.argsort(sample["order"].to_numpy(), kind="stable") if ends[k + 1] > ends[k]]
     return train(data, languages, idf)
 
 
