@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import byte_bpe, class_lm, language_id, near_dedup, packing, preferences, sharding, vector_search
+from locusframe.llm import byte_bpe, class_lm, language_id, near_dedup, packing, passage_dedup, preferences, sharding, vector_search
 from locusframe.llm.common import table
 from locusframe.llm.exact_dedup import exact_duplicates
 
@@ -35,6 +35,10 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passage_dedup.repeated_passages(table(spark, folder, "documents"))
+
+
 def op6_preferences(spark: SparkSession, folder: str) -> DataFrame:
     turns = preferences.clean_turns(table(spark, folder, "conversations"))
     return preferences.preference_rows(turns, preferences.pair_by_opening(turns))
@@ -58,4 +62,4 @@ def op10_vector_search(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_packing, op4_sharding,
-                                   op6_preferences, op7_class_lm, op8_language_id, op9_near_dedup, op10_vector_search)}
+                                   op5_passage_dedup, op6_preferences, op7_class_lm, op8_language_id, op9_near_dedup, op10_vector_search)}
