@@ -174,6 +174,23 @@ def _has_letter(text: str) -> bool:
     return text.isalpha() or any(map(str.isalpha, text))
 
 
+def _labelled(model: Model | None, tables: list[np.ndarray], text: str | None) -> tuple[str, float]:
+    if model is None or text is None or not _has_letter(text):
+        return UNKNOWN, 0.0
+    total, n = np.zeros(len(tables)), 0
+    for columns in grams(text):
+        total += [row[columns].sum() for row in tables]
+        n += len(columns)
+    logits = (total / n + model.bias) / model.temperature
+    e = np.exp(logits - logits.max())
+    best = int(np.argmax(logits))
+    return model.languages[best], float(e[best] / e.sum())
+
+
+def _tables(model: Model | None) -> list[np.ndarray]:
+    return [] if model is None else list((model.idf[:, None] * model.weights).T.copy())
+
+
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``lang_pred`` and ``score`` of every whole text.
 
@@ -181,39 +198,48 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     text if there was nothing to learn from.  Only the text is used; repeated
     rows get equal predictions; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast(model)  # a fixed number of columns and languages
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of columns and languages
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        m = shared.value
-        table = [] if m is None else list((m.idf[:, None] * m.weights).T.copy())
+        tables = _tables(shared.value)
         for batch in batches:
-            names, scores = [], []
-            for text in batch.column(1).to_pylist():
-                if m is None or text is None or not _has_letter(text):
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                total, n = np.zeros(len(table)), 0
-                for columns in grams(text):
-                    total += [row[columns].sum() for row in table]
-                    n += len(columns)
-                logits = (total / n + m.bias) / m.temperature
-                e = np.exp(logits - logits.max())
-                best = int(np.argmax(logits))
-                names.append(m.languages[best])
-                scores.append(float(e[best] / e.sum()))
+            made = [_labelled(shared.value, tables, text) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                [batch.column(0), pa.array([name for name, _ in made], pa.string()), pa.array([x for _, x in made], pa.float64())],
                 names=[id_col, "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
+def drop_unidentified(docs: DataFrame, model: Model | None, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text is ``und`` or scores below ``least``; all columns kept, nothing shuffled.
+
+    Without a model only texts without a letter go.
+    """
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        tables = _tables(shared.value)
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            if shared.value is None:
+                keep = [text is not None and _has_letter(text) for text in texts]
+            else:
+                made = (_labelled(shared.value, tables, text) for text in texts)
+                keep = [name != UNKNOWN and x >= least for name, x in made]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that are never learnt from: a quarter by the checksum of the id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

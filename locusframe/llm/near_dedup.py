@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import components, cut_lineage, semi_join, ship
+from locusframe.llm.common import anti_join, components, cut_lineage, semi_join, ship
 from locusframe.llm.shingles import band_keys, minhash, mix, shingles, word_hashes
 
 BANDS, ROWS = 32, 6
@@ -259,3 +259,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .withColumn("component_id", F.coalesce("component", "node"))
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
                     F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85,
+                         bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``docs`` with one document of each component, all columns kept; rows without an id stay."""
+    gone = cut_lineage(near_duplicates(docs, id_col, text_col, percent, bands=bands, rows=rows)
+                       .where(~F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct())
+    return anti_join(docs, gone, id_col).select(*docs.columns)

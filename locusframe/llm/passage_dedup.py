@@ -169,7 +169,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the repeated passages, all columns kept; texts that lose nothing are not touched.
 
-    A text of which nothing but white space is left becomes empty.
+    A document of which no word is left goes.
     """
     found = removals(docs, id_col, text_col)
     names = broadcast_if_small(found.select(F.col("doc").alias("_doc")))
@@ -181,5 +181,6 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     def clean(texts, spans):
         return texts.combine(spans, lambda text, x: text if text is None else without(text, list(x)))
 
-    changed = cut.withColumn(text_col, clean(F.col(text_col), F.col("_spans"))).select(*docs.columns)
+    changed = cut.withColumn(text_col, clean(F.col(text_col), F.col("_spans"))).where(
+        F.col(text_col).rlike(WORD.pattern)).select(*docs.columns)
     return whole.join(names, "_doc", "left_anti").select(*docs.columns).unionByName(changed)
