@@ -77,17 +77,17 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     table of rows to drop is too large to broadcast.
     """
     decided = cut_lineage(exact_duplicates(docs, id_col, text_col)
-                          .select(F.xxhash64(F.col(id_col), "text_sha256").alias("_key"), F.col(id_col).alias("_id"),
+                          .select(F.xxhash64(F.col(id_col), "text_sha256").alias("__exact_key"), F.col(id_col).alias("_id"),
                                   F.col("text_sha256").alias("_sha"), "kept"))
     plain = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", "")
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.sha2(plain.cast("binary"), 256)))
-    dropped = cut_lineage(decided.groupBy("_key").agg(F.sum(F.col("kept").cast("int")).alias("stay"), F.count("*").alias("n"))
+    keyed = docs.withColumn("__exact_key", F.xxhash64(F.col(id_col), F.sha2(plain.cast("binary"), 256)))
+    dropped = cut_lineage(decided.groupBy("__exact_key").agg(F.sum(F.col("kept").cast("int")).alias("stay"), F.count("*").alias("n"))
                           .where("n > stay"))
-    out = keyed.join(broadcast_if_small(dropped.select("_key")), "_key", "left_anti")
-    mixed = dropped.where("stay > 0").select("_key")
+    out = keyed.join(broadcast_if_small(dropped.select("__exact_key")), "__exact_key", "left_anti")
+    mixed = dropped.where("stay > 0").select("__exact_key")
     if not mixed.isEmpty():  # repeated rows: an id that both stays and goes
-        longest = Window.partitionBy("_key").orderBy(F.length(F.col(text_col)).desc_nulls_last())
-        again = (keyed.join(broadcast_if_small(mixed), "_key", "left_semi")
-                 .withColumn("_copy", F.row_number().over(longest)).where("_copy = 1").drop("_copy"))
+        longest = Window.partitionBy("__exact_key").orderBy(F.length(F.col(text_col)).desc_nulls_last())
+        again = (keyed.join(broadcast_if_small(mixed), "__exact_key", "left_semi")
+                 .withColumn("__exact_copy", F.row_number().over(longest)).where("__exact_copy = 1").drop("__exact_copy"))
         out = out.unionByName(again)
     return out.select(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from locusframe.llm.byte_bpe import blocks, make_room
 from locusframe.llm.common import cut_compressed, number_rows, ship
 
-BLOCK_CHARS, CACHE = 2_000_000, 700_000
+BLOCK_CHARS, CACHE = 2_000_000, 450_000
 
 
 @lru_cache(maxsize=2)
@@ -31,14 +31,24 @@ def _words(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    encode, known = Tokenizer.from_file(path).encode_batch_fast, {"": b""}
+    encode = Tokenizer.from_file(path).encode_batch_fast
+    known, cores = {"": b""}, {"": b""}
+
+    def core(word: str) -> tuple[str, str]:
+        """A plain word without closing marks, in lower case, and the marks: the tokenizer splits there anyway."""
+        head = word.rstrip(".,;:!?")
+        return (head.lower(), word[len(head):]) if head.isascii() and head.isalnum() else (word, "")
 
     def ids(texts: list[str], end: int) -> list[bytes]:
         make_room(known, CACHE)
+        make_room(cores, CACHE)
         parts = [text.replace("\n", " ").split(" ") for text in texts]
-        fresh = list({word for words in parts for word in words if word not in known})
-        for word, found in zip(fresh, encode(fresh, add_special_tokens=False)):
-            known[word] = np.array(found.ids, "<u4").tobytes()
+        fresh = {word: core(word) for words in parts for word in words if word not in known}
+        wanted = list({x for both in fresh.values() for x in both if x not in cores})
+        for word, found in zip(wanted, encode(wanted, add_special_tokens=False)):
+            cores[word] = np.array(found.ids, "<u4").tobytes()
+        for word, (head, marks) in fresh.items():
+            known[word] = cores[head] + cores[marks]
         last = end.to_bytes(4, "little")
         return [b"".join(map(known.__getitem__, words)) + last for words in parts]
 

@@ -172,15 +172,15 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     A document of which no word is left goes.
     """
     found = removals(docs, id_col, text_col)
-    names = broadcast_if_small(found.select(F.col("doc").alias("_doc")))
+    names = broadcast_if_small(found.select(F.col("doc").alias("__passage_doc")))
     key = F.col(id_col).cast("long")
-    whole = docs.withColumn("_doc", key)
-    cut = whole.join(names, "_doc", "left_semi").join(found.withColumnsRenamed({"doc": "_doc", "spans": "_spans"}), "_doc")
+    whole = docs.withColumn("__passage_doc", key)
+    cut = whole.join(names, "__passage_doc", "left_semi").join(found.withColumnsRenamed({"doc": "__passage_doc", "spans": "__passage_spans"}), "__passage_doc")
 
     @F.pandas_udf("string")
     def clean(texts, spans):
         return texts.combine(spans, lambda text, x: text if text is None else without(text, list(x)))
 
-    changed = cut.withColumn(text_col, clean(F.col(text_col), F.col("_spans"))).where(
+    changed = cut.withColumn(text_col, clean(F.col(text_col), F.col("__passage_spans"))).where(
         F.col(text_col).rlike(WORD.pattern)).select(*docs.columns)
-    return whole.join(names, "_doc", "left_anti").select(*docs.columns).unionByName(changed)
+    return whole.join(names, "__passage_doc", "left_anti").select(*docs.columns).unionByName(changed)

@@ -88,12 +88,15 @@ def assemble(rows: DataFrame) -> DataFrame:
     """One row per pair: prompt, and for each completion its text and the code-point spans that are trained on."""
     segment = F.struct("turn", "role", "rendered", "trained")
     parts = rows.groupBy("chosen_id", "rejected_id").agg(*[
-        F.array_sort(F.collect_list(F.when(F.col("part") == p, segment))).alias(p) for p in ("prompt", "chosen", "rejected")])
-    spans = {p: F.filter(F.transform(p, lambda x, i, p=p: F.struct(
-        F.aggregate(F.slice(p, F.lit(1), i), F.lit(0), lambda acc, y: acc + F.length(y["rendered"])).alias("start"),
-        F.length(x["rendered"]).alias("length"), x["trained"].alias("trained"))), lambda x: x["trained"])
-        for p in ("chosen", "rejected")}
-    text = {p: F.array_join(F.transform(p, lambda x: x["rendered"]), "").alias(p) for p in ("prompt", "chosen", "rejected")}
-    return parts.select("chosen_id", "rejected_id", *text.values(), *[
-        F.transform(spans[p], lambda x: F.struct(x["start"].alias("start"), (x["start"] + x["length"]).alias("end"))).alias(f"{p}_trained")
-        for p in spans])
+        F.array_sort(F.collect_list(F.when(F.col("part") == p, segment))).alias(f"{p}_turns") for p in ("prompt", "chosen", "rejected")])
+    def spans(turns: str):
+        def span(x, k):
+            before = F.aggregate(F.slice(turns, F.lit(1), k), F.lit(0), lambda n, y: n + F.length(y["rendered"]))
+            return F.struct(before.alias("start"), (before + F.length(x["rendered"])).alias("end"), x["trained"].alias("trained"))
+
+        return F.transform(F.filter(F.transform(turns, span), lambda x: x["trained"]),
+                           lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+
+    text = {p: F.array_join(F.transform(f"{p}_turns", lambda x: x["rendered"]), "").alias(p) for p in ("prompt", "chosen", "rejected")}
+    return parts.select("chosen_id", "rejected_id", *text.values(),
+                        *[spans(f"{p}_turns").alias(f"{p}_trained") for p in ("chosen", "rejected")])
