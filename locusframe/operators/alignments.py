@@ -35,16 +35,24 @@ def _mate_facts(nuclear: Sequence[str]) -> Column:
     )
 
 
+def _file_keys(alignments: DataFrame) -> list[str]:
+    """Line numbers and query names are unique in one file only."""
+    return ["file"] if "file" in alignments.columns else []
+
+
 def pair_facts(
-    alignments: DataFrame, nuclear: Sequence[str], keys: Sequence[str] = ()
+    alignments: DataFrame, nuclear: Sequence[str], keys: Sequence[str] | None = None
 ) -> DataFrame:
-    """One row per query name with the facts its classes depend on.
+    """One row per key and query name with the facts its classes depend on.
 
+    Without ``keys`` the file is the key, if there is that column: runs that
+    share query names stay apart.
     The first primary mate of each side is the one with the lowest line
     number; line number and facts are packed into one integer, so the choice
     is a plain ``min`` that combines before the shuffle.
     """
     primary = ~C.flag_set("flag", C.SECONDARY | C.SUPPLEMENTARY)
+    keys = _file_keys(alignments) if keys is None else list(keys)
     packed = F.col("line_number") * _ALL + _mate_facts(nuclear)
     grouped = alignments.groupBy(*keys, "qname").agg(
         F.min(F.when(primary & C.flag_set("flag", C.FIRST), packed)).alias("m1"),
@@ -88,7 +96,7 @@ def pair_facts(
 
 def pair_summary(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Counts of every pair class, and whether the classes cover all pairs."""
-    classes = [c for c in pairs.columns if c not in (*keys, "qname")]
+    classes = [name for name, kind in pairs.dtypes if kind == "boolean" and name not in keys]
     counted = pairs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_query_pairs"),
         *[F.count_if(c).alias(c) for c in classes])
@@ -180,15 +188,20 @@ def with_motifs(
 
 def reference_identity(
     alignments: DataFrame, chunks: DataFrame, sequences: DataFrame,
-    row_key: str = "line_number", chunk_bits: int = CHUNK_BITS,
+    row_key: str | Sequence[str] | None = None, chunk_bits: int = CHUNK_BITS,
 ) -> DataFrame:
     """Aligned and matching bases of every record against its reference.
 
+    ``row_key`` tells records apart: by default file, if there is that
+    column, and line number.
     Each aligned block is cut at chunk borders and carries only its own bases,
     so introns of any length need no wide overlap.  A block that runs past
     the read or the sequence makes the record invalid; counts of the blocks
     before it are kept.
     """
+    if row_key is None:
+        row_key = [*_file_keys(alignments), "line_number"]
+    row_key = [row_key] if isinstance(row_key, str) else list(row_key)
     walk = alignments.join(
         sequences.select(F.col("seqid").alias("rname"), "length"), "rname", "left"
     ).withColumns({
@@ -222,7 +235,7 @@ def reference_identity(
     })
     size = 1 << chunk_bits
     placed = described.select(
-        row_key, "rname", "seq", F.explode(aligned_blocks).alias("b")
+        *row_key, "rname", "seq", F.explode(aligned_blocks).alias("b")
     ).where(F.col("b.ref_end") > F.col("b.ref_start")).withColumn(
         "chunk_no", F.explode(F.sequence(
             F.shiftright("b.ref_start", chunk_bits),
@@ -231,7 +244,7 @@ def reference_identity(
     low = F.greatest(F.col("b.ref_start"), base)
     high = F.least(F.col("b.ref_end"), base + size)
     queries = placed.select(
-        row_key, F.col("rname").alias("seqid"), "chunk_no", (low - base).cast("int").alias("at"),
+        *row_key, F.col("rname").alias("seqid"), "chunk_no", (low - base).cast("int").alias("at"),
         F.substring("seq", (F.col("b.read_start") + low - F.col("b.ref_start") + 1).cast("int"),
                     (high - low).cast("int")).alias("query"))
     target = F.substring("bases", F.col("at") + 1, F.length("query"))
@@ -239,8 +252,8 @@ def reference_identity(
                       lambda q, r: (q == r).cast("int"))
     matched = (
         queries.join(chunks, ["seqid", "chunk_no"])
-        .select(row_key, F.aggregate(same, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))).alias("m"))
-        .groupBy(row_key).agg(F.sum("m").alias("matches"))
+        .select(*row_key, F.aggregate(same, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))).alias("m"))
+        .groupBy(*row_key).agg(F.sum("m").alias("matches"))
     )
     valid = F.col("stop").isNull() & (F.col("aligned_bases") > 0)
     return described.join(matched, row_key, "left").withColumn(

@@ -55,11 +55,15 @@ def as_runs(depth: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def incomplete_depth(depth: DataFrame, sequences: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Sequences whose depth table does not hold every position exactly once."""
     keys = list(keys)
-    seen = depth.groupBy(*keys).agg(F.count(F.lit(1)).alias("positions"))
+    per_position = depth.groupBy(*keys, "pos").agg(F.count(F.lit(1)).alias("n"))
+    seen = per_position.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("positions"), F.sum("n").alias("records"))
     return (
         sequences.select(*keys, "length").join(seen, keys, "left")
         .withColumn("positions", F.coalesce("positions", F.lit(0)))
-        .where(F.col("positions") != F.col("length"))
+        .where((F.col("positions") != F.col("length"))
+               | (F.coalesce("records", F.lit(0)) != F.col("length")))
+        .drop("records")
     )
 
 

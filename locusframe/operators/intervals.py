@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.operators.scans import prefix_scan
@@ -189,25 +188,18 @@ def gap_neighbours(
 
 
 def pack_neighbours(neighbours: DataFrame, limit: int = 1000) -> DataFrame:
-    """``region_id, left_ids, right_ids`` arrays for row-shaped exports.
+    """``region_id, part, left_ids, right_ids`` arrays for row-shaped exports.
 
-    An edge shared by more than ``limit`` entities gets a NULL array and its
-    true count; those ids stay in the long table, which always holds all.
+    Part 0 of a region has its first ``limit`` ids of each side, part 1 the
+    next, and so on: every id is in some part, and no cell outgrows the limit.
     """
-    ranked = neighbours.groupBy("region_id", "side").agg(F.count(F.lit(1)).alias("n"))
-    small = neighbours.join(ranked.where(F.col("n") <= limit), ["region_id", "side"], "left_semi")
-    packed = (
-        small.groupBy("region_id", "side")
-        .agg(F.array_sort(F.collect_list("entity_id")).alias("ids"))
-    )
-    both = ranked.join(packed, ["region_id", "side"], "left")
-    is_left, is_right = F.col("side") == "left", F.col("side") == "right"
-    return both.groupBy("region_id").agg(
-        F.max(F.when(is_left, F.col("ids"))).alias("left_ids"),
-        F.max(F.when(is_right, F.col("ids"))).alias("right_ids"),
-        F.max(F.when(is_left, F.col("n"))).alias("left_count"),
-        F.max(F.when(is_right, F.col("n"))).alias("right_count"),
-    )
+    order = Window.partitionBy("region_id", "side").orderBy("entity_id")
+    placed = neighbours.withColumn("part", F.floor((F.row_number().over(order) - 1) / limit).cast("int"))
+
+    def ids(side: str):
+        return F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("entity_id")))).alias(f"{side}_ids")
+
+    return placed.groupBy("region_id", "part").agg(ids("left"), ids("right"))
 
 
 # --- sequence ends ---------------------------------------------------------
@@ -376,20 +368,6 @@ def start_in_interval(
     )
 
 
-def fitting_bits(*sides: tuple[DataFrame, str, str]) -> int:
-    """Bin width, as a power of two, that fits the mean interval length.
-
-    With bins at least as wide as the mean of either side, binning emits at
-    most two rows per interval on average, and a bin holds few intervals that
-    do not overlap.  Costs one scan of two columns per side.
-    """
-    widest = 1.0
-    for df, start, end in sides:
-        mean = df.agg(F.avg(F.col(end) - F.col(start))).first()[0]
-        widest = max(widest, mean or 1.0)
-    return max(1, math.ceil(math.log2(widest)))
-
-
 def overlapping_entities(
     entities: DataFrame, keys: Sequence[str] = KEYS, bits: int = BIN_BITS
 ) -> DataFrame:

@@ -63,11 +63,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Repartition input that has fewer partitions than the cluster has slots.
 
     A gzip file or a file with one row group is read by one task, and narrow
     work after it would stay there.  Input with enough splits is left alone.
+    ``partitions`` are those of the scan; without them ``df`` must be a scan,
+    as counting the partitions of anything wider would run its shuffles.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    known = df.rdd.getNumPartitions() if partitions is None else partitions
+    return df.repartition(slots) if known < slots else df

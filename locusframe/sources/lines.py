@@ -34,11 +34,12 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "file", "block",
         (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first_row") + 1).alias("offset"),
     )
-    splits = raw.rdd.getNumPartitions() + len(raw.inputFiles())
+    scanned = raw.rdd.getNumPartitions()
+    splits = scanned + len(raw.inputFiles())
     if splits <= BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
     return spread(raw.join(offsets, ["file", "block"]).select(
-        "file", (F.col("row") + F.col("offset")).alias("line_number"), "value"))
+        "file", (F.col("row") + F.col("offset")).alias("line_number"), "value"), scanned)
 
 
 def assert_empty(violations: DataFrame, columns: tuple[str, ...] = ("file", "line_number")) -> None:

@@ -79,6 +79,22 @@ def test_malformed_record(spark, tmp_path):
     assert found.alignments.isEmpty() and found.violations.count() == 1
 
 
+def test_files_with_equal_lines_and_names_stay_apart(spark):
+    chunks, lengths = store(spark, {"r": "ACGTACGTAC"})
+    data = [("x", 1, "q", 99, "r", "4M", "ACGT"), ("x", 2, "q", 147, "r", "4M", "ACGT"),
+            ("y", 1, "q", 77, "*", "*", "ACGT"), ("y", 2, "q", 141, "*", "*", "ACGT"), ("z", 1, "s", 99, "r", "4M", "ACCC")]
+    df = spark.createDataFrame(data, "file STRING, line_number BIGINT, qname STRING, flag INT, rname STRING, cigar STRING, "
+                               "seq STRING").withColumns({"pos": F.lit(1).cast("bigint"), "nh": F.lit(1)})
+    aligned = df.where("cigar <> '*'")
+    assert rows(AL.reference_identity(aligned, chunks, lengths), "file", "line_number", "matches", "reference_identity") == [
+        ("x", 1, 4, 1.0), ("x", 2, 4, 1.0), ("z", 1, 2, 0.5)]
+    pairs = AL.pair_facts(df, ["r"])
+    assert rows(pairs, "file", "pair_unmapped", "pair_both_mapped") == [
+        ("x", False, True), ("y", True, False), ("z", False, False)]
+    total = AL.pair_summary(pairs).first()
+    assert (total["total_query_pairs"], total["pair_unmapped"], total["classification_complete"]) == (3, 1, True)
+
+
 def test_reference_identity(spark):
     chunks, lengths = store(spark, {"r": "ACGTNNGTAC", "short": "ACGTAC", "long": "ACGT" * 20})
     data = [

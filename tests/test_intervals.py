@@ -103,7 +103,6 @@ def test_overlap_pairs_against_brute_force(spark):
         found = IV.overlapping_entities(df, bits=bits)
         assert rows(found, "left_id", "right_id", "kind", "intersection_start",
                     "intersection_end") == sorted(want)
-    assert IV.fitting_bits((df, "start_pos", "end_pos")) == 5
 
 
 def test_subtraction_against_brute_force(spark):
@@ -178,3 +177,27 @@ def test_prefix_scan_kinds(spark, bits):
                          vs[i + 1][1] if i + 1 < len(vs) else None, sum(x for _, x in vs)))
     assert sorted(map(tuple, found.select("k", "p", "s", "m", "prev", "next", "t").collect()),
                   key=lambda r: r[:2]) == want
+
+
+def test_packed_neighbours_hold_every_id(spark):
+    data = [("g", "left", f"e{k:04d}") for k in range(50)] + [("g", "right", "r"), ("h", "right", "x")]
+    packed = IV.pack_neighbours(spark.createDataFrame(data, "region_id STRING, side STRING, entity_id STRING"), limit=20)
+    found = {(r["region_id"], r["part"]): (r["left_ids"], r["right_ids"]) for r in packed.collect()}
+    assert sorted(x for (region, _), (left, _) in found.items() if region == "g" for x in left) == [f"e{k:04d}" for k in range(50)]
+    assert [len(found[("g", k)][0]) for k in range(3)] == [20, 20, 10] and found[("h", 0)] == ([], ["x"])
+
+
+def test_depth_with_a_doubled_and_a_missing_position(spark):
+    from locusframe.operators import coverage as CO
+
+    depth = spark.createDataFrame([("a", 0), ("a", 0), ("b", 0), ("b", 1), ("c", 0), ("c", 1), ("c", 1)], "seqid STRING, pos INT")
+    known = spark.createDataFrame([("a", 2), ("b", 2), ("c", 2), ("d", 1)], "seqid STRING, length INT")
+    assert rows(CO.incomplete_depth(depth, known), "seqid") == [("a",), ("c",), ("d",)]
+
+
+def test_parent_chains_of_any_length(spark):
+    from locusframe.operators import annotation as AN
+
+    links = spark.createDataFrame([(f"n{k + 1}", f"n{k}") for k in range(40)], "child_id STRING, parent_id STRING")
+    seeds = spark.createDataFrame([("n0",)], "id STRING")
+    assert {r["id"]: r["steps"] for r in AN.reachable_ids(links, seeds).collect()} == {f"n{k}": k for k in range(41)}

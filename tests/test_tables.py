@@ -161,9 +161,10 @@ def test_gates(spark):
     fields = spark.createDataFrame([("s", "", "x"), ("t", "a", "b")], "source_id STRING, strain STRING, terms STRING")
     assert rows(CH.incomplete_fields(fields, {"strain": "no strain", "terms": "no terms"}), "source_id", "reasons") == [
         ("s", ["no strain"])]
-    paths = spark.createDataFrame([("a/SRR9_1.fq",), ("a/../b",), ("/etc/x",), ("a/..b",)], "path STRING")
+    paths = spark.createDataFrame([("a/SRR9_1.fq",), ("a/../b",), ("/etc/x",), ("a/..b",), ("../y/z",),
+                                   ("/root/x/../z",), ("/root/y/../x/a",), ("../x/b",)], "path STRING")
     assert CH.forbidden_files(paths, ["srr9"]).count() == 1
-    assert rows(CH.paths_outside(paths, "/root/x"), "path") == [("/etc/x",), ("a/../b",)]
+    assert rows(CH.paths_outside(paths, "/root/x"), "path") == [("../y/z",), ("/etc/x",), ("/root/x/../z",)]
     screen = spark.createDataFrame([("r", 0, 0, 0, 0, 0, 0), ("s", 100, 10, 2, 0, 100, 6)],
         "run_id STRING, total_query_pairs INT, pair_unmapped INT, vector_pairs_all INT, vector_pairs_unmapped INT, "
         "nuclear_bins INT, nuclear_outlier_bins INT")
