@@ -122,14 +122,15 @@ def temporal_independence(records: DataFrame, sample_date: str, release_date: st
 
 
 def accession_links(
-    archive: DataFrame, report: DataFrame, expected: DataFrame, key: str = "run"
+    archive: DataFrame, report: DataFrame, expected: DataFrame, key: str = "run",
+    facts: Sequence[str] = ("experiment", "sample", "study"),
 ) -> DataFrame:
     """Cross-file accession consistency of every expected run.
 
-    The three tables share ``run, experiment, sample, study``; a run fails if
-    any file lacks it or names another accession.
+    The three tables share ``run`` and the ``facts``, to which project and
+    publication can be added; a run fails if any file lacks it or names
+    another accession.
     """
-    facts = ("experiment", "sample", "study")
     named = expected
     for name, table in (("archive", archive), ("report", report)):
         named = named.join(

@@ -563,15 +563,16 @@ def oracle_sql() -> dict[str, str]:
         "motif_counts": _w(BASES, """SELECT motif, motif IN ('GT-AG','GC-AG','AT-AC','CT-AC','CT-GC','GT-AT') AS canonical, count(*) AS n FROM (
           SELECT CASE WHEN length(bases) >= 30 THEN substr(bases, 6, 2) || '-' || substr(bases, 29, 2) ELSE 'unavailable' END AS motif FROM bases) GROUP BY motif"""),
         "reference_identity": _w(BASES, """, r AS (SELECT seqid, bases,
-            substr(bases, 11, 20) || substr(bases, 45, 30) || 'AAAAA' AS q, length(bases) AS n FROM bases),
+            substr(bases, 11, 20) || substr(bases, 45, 30) || 'AAAAA' AS q1, length(bases) AS n, file,
+            CASE file WHEN 'a' THEN q1 ELSE repeat('A', length(q1)) END AS q FROM bases, (VALUES ('a'), ('b')) f(file)),
           ok AS (SELECT *, n >= 30 AS one, n >= 70 AND length(q) >= 50 AS two FROM r),
-          cmp AS (SELECT seqid, sum(CAST(substr(q, i, 1) = substr(bases, CASE WHEN i <= 20 THEN i + 10 ELSE i + 20 END, 1) AS INT)) AS m
-            FROM ok, generate_series(1, 50) g(i) WHERE one AND (i <= 20 OR two) GROUP BY seqid)
-          SELECT ok.seqid, CASE WHEN one AND two THEN 50 WHEN one THEN 20 ELSE 0 END AS aligned_bases,
+          cmp AS (SELECT seqid, file, sum(CAST(substr(q, i, 1) = substr(bases, CASE WHEN i <= 20 THEN i + 10 ELSE i + 20 END, 1) AS INT)) AS m
+            FROM ok, generate_series(1, 50) g(i) WHERE one AND (i <= 20 OR two) GROUP BY seqid, file)
+          SELECT ok.file, ok.seqid, CASE WHEN one AND two THEN 50 WHEN one THEN 20 ELSE 0 END AS aligned_bases,
             CAST(coalesce(m, 0) AS BIGINT) AS matches, 0 AS splice_junctions,
             CASE WHEN NOT one THEN 10 WHEN two THEN 70 ELSE 40 END AS target_end, one AND two AS coordinate_valid,
             CASE WHEN one AND two THEN round(m / 50.0::DOUBLE, 6) END AS reference_identity
-          FROM ok LEFT JOIN cmp ON cmp.seqid = ok.seqid"""),
+          FROM ok LEFT JOIN cmp ON cmp.seqid = ok.seqid AND cmp.file = ok.file"""),
         "fasta_export": _w(BASES, """SELECT format('>{0} seqid={0} start=0 end={1} length={1}', seqid, length(bases)) || chr(10) ||
           array_to_string(list_transform(range((length(bases) + 69) // 70), lambda i: substr(bases, i*70 + 1, 70)), chr(10)) AS value
           FROM bases WHERE length(bases) > 0"""),
@@ -597,4 +598,34 @@ def oracle_sql() -> dict[str, str]:
             coalesce(count(*) FILTER (WHERE o_orderstatus = 'F' AND o_totalprice > 450000) / CAST(nullif(count(*) FILTER (WHERE o_orderstatus = 'F'), 0) AS DOUBLE), 0) AS u,
             coalesce(count(*) FILTER (WHERE o_orderpriority < '2') / CAST(nullif(count(*) FILTER (WHERE o_orderpriority < '4'), 0) AS DOUBLE), 0) AS o
           FROM orders GROUP BY o_custkey)""",
+        "paths_outside": """SELECT c_custkey, path FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN concat('../../e/', c_custkey)
+            WHEN c_custkey % 5 = 0 THEN concat('a/', c_custkey) WHEN c_custkey % 5 = 1 THEN concat('../x/', c_custkey)
+            WHEN c_custkey % 5 = 2 THEN concat('d/../', c_custkey) WHEN c_custkey % 5 = 3 THEN concat('/root/x/./', c_custkey)
+            ELSE concat('/root/x/../', c_custkey) END AS path FROM customer) WHERE c_custkey % 7 = 0 OR c_custkey % 5 = 4""",
+        "forbidden_files": """SELECT c_custkey, concat('d/', CASE c_custkey % 3 WHEN 0 THEN 'SRR' WHEN 1 THEN 'srr_' ELSE 'xsrr' END, c_custkey) AS path
+          FROM customer WHERE c_custkey % 3 < 2""",
+        "missing_assembly_directive": """SELECT concat('f', c_custkey) AS file FROM customer WHERE c_custkey % 4 <> 0 AND NOT EXISTS (
+          SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 3 = 1)""",
+        "incomplete_fields": """SELECT c_custkey AS source_id, concat_ws('|', CASE WHEN c_custkey % 3 = 0 THEN 'no strain' END,
+            CASE WHEN c_custkey % 4 = 0 THEN 'no terms' END) AS reasons FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 4 = 0""",
+        "mirror_groups": """SELECT c_nationkey AS independence_group, count(*) AS source_count,
+          count(*) FILTER (WHERE c_custkey % 3 = 0) AS mirror_count, count(*) FILTER (WHERE c_custkey % 3 <> 0) = 1 AS explicit
+          FROM customer GROUP BY c_nationkey""",
+        "metadata_contract": """SELECT c_custkey AS run, 'nation' AS "check", CAST(c_nationkey AS VARCHAR) AS expected,
+            CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_nationkey + CAST(c_custkey % 3 = 0 AS INT) AS VARCHAR) END AS observed,
+            c_custkey % 5 <> 0 AND c_custkey % 3 <> 0 AS ok FROM customer
+          UNION ALL SELECT c_custkey, 'segment', c_mktsegment, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END, c_custkey % 5 <> 0 FROM customer""",
+        "accession_links": """SELECT c_custkey AS run, concat('e', c_custkey) AS experiment, concat('p', c_nationkey) AS project,
+          concat('10.1/', c_mktsegment) AS publication, c_custkey % 5 <> 0 AS archive_ok, c_custkey % 4 <> 0 AS report_ok,
+          c_custkey % 5 <> 0 AND c_custkey % 4 <> 0 AS consistent FROM customer""",
+        "declared_bytes": "SELECT CAST(sum(o_orderkey + o_custkey) AS BIGINT) AS declared_total_bytes FROM orders",
+        "alignment_classes": """SELECT classification, alignment_orientation, count(*) AS n FROM (SELECT
+            CASE WHEN l_linenumber % 3 = 2 OR l_returnflag = 'A' THEN 'multi_mapping'
+              WHEN l_discount > 0.08 OR l_quantity < 25 THEN 'conflict' WHEN l_tax > 0.06 THEN 'endpoint_limited' ELSE 'success' END AS classification,
+            CASE WHEN l_returnflag = 'N' THEN 'reverse' ELSE 'forward' END AS alignment_orientation FROM lineitem) GROUP BY ALL""",
+        "endpoint_classes": """SELECT k.status AS alignment_class, count(l_orderkey) AS n FROM (
+            VALUES ('success'), ('conflict'), ('multi_mapping'), ('endpoint_limited'), ('unmappable')) k(status) LEFT JOIN (SELECT l_orderkey,
+            CASE WHEN l_linenumber % 3 = 2 OR l_returnflag = 'A' THEN 'multi_mapping'
+              WHEN l_discount > 0.08 OR l_quantity < 25 THEN 'conflict' WHEN l_tax > 0.06 THEN 'endpoint_limited' ELSE 'success' END AS c
+            FROM lineitem) ON c = k.status GROUP BY k.status""",
     }

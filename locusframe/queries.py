@@ -375,8 +375,12 @@ def reference_identity(spark, d):
         F.col("seqid").alias("rname"), F.col("seqid").alias("line_number"),
         F.lit(11).cast("bigint").alias("pos"), F.lit("20M10D30M5S").alias("cigar"),
         F.concat(F.substring("bases", 11, 20), F.substring("bases", 45, 30), F.lit("AAAAA")).alias("seq"))
-    found = AL.reference_identity(reads, chunks, lengths)
+    # Two files with equal line numbers; the reads of the second hold one base only.
+    files = reads.withColumn("file", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumn(
+        "seq", F.when(F.col("file") == "a", F.col("seq")).otherwise(F.repeat(F.lit("A"), F.length("seq"))))
+    found = AL.reference_identity(files, chunks, lengths)
     return found.select(
+        "file",
         F.col("rname").alias("seqid"), "aligned_bases", "matches", "splice_junctions", "target_end",
         "coordinate_valid", "reference_identity")
 
@@ -681,3 +685,100 @@ def acceptance_checks(spark, d):
         F.lit("solvent"), F.when(F.col("c_acctbal") >= 0, "yes").otherwise("no")
     )).alias("check", "observed"))
     return PR.accepted(PR.acceptance_checks(expected, observed))
+
+
+# --- checks over derived records -------------------------------------------
+
+@query
+def paths_outside(spark, d):
+    key = F.col("c_custkey")
+    path = (F.when(key % 7 == 0, F.concat(F.lit("../../e/"), key)).when(key % 5 == 0, F.concat(F.lit("a/"), key))
+            .when(key % 5 == 1, F.concat(F.lit("../x/"), key)).when(key % 5 == 2, F.concat(F.lit("d/../"), key))
+            .when(key % 5 == 3, F.concat(F.lit("/root/x/./"), key)).otherwise(F.concat(F.lit("/root/x/../"), key)))
+    return CH.paths_outside(A.table(spark, d, "customer").select("c_custkey", path.alias("path")), "/root/x")
+
+
+@query
+def forbidden_files(spark, d):
+    key = F.col("c_custkey")
+    name = F.when(key % 3 == 0, "SRR").when(key % 3 == 1, "srr_").otherwise("xsrr")
+    files = A.table(spark, d, "customer").select("c_custkey", F.concat(F.lit("d/"), name, key).alias("path"))
+    return CH.forbidden_files(files, ["srr"])
+
+
+@query
+def missing_assembly_directive(spark, d):
+    directives = A.table(spark, d, "orders").select(
+        F.concat(F.lit("f"), "o_custkey").alias("file"),
+        F.concat(F.lit("#!genome-build-accession NCBI_Assembly:A"), F.col("o_orderkey") % 3).alias("value"))
+    expected = A.table(spark, d, "customer").select(
+        F.concat(F.lit("f"), "c_custkey").alias("file"), F.lit("A1").alias("assembly_accession"),
+        (F.col("c_custkey") % 4 != 0).alias("required"))
+    return CH.missing_assembly_directive(directives, expected).select("file")
+
+
+@query
+def incomplete_fields(spark, d):
+    key = F.col("c_custkey")
+    sources = A.table(spark, d, "customer").select(
+        key.alias("source_id"), F.when(key % 3 != 0, F.col("c_mktsegment")).alias("strain"),
+        F.when(key % 4 == 0, "  ").otherwise(F.col("c_name")).alias("terms"))
+    found = CH.incomplete_fields(sources, {"strain": "no strain", "terms": "no terms"})
+    return found.select("source_id", F.array_join("reasons", "|").alias("reasons"))
+
+
+@query
+def mirror_groups(spark, d):
+    mirror = F.when(F.col("c_custkey") % 3 == 0, "coordinate mirror").otherwise("original")
+    return GA.mirror_groups(A.table(spark, d, "customer").select(
+        F.col("c_nationkey").alias("independence_group"), mirror.alias("relationship")))
+
+
+@query
+def metadata_contract(spark, d):
+    key = F.col("c_custkey")
+    customers = A.table(spark, d, "customer")
+    observed = customers.where(key % 5 != 0).select(
+        key.alias("run"), (F.col("c_nationkey") + (key % 3 == 0).cast("int")).alias("nation"),
+        F.col("c_mktsegment").alias("segment"))
+    expected = GA.observed_checks(
+        customers.select(key.alias("run"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")),
+        ["run"], ["nation", "segment"]).withColumnRenamed("observed", "expected")
+    return GA.metadata_contract(GA.observed_checks(observed, ["run"], ["nation", "segment"]), expected, ["run"])
+
+
+@query
+def accession_links(spark, d):
+    key = F.col("c_custkey")
+    expected = A.table(spark, d, "customer").select(
+        key.alias("run"), F.concat(F.lit("e"), key).alias("experiment"),
+        F.concat(F.lit("p"), "c_nationkey").alias("project"), F.concat(F.lit("10.1/"), "c_mktsegment").alias("publication"))
+    archive = expected.where("run % 5 <> 0")
+    report = expected.withColumn("project", F.when(F.col("run") % 4 == 0, "other").otherwise(F.col("project")))
+    return GA.accession_links(archive, report, expected, "run", ["experiment", "project", "publication"])
+
+
+@query
+def declared_bytes(spark, d):
+    records = A.table(spark, d, "orders").select(F.concat_ws(";", "o_orderkey", "o_custkey", F.lit("x")).alias("bytes"))
+    return GA.declared_bytes(records, "bytes")
+
+
+def _measured(spark: SparkSession, d: str) -> DataFrame:
+    records = A.table(spark, d, "lineitem").select(
+        F.nullif(F.col("l_linenumber") % 3, F.lit(0)).alias("nh"),
+        F.when(F.col("l_returnflag") == "A", 256).when(F.col("l_returnflag") == "N", 16).otherwise(0).alias("flag"),
+        (F.col("l_discount") <= 0.08).alias("coordinate_valid"), (F.col("l_quantity") / 50).alias("reference_identity"),
+        F.when(F.col("l_tax") > 0.06, "near an end").alias("endpoint_status"))
+    return AL.classify(records, 0.5)
+
+
+@query
+def alignment_classes(spark, d):
+    return _measured(spark, d).groupBy("classification", "alignment_orientation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def endpoint_classes(spark, d):
+    found = AL.class_counts(_measured(spark, d))
+    return found.toDF("alignment_class", "n")
