@@ -20,8 +20,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.llm import shingles
 from locusframe.llm.common import anti_join, components, cut_lineage, semi_join, ship
-from locusframe.llm.shingles import band_keys, minhash, mix, shingles, word_hashes
+from locusframe.llm.shingles import band_keys, minhash, mix
 
 BANDS, ROWS = 32, 6
 #: Bits of the parity bitmap, and hash ranges that give a sample each.
@@ -51,18 +52,21 @@ def features(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int,
         import xxhash
 
         for batch in batches:
-            n, high, low, keys, sketch = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                values = np.unique(shingles(word_hashes(text), width))
+            n, high, low, signatures, sketch = [], [], [], [], []
+            for values in shingles.shingle_sets(batch.column(1).to_pylist(), width):
                 digest = xxhash.xxh3_128_intdigest(values.tobytes())
                 n.append(len(values))
                 high.append((digest >> 64) - 2**63)
                 low.append((digest & (2**64 - 1)) - 2**63)
-                keys.append(band_keys(minhash(values, bands * rows), bands, rows) if len(values) else None)
+                signatures.append(minhash(values, bands * rows))
                 sketch.append(odd_sketch(values) if len(values) else None)
+            banded = band_keys(np.array(signatures, np.uint32).reshape(-1, bands * rows), bands, rows)
+            keys = pa.array(banded.ravel()), pa.array(np.arange(len(n) + 1) * bands, pa.int32())
+            # An empty set has no bands.
+            keys = pa.ListArray.from_arrays(keys[1], keys[0], mask=pa.array([not x for x in n], pa.bool_()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                 keys, pa.array(sketch, pa.binary())],
                 names=["id", "n", "high", "low", "keys", "sketch"])
 
     ship(docs.sparkSession)
@@ -77,7 +81,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
         import pyarrow as pa
 
         for batch in batches:
-            sets = [np.unique(shingles(word_hashes(t), width)).view(np.int64) for t in batch.column(1).to_pylist()]
+            sets = [values.view(np.int64) for values in shingles.shingle_sets(batch.column(1).to_pylist(), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
 
     ship(docs.sparkSession)

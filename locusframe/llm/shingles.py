@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
-from locusframe.llm.byte_bpe import make_room
+from locusframe.llm.byte_bpe import blocks
 
-#: Words are split on ASCII white space after lower-casing A-Z; their hashes are cached.
-CACHE = 500_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-@lru_cache(maxsize=1)
-def _known() -> _Hashes:
-    return _Hashes()
+#: Bytes of a text that are hashed at once; a longer word is still hashed whole.
+PART = 1 << 20
+_BASE = 0x9E3779B97F4A7C13  # odd, so that its powers can be divided by
 
 
 @lru_cache(maxsize=8)
@@ -39,11 +28,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+@lru_cache(maxsize=8)
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+@lru_cache(maxsize=1)
+def _bytes() -> tuple[np.ndarray, np.ndarray]:
+    """A random number for each byte, and which bytes part words."""
+    blank = np.zeros(256, bool)
+    blank[[9, 10, 11, 12, 13, 32]] = True
+    return odd_numbers(256, 3), blank
+
+
 def word_hashes(text: str) -> np.ndarray:
-    words = text.encode().lower().split()
-    known = _known()
-    make_room(known, CACHE)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    """One 64-bit hash per word, in text order: words are split on ASCII white space after lower-casing A-Z.
+
+    A hash is a polynomial of the word's bytes, taken as a difference of
+    running sums, so a text costs a few passes over its bytes.
+    """
+    return _hashed(text.encode())[0]
+
+
+def _hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and where they start."""
+    numbers, blank = _bytes()
+    data = np.frombuffer(text.lower(), np.uint8)
+    parting = np.concatenate([[True], blank[data], [True]])
+    starts = np.flatnonzero(parting[:-2] & ~parting[1:-1])
+    ends = np.flatnonzero(~parting[1:-1] & parting[2:]) + 1
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, base + PART, "right")))
+        size = int(ends[to - 1] - base)
+        room = max(PART, 1 << (size - 1).bit_length())
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(numbers[data[base:base + size]] * _powers(room, _BASE)[:size], out=sums[1:])
+        first = starts[at:to] - base
+        out[at:to] = (sums[ends[at:to] - base] - sums[first]) * _powers(room, pow(_BASE, -1, 2**64))[first]
+        at = to
+    return mix(out), starts
+
+
+def shingle_sets(texts: list[str], width: int = 5) -> Iterator[np.ndarray]:
+    """The sorted set of shingle hashes of each text; many short texts are hashed together."""
+    for block in blocks(texts, PART // 4):
+        raw = [text.encode() for text in block]
+        words, starts = _hashed(b"\n".join(raw))
+        whole = shingles(words, width)
+        cuts = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raw)])).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield distinct(whole[a:b - width + 1] if b - a >= width else shingles(words[a:b], width))
 
 
 def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
@@ -59,6 +97,12 @@ def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
     return mix(out)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The set of the values, sorted."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def minhash(values: np.ndarray, count: int) -> np.ndarray:
     """Smallest of each of ``count`` 32-bit permutations over the set."""
     factors, shifts = odd_numbers(count, 32, 32)[:, None], odd_numbers(count, 33, 32)[:, None]
