@@ -114,8 +114,8 @@ def test_neighbours_are_the_members_on_the_edge(nuclear, regions):
     found = IV.gap_neighbours(regions, nuclear)
     packed = {r["region_id"]: (r["left_ids"], r["right_ids"]) for r in IV.pack_neighbours(found).collect()}
     assert packed["chr2:intergenic:000001"] == (["g6"], ["g7"])
-    tight = IV.pack_neighbours(found, limit=0).first()
-    assert tight["left_ids"] is None and tight["left_count"] == 1
+    tight = IV.pack_neighbours(found, limit=1).where("region_id = 'chr2:intergenic:000001'").first()
+    assert (tight["part"], tight["left_ids"], tight["right_ids"]) == (0, ["g6"], ["g7"])
 
 
 def test_terminals(genome, nuclear):
