@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locusframe.session import broadcast_if_small, cut_lineage, shared_folder
+from locusframe.session import broadcast_if_small, shared_folder
 
-__all__ = ["anti_join", "components", "cut_compressed", "cut_lineage", "number_rows", "semi_join", "ship", "table"]
+__all__ = ["anti_join", "components", "cut_compressed", "cut_lineage", "number_rows", "scratch", "semi_join", "ship", "table"]
 
 
 _shipped: set[str] = set()
@@ -51,13 +52,44 @@ def anti_join(df: DataFrame, written: DataFrame, on: str) -> DataFrame:
     return df.join(broadcast_if_small(written.select(on)), on, "left_anti")
 
 
-def cut_compressed(df: DataFrame) -> DataFrame:
-    """``cut_lineage`` with a denser codec, for tables that hold whole texts or token ids."""
+_scopes: list[list[str]] = []
+
+
+def cut_lineage(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """Write ``df`` to the folder of ``spark.checkpoint.dir`` and read it back; a ``scratch`` scope deletes it at its end."""
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_compressed(df: DataFrame) -> DataFrame:
+    """``cut_lineage`` with a denser codec, for tables that hold whole texts or token ids."""
+    return cut_lineage(df, "zstd")
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables cut inside are deleted at the end, but for those that the yielded function cuts."""
+    _scopes.append([])
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept = cut_lineage(df)
+        path = _scopes[-1].pop()
+        if len(_scopes) > 1:
+            _scopes[-2].append(path)
+        return kept
+
+    try:
+        yield keep
+    finally:
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        for name in _scopes.pop():
+            path = hadoop.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def number_rows(df: DataFrame, key: str, order: Sequence[str], name: str, sizes: DataFrame,
                 per_block: int = 2_000) -> DataFrame:
     """Gapless numbers from 0 within each key, with about ``per_block`` rows to a task.

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.llm import shingles
-from locusframe.llm.common import anti_join, components, cut_lineage, semi_join, ship
+from locusframe.llm.common import anti_join, components, cut_lineage, scratch, semi_join, ship
 from locusframe.llm.shingles import band_keys, minhash, mix
 
 BANDS, ROWS = 32, 6
@@ -268,6 +268,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85,
                          bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``docs`` with one document of each component, all columns kept; rows without an id stay."""
-    gone = cut_lineage(near_duplicates(docs, id_col, text_col, percent, bands=bands, rows=rows)
-                       .where(~F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct())
+    with scratch(docs.sparkSession) as keep:
+        gone = keep(near_duplicates(docs, id_col, text_col, percent, bands=bands, rows=rows)
+                    .where(~F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct())
     return anti_join(docs, gone, id_col).select(*docs.columns)
