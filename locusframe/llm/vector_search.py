@@ -124,7 +124,9 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id"
     lengths = rows.groupBy(F.size(vector_col).alias("d")).count().where("d > 0").orderBy(F.desc("count"), "d").first()
     dim = lengths["d"] if lengths else 2
     held = cut_lineage(entries(rows, id_col, vector_col, dim, k + 1))
-    sample = held.orderBy(F.xxhash64("entry")).limit(SAMPLE).select("v").toPandas()["v"]
+    # Rows whose hash is below a share of the range: about SAMPLE of any table, chosen before they leave their task.
+    chosen = F.pmod(F.xxhash64("entry"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(held.count(), 1)) * (1 << 30))
+    sample = held.where(chosen).select("entry", "v").toPandas().sort_values("entry")["v"]
     empty = "query_id bigint, rank int, vec_id bigint, score double"
     if not len(sample):
         return spark.createDataFrame([], empty)
