@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.llm import shingles
-from locusframe.llm.common import anti_join, components, cut_lineage, scratch, semi_join, ship
+from locusframe.llm.common import anti_join, components, cut_compressed, cut_lineage, scratch, semi_join, ship
 from locusframe.llm.shingles import band_keys, minhash, mix
 
 BANDS, ROWS = 32, 6
@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and it is not kept.  An empty table gives an empty result; other columns
     are not read.
     """
-    made = cut_lineage(features(docs, id_col, text_col, bands, rows, width))
+    made = cut_compressed(features(docs, id_col, text_col, bands, rows, width))
     alive = made.where("n > 0 and id is not null")
     classes = cut_lineage(alive.groupBy("high", "low").agg(F.min("id").alias("rep")))
     reps = semi_join(alive, classes.select(F.col("rep").alias("id")), "id")
