@@ -5,12 +5,13 @@ to a fixed number of columns and weighted by TF-IDF.  The regression is
 trained by follow-the-regularised-leader with an elastic net, which leaves
 most weights exactly zero; a temperature is then fitted on rows kept aside.
 Document frequencies cover all learning rows; the regression sees a bounded
-sample of them.
+sample of their distinct texts.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import ship
+from locusframe.llm.common import cut_lineage, scratch, ship
 from locusframe.llm.shingles import odd_numbers
 
 #: Hashed columns, longest n-gram, rows of the fitted sample (all languages together), passes.
@@ -128,39 +129,57 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: tuple[str,
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Learn from rows with a language and a text; None if there are none.
 
-    The sample takes the rows whose hash is below a share of the range that
-    leaves about ``SAMPLE`` rows of any table, the same number per language;
-    only its columns and counts come to the driver.
+    The sample takes distinct texts, the same number per language or all that
+    it has, by the smallest hashes: at most ``SAMPLE`` however often texts
+    repeat (one per language if there are more languages than that).  Only
+    its columns and counts come to the driver.
     """
-    ship(rows.sparkSession)
+    spark = rows.sparkSession
+    ship(spark)
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    per = rows.groupBy("lang").count().collect()  # one row per language
-    if not per:
-        return None
-    total = sum(r["count"] for r in per)
+    pick = F.xxhash64("text", "lang")
+    with scratch(spark):
+        # One row per text and language: copies combine before they leave their task.
+        keys = cut_lineage(rows.select("lang", pick.alias("pick")).groupBy("lang", "pick").agg(F.count("*").alias("n")))
+        per = keys.groupBy("lang").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).collect()  # one row per language
+        if not per:
+            return None
+        most = max(1, SAMPLE // len(per))
+        # Half more hashes than wanted and some come to the driver; they hold each language's ``most`` smallest.
+        share = F.lit(1.0)
+        for r in per:
+            share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, (1.5 * most + 50) / r["texts"]))).otherwise(share)
+        near = keys.where(F.col("pick") / float(1 << 64) + 0.5 <= share).select("lang", "pick").collect()
+    hashes = defaultdict(list)
+    for r in near:
+        hashes[r["lang"]].append(r["pick"])
+    last = F.lit(None).cast("long")
+    for lang, found in hashes.items():
+        last = F.when(F.col("lang") == lang, F.lit(sorted(found)[:most][-1])).otherwise(last)
+    total = sum(r["n"] for r in per)
     languages = tuple(sorted(r["lang"] for r in per))
     idf = np.full(COLUMNS, math.log(1 + total))
     for column, n in frequencies(rows, "text").collect():  # at most COLUMNS rows
         idf[column] = math.log((1 + total) / (1 + n)) + 0.05
-    # A language gets an equal part of the sample; rows are chosen by hash before any text leaves its task.
-    most = max(1, SAMPLE // len(languages))
-    share = F.lit(1.0)
-    for r in per:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, most / r["count"]))).otherwise(share)
-    chosen = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) < share * (1 << 30)
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        seen = set()  # texts of the sample, so bounded
         for batch in batches:
+            keys = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+            first = [i for i, key in enumerate(keys) if not (key in seen or seen.add(key))]
+            batch = batch.take(pa.array(first, pa.int64()))
             made = [columns_of(text) for text in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), batch.column(2), pa.array([c for c, _ in made], pa.list_(pa.int32())),
                  pa.array([n for _, n in made], pa.list_(pa.float32()))], names=["lang", "order", "columns", "counts"])
 
-    sample = (rows.where(chosen).withColumn("order", F.xxhash64("text")).select("text", "lang", "order").mapInArrow(
-        run, "lang string, order bigint, columns array<int>, counts array<float>").toArrow().combine_chunks())
+    # Each task hands on one copy of a text; the last copies go after one exchange.
+    sample = (rows.where(pick <= last).withColumn("order", F.xxhash64("text")).select("text", "lang", "order").mapInArrow(
+        run, "lang string, order bigint, columns array<int>, counts array<float>")
+        .dropDuplicates(["lang", "order"]).toArrow().combine_chunks())
     place = {name: i for i, name in enumerate(languages)}
     columns, counts = (sample[c].combine_chunks() for c in ("columns", "counts"))
     ends, names = columns.offsets.to_numpy(), sample["lang"].to_pylist()

@@ -328,6 +328,16 @@ def test_language_id_on_held_out_texts(spark, empty):
     assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} - {1000, 1001, 1002}
 
 
+def test_language_sample_counts_texts_and_not_copies(spark, monkeypatch):
+    learned = []
+    monkeypatch.setattr(language_id, "SAMPLE", 40)
+    monkeypatch.setattr(language_id, "train", lambda rows, languages, idf: learned.extend(rows))
+    rows = [(t, lang) for lang in ("aa", "bb") for t in (prose(8, 1), prose(8, 2)) for _ in range(300)]  # two texts each
+    rows += [(prose(8, 100), "cc")] * 300 + [(prose(8, 100 + s), "cc") for s in range(200)]  # a hot text among many
+    language_id.fit(spark.createDataFrame(rows, "text string, lang string").repartition(8))
+    assert Counter(label for _, _, label in learned) == {0: 2, 1: 2, 2: 13}
+
+
 def test_vector_search_finds_neighbours_and_skips_unusable_vectors(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(1500, 16))
