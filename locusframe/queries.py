@@ -508,9 +508,13 @@ def anchor_hits(spark, d):
 @query
 def boundary_mapping(spark, d):
     _, lengths, chunks = A.document_store(spark, d)
-    genes = lengths.where("length >= 200").select(
-        F.col("seqid").alias("feature_id"), "seqid", F.floor(F.col("length") / 4).alias("start_pos"),
-        F.floor(F.col("length") / 2).alias("end_pos"), F.lit("+").alias("strand"))
+    # A gene in every 1,000 bases; short texts and ends of texts give genes at the sequence edge.
+    places = lengths.where("length IS NOT NULL").select("seqid", "length", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(1000).cast("bigint"))).alias("at"))
+    size = F.least(F.col("length") - F.col("at"), F.lit(1000))
+    genes = places.select(
+        F.concat_ws(":", "seqid", "at").alias("feature_id"), "seqid", (F.col("at") + F.floor(size / 4)).alias("start_pos"),
+        (F.col("at") + F.floor(size / 2)).alias("end_pos"), F.lit("+").alias("strand"))
     return LO.map_boundaries(genes, lengths, chunks, chunks)
 
 

@@ -10,6 +10,7 @@ from locusframe.operators import alignments as AL, coverage as CV, gates as GA,
 from locusframe.operators.sequences import extract_sequence
 from locusframe.functions.sequence import reverse_complement
 from locusframe.plans.evidence import submitted_probe, summarise, window_statistics
+from locusframe.queries import queries
 from locusframe.sources.fasta import chunked
 from locusframe.sources.reads import fastq_totals, read_depth, read_fastq_pairs, read_sam
 
@@ -240,6 +241,16 @@ def test_edge_gene_and_capped_hits(spark):
     assert (found["many"]["start_anchor_hit_count"], found["many"]["mapping_status"]) == (3, "uncertain")
 
 
+def test_boundary_mapping_takes_every_text_and_all_of_it(spark, tmp_path):
+    texts = [(1, ""), (2, _dna(11, 150)), (3, _dna(12, 2500)), (4, None)]
+    spark.createDataFrame(texts, "doc_id BIGINT, text STRING").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["feature_id"]: r for r in queries()["boundary_mapping"](spark, str(tmp_path)).collect()}
+    assert {k: (r["mapping_status"], r["source_start"], r["source_end"]) for k, r in found.items()} == {
+        "doc1:0": ("uncertain", None, None), "doc2:0": ("uncertain", None, None),
+        "doc3:0": ("consistent", 250, 500), "doc3:1000": ("consistent", 1250, 1500), "doc3:2000": ("consistent", 2125, 2250)}
+    assert {found[k]["mapping_reason"] for k in ("doc1:0", "doc2:0")} == {LO.REASON_EDGE}
+
+
 @pytest.mark.parametrize("per_part", [1, 1000])
 def test_overlapping_hits_count(spark, monkeypatch, per_part):
     monkeypatch.setattr(LO, "PROBES_PER_PART", per_part)
