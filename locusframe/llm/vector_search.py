@@ -126,7 +126,8 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id"
     held = cut_lineage(entries(rows, id_col, vector_col, dim, k + 1))
     # Rows whose hash is below a share of the range: about SAMPLE of any table, chosen before they leave their task.
     chosen = F.pmod(F.xxhash64("entry"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(held.count(), 1)) * (1 << 30))
-    sample = held.where(chosen).select("entry", "v").toPandas().sort_values("entry")["v"]
+    # In the order of another part of the hash: the first ones, which calibrate the walk, come from everywhere.
+    sample = held.where(chosen).select("v", F.xxhash64("entry").alias("order")).toPandas().sort_values("order")["v"]
     empty = "query_id bigint, rank int, vec_id bigint, score double"
     if not len(sample):
         return spark.createDataFrame([], empty)

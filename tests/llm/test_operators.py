@@ -364,6 +364,24 @@ def test_vector_search_finds_neighbours_and_skips_unusable_vectors(spark):
     assert vector_search.search(none).count() == 0
 
 
+def test_vector_recall_where_ids_follow_clusters(spark):
+    rng = np.random.default_rng(8)
+    tight = rng.normal(size=(40, 16)).repeat(50, axis=0) * 4 + rng.normal(size=(2000, 16)) * 0.05
+    x = np.concatenate([tight, rng.normal(size=(2000, 16))])  # the first ids are easy, the others are scattered
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    found = defaultdict(set)
+    for r in vector_search.search(table).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    recall = []
+    for q in range(0, len(x), 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        recall.append(len(found[q] & set(np.argsort(-score)[:20].tolist())) / 20)
+    print("recall", np.mean(recall[:100]), np.mean(recall[100:]))
+    assert np.mean(recall) > 0.9
+
+
 def test_pipeline_stages_follow_each_other(spark, docs, empty, tmp_path):
     import corpus_pipeline
 
