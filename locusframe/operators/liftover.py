@@ -78,21 +78,30 @@ def kmer_starts(
 
     k-mers inside a chunk come straight from it, without a shuffle.  Those
     over a chunk border come from the last ``k - 1`` bases of one chunk and
-    the first ``k - 1`` of the next; only these ends travel.  The bases are
+    the ``k - 1`` bases after it, of as many chunks as hold them; only these
+    ends travel.  The bases are
     read as bytes: a byte slice costs its own length, a character slice would
     cost its distance from the chunk start.
     """
     keys = list(keys)
     size = 1 << chunk_bits
-    if k - 1 > size:
-        raise ValueError("k must not exceed the chunk size")
     edge = F.lit(k - 1)
+    after = max(1, -(-(k - 1) // size))  # chunks that hold the bases after a border
     tails = chunks.select(*keys, (F.col("chunk_no") + 1).alias("border"),
                           F.right("bases", edge).alias("tail"), F.lit(None).cast("string").alias("head"))
-    heads = chunks.select(*keys, F.col("chunk_no").alias("border"),
-                          F.lit(None).cast("string").alias("tail"), F.left("bases", edge).alias("head"))
+    if after == 1:
+        heads = chunks.select(*keys, F.col("chunk_no").alias("border"),
+                              F.lit(None).cast("string").alias("tail"), F.left("bases", edge).alias("head"))
+        head = F.max("head")
+    else:
+        tails = tails.withColumn("nth", F.lit(None).cast("int"))
+        heads = chunks.withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(after - 1)))).select(
+            *keys, (F.col("chunk_no") - F.col("nth")).alias("border"), F.lit(None).cast("string").alias("tail"),
+            F.left("bases", edge - F.col("nth") * size).alias("head"), "nth")
+        pieces = F.array_sort(F.collect_list(F.when(F.col("head").isNotNull(), F.struct("nth", "head"))))
+        head = F.when(F.size(pieces) > 0, F.array_join(pieces["head"], ""))
     borders = tails.unionByName(heads.where("border > 0")).groupBy(*keys, "border").agg(
-        F.max("tail").alias("tail"), F.max("head").alias("head")
+        F.max("tail").alias("tail"), head.alias("head")
     ).where("tail IS NOT NULL AND head IS NOT NULL")
     texts = chunks.select(*keys, (F.col("chunk_no") * size).alias("origin"), "bases").unionByName(
         borders.select(*keys, (F.col("border") * size - F.length("tail")).alias("origin"),

@@ -261,6 +261,23 @@ def test_overlapping_hits_count(spark, monkeypatch, per_part):
     assert (found["AAAAA"]["hit_orientation"], found["TTTTT"]["hit_orientation"]) == ("+", "-")
 
 
+@pytest.mark.parametrize("k", [8, 9, 10, 21, 33])
+def test_kmers_longer_than_chunks(spark, k):
+    texts = {"s": _dna(21, 70), "short": _dna(22, 9)}
+    chunks, _ = store(spark, texts, 3)
+    found = [(r["seqid"], r["pos"], bytes(r["kmer"]).decode()) for r in LO.kmer_starts(chunks, k, chunk_bits=3).collect()]
+    assert sorted(found) == [(n, i, t[i:i + k]) for n, t in texts.items() for i in range(len(t) - k + 1)]
+
+
+def test_long_flanks_map_across_chunks(spark):
+    source, lengths = store(spark, {"s": SOURCE}, 4)
+    target, _ = store(spark, {"t": FORWARD}, 4)
+    gene = spark.createDataFrame(
+        [("g", "s", 150, 260, "+")], "feature_id STRING, seqid STRING, start_pos BIGINT, end_pos BIGINT, strand STRING")
+    row = LO.map_boundaries(gene, lengths, source, target, chunk_bits=4).first()  # 101 bases over chunks of 16
+    assert (row["mapping_status"], row["target_start"], row["target_end"]) == ("consistent", 230, 340)
+
+
 def test_nine_genes_give_three_windows_in_order(spark):
     from locusframe.plans.qualification import lift_over_probe
 
