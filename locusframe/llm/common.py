@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from locusframe.session import broadcast_if_small, shared_folder
 
-__all__ = ["anti_join", "components", "cut_compressed", "cut_lineage", "number_rows", "scratch", "semi_join", "ship", "table"]
+__all__ = ["anti_join", "components", "cut_compressed", "cut_lineage", "number_rows", "scratch", "scratch_folder",
+           "semi_join", "ship", "table"]
 
 
 _shipped: set[str] = set()
@@ -55,12 +56,18 @@ def anti_join(df: DataFrame, written: DataFrame, on: str) -> DataFrame:
 _scopes: list[list[str]] = []
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``; a ``scratch`` scope deletes it at its end."""
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
 def cut_lineage(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the folder of ``spark.checkpoint.dir`` and read it back; a ``scratch`` scope deletes it at its end."""
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    path = scratch_folder(df.sparkSession)
     (df.write.option("compression", codec) if codec else df.write).parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
