@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusframe.llm.byte_bpe import blocks
-from locusframe.llm.common import cut_compressed, scratch, ship
+from locusframe.llm.common import ship
 from locusframe.llm.word_coder import WordCoder, vocabulary_size
 from locusframe.session import broadcast_if_small
 
@@ -30,8 +30,8 @@ HEADER = "<8sIIQQQ"
 HEADER_BYTES = struct.calcsize(HEADER)
 #: Ids of a block and of a file (a longer document has a file of its own); characters encoded at once.
 BLOCK_IDS, FILE_IDS, BLOCK_CHARS = 1 << 16, 1 << 22, 2_000_000
-#: Files that a task writes.
-FILES_PER_TASK = 4
+#: Bytes of text that a task encodes.
+TASK_BYTES = 40 << 20
 
 
 def bits_for(size: int) -> int:
@@ -44,12 +44,16 @@ def pack_block(ids: np.ndarray, bits: int) -> bytes:
     ids = np.ascontiguousarray(ids, np.uint32)
     if ids.size and int(ids.max()) >> bits:
         raise ValueError(f"an id does not fit into {bits} bits")
+    if bits in (8, 16, 32):
+        return ids.astype(f">u{bits // 8}").tobytes()
     digits = np.unpackbits(ids.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - bits:]
     return np.packbits(digits.ravel()).tobytes()
 
 
 def unpack_block(data, count: int, bits: int) -> np.ndarray:
     """The first ``count`` ids of a packed block."""
+    if bits in (8, 16, 32):
+        return np.frombuffer(data, f">u{bits // 8}", count).astype("<u4")
     digits = np.unpackbits(np.frombuffer(data, np.uint8), count=count * bits).reshape(count, bits)
     wide = np.zeros((count, 32), np.uint8)
     wide[:, 32 - bits:] = digits
@@ -99,75 +103,55 @@ class TokenFile:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-def encoded(docs: DataFrame, path: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document's ids and ``end``: doc, row (a number of the row), n, ids (2 bytes each if that is enough, else 4)."""
+def write_token_files(docs: DataFrame, path: str, target: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text",
+                      block_ids: int = BLOCK_IDS, file_ids: int = FILE_IDS, task_bytes: int = TASK_BYTES) -> None:
+    """Write the ids of all documents and ``end`` after each to files in ``target``, by ascending ``id_col``, and their index.
+
+    A null text has the end id only; rows that share an id are all written,
+    next to each other; null ids come first.  An empty table gives no file and
+    an empty index.  Ids must be whole numbers; other columns are not read.
+    Texts are exchanged once, by ranges of (id, row), so that neither a long
+    document nor a repeated id makes a task large; each task encodes its
+    range and packs it.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     if kind not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"{id_col} must be a whole number, not {kind}")
-    width = "<u2" if max(vocabulary_size(path), end + 1) <= 1 << 16 else "<u4"
+    bits = bits_for(max(vocabulary_size(path), end + 1))
 
     def run(batches) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        coder, count, last = WordCoder(path), TaskContext.get().partitionId() << 33, end.to_bytes(4, "little")
-        for batch in batches:
-            names, at = batch.column(0), 0
-            for block in blocks(batch.column(1).to_pylist(), BLOCK_CHARS):
-                data = [np.frombuffer(ids + last, "<u4").astype(width) for ids in coder.ids(block)]
-                yield pa.RecordBatch.from_arrays([
-                    names.slice(at, len(block)), pa.array(range(count, count + len(block)), pa.int64()),
-                    pa.array([len(x) for x in data], pa.int64()), pa.array([x.tobytes() for x in data], pa.binary())],
-                    names=["doc", "row", "n", "ids"])
-                at, count = at + len(block), count + len(block)
-
-    ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(
-        run, "doc bigint, row bigint, n bigint, ids binary")
+        coder, last = WordCoder(path), end.to_bytes(4, "little")
+        ordinal, held, size = TaskContext.get().partitionId() << 32, [], 0
 
+        def image():
+            names, parts = zip(*held)
+            whole = file_image(names, [len(x) // 4 for x in parts], np.frombuffer(b"".join(parts), "<u4"), bits, ordinal, block_ids)
+            return pa.RecordBatch.from_arrays([pa.array([whole], pa.binary())], names=["image"])
 
-def write_token_files(docs: DataFrame, path: str, target: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text",
-                      block_ids: int = BLOCK_IDS, file_ids: int = FILE_IDS) -> None:
-    """Write the ids of all documents to files in ``target``, in ascending order of ``id_col``, and their index.
-
-    A null text has the end id only; rows that share an id are all written,
-    next to each other; null ids come first.  An empty table gives no file and
-    an empty index.  Other columns are not read.
-    """
-    spark = docs.sparkSession
-    bits = bits_for(max(vocabulary_size(path), end + 1))
-    with scratch(spark):
-        rows = cut_compressed(encoded(docs, path, end, id_col, text_col))
-        total = rows.agg(F.sum("n")).first()[0] or 0
-        width = 2 if max(vocabulary_size(path), end + 1) <= 1 << 16 else 4
-
-        def run(batches) -> Iterator:
-            import pyarrow as pa
-            from pyspark import TaskContext
-
-            ordinal, held, size = TaskContext.get().partitionId() << 32, [], 0
-
-            def image():
-                names, parts = zip(*held)
-                whole = file_image(names, list(map(len, parts)), np.concatenate(parts), bits, ordinal, block_ids)
-                return pa.RecordBatch.from_arrays([pa.array([whole], pa.binary())], names=["image"])
-
-            for batch in batches:
-                for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    ids = np.frombuffer(data.as_buffer(), f"<u{width}")
-                    if held and size + len(ids) > file_ids:
+        for batch in batches:
+            names, at = batch.column(0).to_pylist(), 0
+            for block in blocks(batch.column(1).to_pylist(), BLOCK_CHARS):
+                for name, ids in zip(names[at:at + len(block)], coder.ids(block)):
+                    if held and size + len(ids) // 4 + 1 > file_ids:
                         yield image()
                         ordinal, held, size = ordinal + 1, [], 0
-                    held.append((name, ids))
-                    size += len(ids)
-            if held:
-                yield image()
-
-        tasks = max(1, -(-total // (FILES_PER_TASK * file_ids)))
-        (rows.repartitionByRange(tasks, "doc", "row").sortWithinPartitions("doc", "row").select("doc", "ids")
-         .mapInArrow(run, "image binary").select(F.col("image").cast("string").alias("value"))
-         .write.option("maxRecordsPerFile", 1).option("compression", "none").text(f"{target}/files"))
-    _index_files(spark, target)
+                    held.append((name, ids + last))
+                    size += len(ids) // 4 + 1
+                at += len(block)
+        if held:
+            yield image()
+
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    (rows.withColumn("row", F.monotonically_increasing_id())
+     .repartitionByRange(max(1, -(-total // task_bytes)), "doc", "row").sortWithinPartitions("doc", "row").select("doc", "text")
+     .mapInArrow(run, "image binary").select(F.col("image").cast("string").alias("value"))
+     .write.option("maxRecordsPerFile", 1).option("compression", "none").text(f"{target}/files"))
+    _index_files(docs.sparkSession, target)
 
 
 def _files(spark: SparkSession, target: str | list[str]) -> DataFrame:
