@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import byte_bpe, class_lm, language_id, near_dedup, packing, passage_dedup, preferences, sharding, token_files, vector_search
+from locusframe.llm import byte_bpe, class_lm, language_id, near_dedup, packing, passage_dedup, preferences, ranked_search, sharding, spelling, token_files, vector_search
 from locusframe.llm.common import scratch_folder, table
 from locusframe.llm.exact_dedup import exact_duplicates
 
@@ -60,6 +60,14 @@ def op10_vector_search(spark: SparkSession, folder: str) -> DataFrame:
     return vector_search.search(table(spark, folder, "embeddings"))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
     target = scratch_folder(spark)
     token_files.write_token_files(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), target)
@@ -69,4 +77,4 @@ def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_packing, op4_sharding,
                                    op5_passage_dedup, op6_preferences, op7_class_lm, op8_language_id, op9_near_dedup, op10_vector_search,
-                                   op13_token_files)}
+                                   op11_spelling_variants, op12_ranked_search, op13_token_files)}

@@ -1,14 +1,17 @@
 """Token files, spelling variants and ranked search against brute force on small tables with every awkward kind of row."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pytest
 
-from locusframe.llm import token_files, word_coder
+from locusframe.llm import ranked_search, spelling, token_files, word_coder
 from locusframe.llm.common import scratch_folder
 
 SCHEMA = "doc_id long, text string, doc int, row string, ids string, start long, n double"
@@ -102,3 +105,156 @@ def test_other_tokenizers_get_whole_texts():
     some = ["Two  words\n and more", "", "É  x"]
     want = [np.array(x.ids, "<u4").tobytes() for x in Tokenizer.from_file(path).encode_batch(some, add_special_tokens=False)]
     assert word_coder.WordCoder(path).ids(some) == want
+
+
+def one_edit(a, b):
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted([a, b], key=len)
+    return any(b[:k] + b[k + 1:] == a for k in range(len(b)))
+
+
+def plain_variants(rows, slips=97, shortest=5, fewest=3):
+    counts = Counter()
+    for i, t in rows:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", t or ""):
+            run = "".join(c.lower() if c.isascii() else c for c in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if slips and h % slips == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            if len(run) >= shortest:
+                counts[run] += 1
+    counts = {w: n for w, n in counts.items() if n >= fewest}
+    near = {w: [x for x in counts if one_edit(w, x)] for w in counts}
+    form = {}
+    for w, found in near.items():
+        best = min(found, key=lambda x: (-counts[x], x), default=None)
+        form[w] = best if best is not None and counts[best] >= 2 * counts[w] else None
+
+    def root(w):
+        return w if form[w] is None else root(form[w])
+
+    return sorted(((w, form[w], root(w), n, len(near[w]), form[w] and counts[form[w]]) for w, n in counts.items()), key=str)
+
+
+def spelled(spark, rows, **options):
+    found = spelling.spelling_variants(table(spark, rows), **options)
+    return sorted((tuple(r) for r in found.select("word", "form", "root", "n", "n_near", "form_n").collect()), key=str)
+
+
+def test_spelling_variants(spark, monkeypatch):
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdñé") for _ in range(rng.randint(4, 9))) for _ in range(40)] + ["aaaaaa", "aaaaa", "aaaaaaa", "abababab", "É" * 5]
+    words = list(base)
+    for w in base:
+        for _ in range(4):
+            k = rng.randrange(len(w))
+            words.append(rng.choice([w[:k] + w[k + 1:], w[:k] + rng.choice("abcxÉ") + w[k:], w[:k] + "Z" + w[k + 1:]]))
+    rows = [(i, " ".join(rng.choice(words[:80] + words) for _ in range(60)) + "×Straße ÷ ﬁne Kelvin naïve") for i in range(60)]
+    rows += [(None, None), (3, ""), (None, "aaaaa " * 9), (3, rows[3][1]), (8, "q" * 900 + " " + "q" * 899 + " " + "q" * 901)] * 3
+    want = plain_variants(rows)
+    assert spelled(spark, rows) == want and len(want) > 100 and sum(w[1] is not None for w in want) > 20
+    monkeypatch.setattr(spelling, "MOST", 2)  # every block is dealt again down to single positions
+    assert spelled(spark, rows) == want
+    monkeypatch.setattr(spelling, "AT_ONCE", 3000)
+    assert spelled(spark, rows, slips=None, shortest=3, fewest=1) == plain_variants(rows, None, 3, 1)
+
+
+def test_chains_of_forms_end_in_one_root(spark):
+    rows = [(1, " ".join(w for k, w in enumerate(["abcde", "abcdx", "abcyx", "abzyx", "aqzyx"]) for _ in range(3 * 2 ** (2 * k))))]
+    assert [(r[0], r[1], r[2]) for r in spelled(spark, rows, slips=None)][0] == ("abcde", "abcdx", "aqzyx")
+    assert spelled(spark, []) == [] and spelled(spark, [(1, "a b c")]) == []
+
+
+def test_a_hundred_words_that_differ_at_one_place(spark):
+    letters = [chr(c) for c in range(0xE0, 0x100)] + list("abcdefghijklmnopqrstuvwxyz")
+    rows = [(k, f"stem{x}stem stem{x}stem stem{x}stem") for k, x in enumerate(letters)]
+    got = spelled(spark, rows, slips=None)
+    assert {r[4] for r in got} == {len(letters) - 1}
+
+
+def plain_search(docs, items, most=10):
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+    def terms(text):
+        return pattern.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
+
+    held = [(i, Counter(terms(t))) for i, t in docs]
+    held = [(i, c, sum(c.values())) for i, c in held if c]
+    total, df = sum(n for *_, n in held), Counter(t for _, c, _ in held for t in c)
+    out = []
+    for item, text in items:
+        found = []
+        for doc, c, n in held:
+            m = 25 + 75 * n * len(held) // total
+            score = sum(math.floor(1000 * math.log((2 * len(held) + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m))
+                        for t in terms(text) if c[t])
+            if score > 0:
+                found.append((-score, doc is None, doc or 0))
+        out += [(item, k + 1, None if none else doc, -score) for k, (score, none, doc) in enumerate(sorted(found)[:most])]
+    return sorted(out, key=str)
+
+
+ITEM_SCHEMA = "item_id long, text string, doc_id string, score int, rank string"
+
+
+def searched(spark, docs, items, **options):
+    queries = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in items], ITEM_SCHEMA)
+    return sorted((tuple(r) for r in ranked_search.search(table(spark, docs), queries, **options).select(
+        "item_id", "rank", "doc_id", "score").collect()), key=str)
+
+
+def test_ranked_search(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(60)] + ["Élan", "élan", "日本", "A1", "\u00d7", "x\x00y"]
+    weights = [1 / (k + 1) for k in range(len(words))]
+
+    def text(n):
+        return " ".join(rng.choices(words, weights, k=n)) + rng.choice(["", ".", "-a1"])
+
+    docs = [(k * 3 % 601, text(rng.choice([1, 3, 8, 40]))) for k in range(600)]
+    copy = text(30)
+    docs += [(1000 + k, copy) for k in range(150)] + [(2000, copy + " w3 " * 5)] + [(5, docs[0][1])] * 12
+    docs += [(None, copy), (None, docs[3][1]), (7000, None), (7001, "... \n"), (7002, "w1 " * 9000), (7003, "w59")]
+    items = [(k, text(rng.choice([1, 2, 12]))) for k in range(30)] + [(40, copy), (41, None), (42, "--"), (43, "unknown words"), (None, "w59 w58"), (44, "w0")]
+    want = plain_search(docs, items)
+    assert len(want) > 250
+    assert searched(spark, docs, items) == want
+    for name, value in [("TREE_DOCS", 40), ("ITEMS", 7), ("PARTS", 2)]:
+        monkeypatch.setattr(ranked_search, name, value)
+    assert searched(spark, docs, items, most=3) == plain_search(docs, items, 3)
+
+
+def test_search_in_empty_tables(spark):
+    assert searched(spark, [], [(1, "a")]) == [] and searched(spark, [(1, "a")], []) == [] and searched(spark, [(1, None)], [(1, "a")]) == []
+
+
+def test_trees_bound_every_score():
+    rng = np.random.default_rng(2)
+    vectors = []
+    for _ in range(700):
+        terms = np.unique(np.minimum(rng.geometric(0.2, rng.integers(1, 9)), 30)).astype(np.int32)
+        vectors.append((terms, rng.integers(1, 5, len(terms)).astype(np.int32)))
+    vectors += [vectors[0]] * 200
+    norms = rng.integers(25, 400, len(vectors))
+    tree = ranked_search.grow(np.arange(len(vectors)), norms, vectors, leaf=8)
+    item = [(2, 50), (5, 300), (11, 700), (29, 900)]
+
+    def score(k):
+        terms, counts = vectors[k]
+        return sum(w * int(ranked_search.gain(counts[terms == t].astype(np.int64), norms[k:k + 1])[0]) for t, w in item if t in terms)
+
+    covered = Counter()
+    for node in range(len(tree.first)):
+        members = tree.docs[tree.first[node]:tree.last[node]]
+        bound = sum(w * int(ranked_search.gain(c, tree.least_norm[n])[0]) for t, w in item if t in tree.tops
+                    for n, c in [(tree.tops[t][0][tree.tops[t][0] == node], tree.tops[t][1][tree.tops[t][0] == node])] if len(n))
+        assert all(score(d) <= bound for d in members)
+        if not len(tree.children[node]):
+            assert len(members) <= 8
+            covered.update(members.tolist())
+    assert set(covered.values()) == {1} and len(covered) == len(vectors)
+    best = sorted((-score(k), k) for k in range(len(vectors)) if score(k))[:10]
+    assert ranked_search.walk(tree, item, [], 10, 40) == best
