@@ -71,12 +71,18 @@ def zones(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: A base for every letter: A, C, G, T and N stand for themselves, the others go round.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+BASE_OF = "".join(x if x in "ACGTN" else "ACGT"[i % 4] for i, x in enumerate(LETTERS))
+
+
 def documents_as_bases(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as sequences: their letters A, C, G, T and N in upper case."""
+    """Documents as sequences: every character is a base, N if it is no ASCII letter."""
+    letters = F.translate("text", LETTERS + LETTERS.lower(), BASE_OF * 2)
     return rows(spark, folder, "documents").select(
         F.concat(F.lit("doc"), "doc_id").alias("seqid"),
         F.lit(0).cast("bigint").alias("start_pos"),
-        F.regexp_replace(F.upper("text"), "[^ACGTN]", "").alias("bases"),
+        F.regexp_replace(letters, "[^ACGTN]", "N").alias("bases"),
     )
 
 

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import functools
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.functions.sequence import flip_strand, reverse_complement
+from locusframe.operators import seeds
 from locusframe.operators.scans import ordered_index
 from locusframe.operators.sequences import extract_sequence
 from locusframe.operators.stats import MAPPING_STATUSES, counts_over_domain
-from locusframe.session import cut_lineage
+from locusframe.session import cut_lineage, ship
 from locusframe.sources.fasta import CHUNK_BITS
 
 # Reason texts of the mapping results.
@@ -28,9 +27,6 @@ REASON_ADJACENCY = (
 )
 HIT_CAP = 3
 
-# Rows of a broadcast part of the probes: about 200 MB of 101-base anchors.
-PROBES_PER_PART = 1_000_000
-
 
 # --- probe selection -------------------------------------------------------
 
@@ -71,17 +67,14 @@ def first_middle_last(regions: DataFrame, keys: Sequence[str] = ("seqid",)) -> D
 
 # --- anchor search ---------------------------------------------------------
 
-def kmer_starts(
+def kmer_texts(
     chunks: DataFrame, k: int, keys: Sequence[str] = ("seqid",), chunk_bits: int = CHUNK_BITS
 ) -> DataFrame:
-    """Every start position of every sequence with its k-mer.
+    """Texts (keys, origin, bases) that hold every run of ``k`` bases of every sequence exactly once.
 
-    k-mers inside a chunk come straight from it, without a shuffle.  Those
-    over a chunk border come from the last ``k - 1`` bases of one chunk and
-    the ``k - 1`` bases after it, of as many chunks as hold them; only these
-    ends travel.  The bases are
-    read as bytes: a byte slice costs its own length, a character slice would
-    cost its distance from the chunk start.
+    A chunk holds its own; those over a chunk border are in the last ``k - 1``
+    bases of one chunk and the ``k - 1`` bases after it, of as many chunks as
+    hold them; only these ends travel.
     """
     keys = list(keys)
     size = 1 << chunk_bits
@@ -100,13 +93,24 @@ def kmer_starts(
             F.left("bases", edge - F.col("nth") * size).alias("head"), "nth")
         pieces = F.array_sort(F.collect_list(F.when(F.col("head").isNotNull(), F.struct("nth", "head"))))
         head = F.when(F.size(pieces) > 0, F.array_join(pieces["head"], ""))
-    borders = tails.unionByName(heads.where("border > 0")).groupBy(*keys, "border").agg(
+    # A sequence of one chunk has no border, so most short sequences send nothing.
+    borders = tails.where(F.length("tail") > 0).unionByName(heads.where("border > 0")).groupBy(*keys, "border").agg(
         F.max("tail").alias("tail"), head.alias("head")
     ).where("tail IS NOT NULL AND head IS NOT NULL")
-    texts = chunks.select(*keys, (F.col("chunk_no") * size).alias("origin"), "bases").unionByName(
+    return chunks.select(*keys, (F.col("chunk_no") * size).alias("origin"), "bases").unionByName(
         borders.select(*keys, (F.col("border") * size - F.length("tail")).alias("origin"),
                        F.concat("tail", "head").alias("bases")))
-    starts = texts.where(F.length("bases") >= k).select(
+
+
+def kmer_starts(
+    chunks: DataFrame, k: int, keys: Sequence[str] = ("seqid",), chunk_bits: int = CHUNK_BITS
+) -> DataFrame:
+    """Every start position of every sequence with its k-mer.
+
+    The bases are read as bytes: a byte slice costs its own length, a
+    character slice would cost its distance from the chunk start.
+    """
+    starts = kmer_texts(chunks, k, keys, chunk_bits).where(F.length("bases") >= k).select(
         *keys, "origin", F.col("bases").cast("binary").alias("raw"),
         F.explode(F.sequence(F.lit(0), F.length("bases") - k)).alias("i"))
     return starts.select(
@@ -115,39 +119,41 @@ def kmer_starts(
 
 
 def anchor_hits(
-    anchors: DataFrame, chunks: DataFrame, k: int,
-    keys: Sequence[str] = ("seqid",), chunk_bits: int = CHUNK_BITS,
+    anchors: DataFrame, chunks: DataFrame, k: int, keys: Sequence[str] = ("seqid",),
+    chunk_bits: int = CHUNK_BITS, ns: Sequence[str] = (),
 ) -> DataFrame:
     """Exact occurrences of each anchor on both strands: count and first hit.
 
-    ``anchors`` has ``anchor`` (length ``k``).  Distinct anchors and their
-    reverse complements are written, counted and cut by hash into parts small
-    enough to broadcast, so the target's k-mers are never shuffled: the target
-    is scanned once per part.  Hits are only counted and minimised per anchor,
-    so an anchor that matches a third of the target combines map-side.  The
-    first hit follows sequence name, then strand, then position.
+    ``anchors`` has ``anchor`` (length ``k``; others have no hits) and the
+    columns of ``ns``, such as a run: an anchor is searched only in target
+    sequences with the same values.  The target is scanned once (see
+    ``seeds``); what passes the filter of all anchors and their reverse
+    complements is counted and minimised per k-mer, so an anchor that matches
+    a third of the target combines map-side, and then joins the anchors on
+    the whole k-mer.  The first hit follows sequence name, then strand, then
+    position.  An anchor that is its own reverse complement is found once per
+    strand.
     """
-    keys = list(keys)
-    distinct = anchors.select("anchor").where(F.length("anchor") == k).distinct()
-    backward = reverse_complement("anchor")
-    probes = cut_lineage(distinct.select("anchor", F.explode(F.array(
+    keys, ns = list(keys), list(ns)
+    distinct = anchors.select(*ns, "anchor").where(F.length("anchor") == k).distinct()
+    probes = cut_lineage(distinct.select(*ns, "anchor", F.explode(F.array(
         F.struct(F.col("anchor").alias("q"), F.lit("+").alias("o")),
-        F.struct(backward.alias("q"), F.lit("-").alias("o")),
+        F.struct(reverse_complement("anchor").alias("q"), F.lit("-").alias("o")),
     )).alias("p")).select(
-        "anchor", F.col("p.o").alias("hit_orientation"), F.col("p.q").cast("binary").alias("kmer")))
-    parts = max(1, math.ceil(probes.count() / PROBES_PER_PART))
+        *ns, "anchor", F.col("p.o").alias("hit_orientation"), F.col("p.q").cast("binary").alias("kmer")))
+    ship(anchors.sparkSession)
+    table = seeds.bloom_filter(probes, "kmer", k, probes.count())
+    seen = seeds.candidates(kmer_texts(chunks, k, [*ns, *keys], chunk_bits), k, [*ns, *keys], table)
+    counted = seen.groupBy(*ns, "kmer").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(*keys, "pos")).alias("at"))
     order = F.struct(
-        *[F.col(c) for c in keys],
+        *[F.col(f"at.{c}").alias(c) for c in keys],
         F.when(F.col("hit_orientation") == "+", 0).otherwise(1).alias("strand_order"),
-        F.col("pos").alias("pos"))
-    kmers = kmer_starts(chunks, k, keys, chunk_bits)
-    part = F.pmod(F.xxhash64("kmer"), F.lit(parts))
-    matched = functools.reduce(DataFrame.unionByName, [
-        kmers.join(F.broadcast(probes.where(part == i)), "kmer") for i in range(parts)])
-    found = matched.groupBy("anchor").agg(
-        F.count(F.lit(1)).alias("hits"), F.min(order).alias("first"))
+        F.col("at.pos").alias("pos"))
+    found = probes.join(counted, [*ns, "kmer"]).groupBy(*ns, "anchor").agg(
+        F.sum("n").alias("hits"), F.min(order).alias("first"))
     return found.select(
-        "anchor", "hits", F.least("hits", F.lit(HIT_CAP)).alias("capped_hits"),
+        *ns, "anchor", "hits", F.least("hits", F.lit(HIT_CAP)).alias("capped_hits"),
         *[F.col(f"first.{c}").alias(f"hit_{c}") for c in keys],
         F.when(F.col("first.strand_order") == 0, "+").otherwise("-").alias("hit_orientation"),
         F.col("first.pos").alias("hit_pos"))
@@ -158,34 +164,40 @@ def anchor_hits(
 def map_boundaries(
     features: DataFrame, sequences: DataFrame, source_chunks: DataFrame,
     target_chunks: DataFrame, flank: int = 50, chunk_bits: int = CHUNK_BITS,
+    ns: Sequence[str] = (),
 ) -> DataFrame:
-    """Place both ends of every feature in the target by exact anchors."""
-    k = 2 * flank + 1
+    """Place both ends of every feature in the target by exact anchors.
+
+    All tables share the columns of ``ns``, such as a run; several runs in one
+    call give the rows that each would give by itself.
+    """
+    k, ns = 2 * flank + 1, list(ns)
+    at = [*ns, "seqid"]
     first, last = F.col("start_pos"), F.col("end_pos") - 1
     at_edge = (first - flank < 0) | (last + flank >= F.col("length"))
-    base = features.join(sequences.select("seqid", "length"), "seqid").withColumns({
+    base = features.join(sequences.select(*at, "length"), at).withColumns({
         "at_edge": at_edge,
         "start_from": F.when(~at_edge, first - flank),
         "end_from": F.when(~at_edge, last - flank),
     })
-    spans = base.where(~F.col("at_edge")).select("seqid", F.explode(F.array(
+    spans = base.where(~F.col("at_edge")).select(*at, F.explode(F.array(
         "start_from", "end_from")).alias("start_pos")).withColumn("end_pos", F.col("start_pos") + k)
-    texts = extract_sequence(spans, source_chunks, chunk_bits=chunk_bits).select(
-        "seqid", F.col("start_pos").alias("from"), F.col("sequence").alias("anchor"))
-    hits = anchor_hits(texts, target_chunks, k, chunk_bits=chunk_bits)
-    placed = texts.join(hits, "anchor", "left").select(
-        "seqid", "from", F.coalesce("hits", F.lit(0)).alias("hits"),
+    texts = cut_lineage(extract_sequence(spans, source_chunks, at, chunk_bits=chunk_bits).select(
+        *at, F.col("start_pos").alias("from"), F.col("sequence").alias("anchor")))
+    hits = anchor_hits(texts, target_chunks, k, chunk_bits=chunk_bits, ns=ns)
+    placed = cut_lineage(texts.join(hits, [*ns, "anchor"], "left").select(
+        *at, "from", F.coalesce("hits", F.lit(0)).alias("hits"),
         F.coalesce("capped_hits", F.lit(0)).alias("capped"),
         F.col("hit_seqid").alias("t_seqid"), F.col("hit_orientation").alias("t_or"),
-        (F.col("hit_pos") + flank).alias("t_center"))
+        (F.col("hit_pos") + flank).alias("t_center")))
 
     def side(name: str) -> DataFrame:
         return placed.select(
-            "seqid", F.col("from").alias(f"{name}_from"),
+            *at, F.col("from").alias(f"{name}_from"),
             *[F.col(c).alias(f"{name}_{c}") for c in ("hits", "capped", "t_seqid", "t_or", "t_center")])
 
-    joined = base.join(side("start"), ["seqid", "start_from"], "left").join(
-        side("end"), ["seqid", "end_from"], "left")
+    joined = base.join(side("start"), [*at, "start_from"], "left").join(
+        side("end"), [*at, "end_from"], "left")
     one_each = (F.col("start_hits") == 1) & (F.col("end_hits") == 1)
     none = (F.col("start_hits") == 0) & (F.col("end_hits") == 0)
     same = (F.col("start_t_seqid") == F.col("end_t_seqid")) & (F.col("start_t_or") == F.col("end_t_or"))
@@ -227,13 +239,13 @@ def map_boundaries(
     )
 
 
-def order_status(mapped: DataFrame) -> DataFrame:
-    """One row per probe window: is the source order kept in the target?
+def order_status(mapped: DataFrame, ns: Sequence[str] = ()) -> DataFrame:
+    """One row per probe window (and ``ns``): is the source order kept in the target?
 
     A window is a trio of genes, so its sorted list holds three rows at most.
     """
     center = F.floor((F.col("target_start") + F.col("target_end")) / 2)
-    grouped = mapped.groupBy("window_id").agg(
+    grouped = mapped.groupBy(*ns, "window_id").agg(
         F.bool_and(F.col("mapping_status") == "consistent").alias("all_good"),
         F.min("target_seqid").alias("t1"), F.max("target_seqid").alias("t2"),
         F.min("assembly_orientation").alias("o1"), F.max("assembly_orientation").alias("o2"),
@@ -248,7 +260,7 @@ def order_status(mapped: DataFrame) -> DataFrame:
         .when(kept, "preserved").otherwise("conflict")
     )
     return grouped.select(
-        "window_id", status.alias("order_status"), F.lit("unavailable").alias("adjacency_status"),
+        *ns, "window_id", status.alias("order_status"), F.lit("unavailable").alias("adjacency_status"),
         F.lit(REASON_ADJACENCY).alias("adjacency_reason"))
 
 

@@ -6,6 +6,9 @@ windows, inequality joins and recursive CTEs over the whole tables.
 
 from __future__ import annotations
 
+from locusframe.adapters import BASE_OF, LETTERS
+from locusframe.operators.liftover import REASON_EDGE, REASON_GOOD, REASON_MANY, REASON_NONE, REASON_ORDER, REASON_TARGETS
+
 FEAT = """feat AS (
   SELECT concat('chr', l_suppkey) AS seqid,
     (l_orderkey*37 + l_linenumber*11) % 60000 AS start_pos,
@@ -263,8 +266,9 @@ DEPTH = SAM + ", " + SEQS + """, ev AS (
     coalesce(median(abs(mean_depth - median_nonzero)) FILTER (WHERE mean_depth > 0), 0.0) AS mad_nonzero
   FROM med m JOIN bins ON bins.seqid = m.seqid GROUP BY m.seqid)"""
 
-BASES = """bases AS (
-  SELECT concat('doc', doc_id) AS seqid, regexp_replace(upper(text), '[^ACGTN]', '', 'g') AS bases
+BASES = f"""bases AS (
+  SELECT concat('doc', doc_id) AS seqid,
+    regexp_replace(translate(text, '{LETTERS + LETTERS.lower()}', '{BASE_OF * 2}'), '[^ACGTN]', 'N', 'g') AS bases
   FROM documents)"""
 
 DESCRIBE = """count(*) AS count, min(length) AS min,
@@ -348,7 +352,14 @@ def oracle_sql() -> dict[str, str]:
         "duplicate_ids": """SELECT concat('i', l_orderkey) AS feature_id, count(*) AS records,
           min(l_orderkey*100 + l_linenumber) AS first_line,
           count(DISTINCT (l_orderkey*37 + l_linenumber*11) % 60000 * 1000 + CAST(l_quantity AS INT)) > 1 AND l_orderkey % 2 = 1 AS conflicting
-          FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1""",
+          FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1
+          UNION ALL SELECT concat('x', o_orderkey), count(*), min(o_orderkey*100 + 50), false FROM orders GROUP BY o_orderkey HAVING count(*) > 1""",
+        "duplicate_lines": """WITH f AS (
+            SELECT concat('i', l_orderkey) AS feature_id, l_orderkey*100 + l_linenumber AS line_number, l_orderkey % 2 = 1 AS whole,
+              (l_orderkey*37 + l_linenumber*11) % 60000 * 1000 + CAST(l_quantity AS INT) AS place FROM lineitem
+            UNION ALL SELECT concat('x', o_orderkey), o_orderkey*100 + 50, true, 0 FROM orders)
+          SELECT feature_id, line_number, whole AND min(place) OVER w < max(place) OVER w AS conflicting
+          FROM f WINDOW w AS (PARTITION BY feature_id) QUALIFY count(*) OVER w > 1""",
         "missing_parents": """SELECT o_orderkey*100 + 50 AS line_number, concat('x', o_orderkey) AS feature_id,
           concat('i', o_orderkey) AS parent_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""",
         "ambiguous_parents": """SELECT o_orderkey*100 + 50 AS line_number, concat('x', o_orderkey) AS feature_id,
@@ -505,10 +516,46 @@ def oracle_sql() -> dict[str, str]:
         "window_sequence": _w(BASES, """SELECT seqid, start_pos, end_pos, substr(bases, start_pos + 1, end_pos - start_pos) AS sequence FROM (
           SELECT seqid, bases, CAST(length(bases) // 4 AS BIGINT) AS start_pos, CAST(length(bases) // 2 AS BIGINT) AS end_pos FROM bases)
           WHERE end_pos > start_pos"""),
-        "anchor_hits": _w(BASES, """, anchors AS (SELECT DISTINCT substr(bases, length(bases) // 2 + 1, 21) AS anchor FROM bases WHERE length(bases) >= 50),
-          probes AS (SELECT anchor, anchor AS q FROM anchors UNION ALL SELECT anchor, reverse(translate(anchor, 'ACGTN', 'TGCAN')) FROM anchors),
-          kmers AS (SELECT substr(bases, i + 1, 21) AS k FROM (SELECT bases, unnest(range(length(bases) - 20)) AS i FROM bases WHERE length(bases) >= 21))
-          SELECT anchor, count(*) AS hits, least(count(*), 3) AS capped_hits FROM probes JOIN kmers ON k = q GROUP BY anchor"""),
+        "anchor_hits": _w(BASES, """, anchors AS (SELECT DISTINCT substr(bases, spot + 1, 21) AS anchor FROM (
+            SELECT bases, unnest(range(0, length(bases) - 20, 500)) AS spot FROM bases WHERE length(bases) >= 21)),
+          probes AS (SELECT anchor, anchor AS q, '+' AS o FROM anchors
+            UNION ALL SELECT anchor, reverse(translate(anchor, 'ACGTN', 'TGCAN')), '-' FROM anchors),
+          kmers AS (SELECT seqid, i AS pos, substr(bases, i + 1, 21) AS k FROM (
+            SELECT seqid, bases, unnest(range(length(bases) - 20)) AS i FROM bases WHERE length(bases) >= 21)),
+          hit AS (SELECT anchor, o, k.*, row_number() OVER (PARTITION BY anchor ORDER BY seqid, o, pos) AS nth,
+            count(*) OVER (PARTITION BY anchor) AS hits FROM probes JOIN kmers k ON k = q)
+          SELECT anchor, hits, least(hits, 3) AS capped_hits, seqid AS hit_seqid, o AS hit_orientation, pos AS hit_pos
+          FROM hit WHERE nth = 1"""),
+        "boundary_mapping": _w(BASES, f""", places AS (
+            SELECT seqid, bases, length(bases) AS length, unnest(range(0, greatest(length(bases) - 1, 0) + 1, 1000)) AS spot
+            FROM bases WHERE bases IS NOT NULL),
+          gene AS (SELECT seqid || ':' || spot AS feature_id, seqid, bases, length, spot + least(length - spot, 1000) // 4 AS s,
+            spot + least(length - spot, 1000) // 2 AS e FROM places),
+          flag AS (SELECT *, s - 50 < 0 OR e - 1 + 50 >= length AS edge FROM gene),
+          side AS (SELECT *, CASE WHEN NOT edge THEN substr(bases, s - 49, 101) END AS a, CASE WHEN NOT edge THEN substr(bases, e - 50, 101) END AS b FROM flag),
+          anchors AS (SELECT a AS anchor FROM side WHERE a IS NOT NULL UNION SELECT b FROM side WHERE b IS NOT NULL),
+          probes AS (SELECT anchor, anchor AS q, '+' AS o FROM anchors
+            UNION ALL SELECT anchor, reverse(translate(anchor, 'ACGTN', 'TGCAN')), '-' FROM anchors),
+          kmers AS (SELECT seqid, i AS pos, substr(bases, i + 1, 101) AS k FROM (
+            SELECT seqid, bases, unnest(range(length(bases) - 100)) AS i FROM bases WHERE length(bases) >= 101)),
+          hit AS (SELECT anchor, count(*) AS n, least(count(*), 3) AS c, min(seqid) AS t, min(o) AS o, min(pos) + 50 AS m
+            FROM probes JOIN kmers ON k = q GROUP BY anchor),
+          x AS (SELECT side.*, coalesce(h.n, 0) AS an, coalesce(h.c, 0) AS ac, h.t AS at1, h.o AS ao, h.m AS am,
+              coalesce(g.n, 0) AS bn, coalesce(g.c, 0) AS bc, g.t AS bt, g.o AS bo, g.m AS bm
+            FROM side LEFT JOIN hit h ON h.anchor = a LEFT JOIN hit g ON g.anchor = b),
+          v AS (SELECT *, CASE WHEN edge THEN 0 WHEN an = 0 AND bn = 0 THEN 1 WHEN an <> 1 OR bn <> 1 THEN 2
+            WHEN at1 <> bt OR ao <> bo THEN 3 WHEN CASE WHEN ao = '+' THEN am > bm ELSE bm > am END THEN 4 ELSE 5 END AS v FROM x)
+          SELECT feature_id, CASE WHEN NOT edge THEN seqid END AS source_seqid, CASE WHEN NOT edge THEN s END AS source_start,
+            CASE WHEN NOT edge THEN e END AS source_end, CASE WHEN NOT edge THEN '+' END AS source_strand,
+            CASE WHEN NOT edge THEN 101 END AS anchor_length,
+            CASE WHEN NOT edge THEN ac END AS start_anchor_hit_count, CASE WHEN NOT edge THEN bc END AS end_anchor_hit_count,
+            (['uncertain', 'unmappable', 'uncertain', 'conflict', 'conflict', 'consistent'])[v + 1] AS mapping_status,
+            (['{REASON_EDGE}', '{REASON_NONE}', '{REASON_MANY}', '{REASON_TARGETS}', '{REASON_ORDER}', '{REASON_GOOD}'])[v + 1] AS mapping_reason,
+            CASE WHEN v = 5 THEN at1 END AS target_seqid, CASE WHEN v = 5 THEN least(am, bm) END AS target_start,
+            CASE WHEN v = 5 THEN greatest(am, bm) + 1 END AS target_end, CASE WHEN v = 5 THEN ao END AS assembly_orientation,
+            CASE WHEN v = 5 THEN ao END AS mapped_strand,
+            CASE WHEN v = 5 THEN least(am, bm) - s END AS start_boundary_offset,
+            CASE WHEN v = 5 THEN greatest(am, bm) + 1 - e END AS end_boundary_offset FROM v"""),
         "probe_trios": _w(FEAT, """, r AS (SELECT seqid, entity_id, row_number() OVER (PARTITION BY seqid ORDER BY start_pos, end_pos, entity_id) - 1 AS i,
             count(*) OVER (PARTITION BY seqid) AS n FROM feat),
           t AS (SELECT *, CASE WHEN i IN (0, 1, least(n - 1, 2)) THEN 'first'
@@ -561,7 +608,8 @@ def oracle_sql() -> dict[str, str]:
           c_nationkey = coalesce(s_nationkey, -1) AND c_acctbal >= 0 AS accepted
           FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey % (SELECT count(*) FROM supplier)""",
         "motif_counts": _w(BASES, """SELECT motif, motif IN ('GT-AG','GC-AG','AT-AC','CT-AC','CT-GC','GT-AT') AS canonical, count(*) AS n FROM (
-          SELECT CASE WHEN length(bases) >= 30 THEN substr(bases, 6, 2) || '-' || substr(bases, 29, 2) ELSE 'unavailable' END AS motif FROM bases) GROUP BY motif"""),
+          SELECT CASE WHEN length(bases) >= spot + 25 THEN substr(bases, spot + 1, 2) || '-' || substr(bases, spot + 24, 2) ELSE 'unavailable' END AS motif
+          FROM (SELECT bases, unnest(range(5, greatest(length(bases), 6), 40)) AS spot FROM bases WHERE bases IS NOT NULL)) GROUP BY motif"""),
         "reference_identity": _w(BASES, """, r AS (SELECT seqid, bases,
             substr(bases, 11, 20) || substr(bases, 45, 30) || 'AAAAA' AS q1, length(bases) AS n, file,
             CASE file WHEN 'a' THEN q1 ELSE repeat('A', length(q1)) END AS q FROM bases, (VALUES ('a'), ('b')) f(file)),

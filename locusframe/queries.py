@@ -179,8 +179,12 @@ def _annotation(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def duplicate_ids(spark, d):
-    items = A.loose_features(spark, d).where(F.col("feature_id").startswith("i"))
-    return AN.duplicate_ids(items)
+    return AN.duplicate_ids(A.loose_features(spark, d))
+
+
+@query
+def duplicate_lines(spark, d):
+    return AN.duplicate_lines(A.loose_features(spark, d))
 
 
 @query
@@ -361,9 +365,10 @@ def junction_support(spark, d):
 @query
 def motif_counts(spark, d):
     _, lengths, chunks = A.document_store(spark, d)
-    introns = lengths.select(
-        F.col("seqid").alias("rname"), F.lit(5).cast("bigint").alias("intron_start"),
-        F.lit(30).cast("bigint").alias("intron_end"))
+    # An intron at every 40 bases of every text; the last may reach beyond its end.
+    introns = lengths.where("length IS NOT NULL").select("seqid", F.explode(F.sequence(
+        F.lit(5).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(5)), F.lit(40).cast("bigint"))).alias("at")).select(
+        F.col("seqid").alias("rname"), F.col("at").alias("intron_start"), (F.col("at") + 25).alias("intron_end"))
     found = AL.with_motifs(introns, chunks, lengths)
     return found.groupBy("motif", "canonical").agg(F.count(F.lit(1)).alias("n"))
 
@@ -499,10 +504,11 @@ def window_sequence(spark, d):
 @query
 def anchor_hits(spark, d):
     pieces, _, chunks = A.document_store(spark, d)
-    anchors = pieces.where(F.length("bases") >= 50).select(
-        F.substring("bases", F.floor(F.length("bases") / 2).cast("int") + 1, F.lit(21)).alias("anchor"))
-    found = LO.anchor_hits(anchors, chunks, 21)
-    return found.select("anchor", "hits", "capped_hits")
+    # An anchor at every 500 bases of every text.
+    anchors = pieces.where(F.length("bases") >= 21).select("bases", F.explode(F.sequence(
+        F.lit(0), F.length("bases") - 21, F.lit(500))).alias("at")).select(
+        F.substring("bases", F.col("at") + 1, F.lit(21)).alias("anchor"))
+    return LO.anchor_hits(anchors, chunks, 21)
 
 
 @query

@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from locusframe.operators import alignments as AL, coverage as CV, gates as GA, liftover as LO
+from locusframe.operators import alignments as AL, coverage as CV, gates as GA, liftover as LO, seeds
 from locusframe.operators.sequences import extract_sequence
 from locusframe.functions.sequence import reverse_complement
 from locusframe.plans.evidence import submitted_probe, summarise, window_statistics
@@ -251,9 +252,9 @@ def test_boundary_mapping_takes_every_text_and_all_of_it(spark, tmp_path):
     assert {found[k]["mapping_reason"] for k in ("doc1:0", "doc2:0")} == {LO.REASON_EDGE}
 
 
-@pytest.mark.parametrize("per_part", [1, 1000])
-def test_overlapping_hits_count(spark, monkeypatch, per_part):
-    monkeypatch.setattr(LO, "PROBES_PER_PART", per_part)
+@pytest.mark.parametrize("bits", [8, 1 << 15])
+def test_overlapping_hits_count(spark, monkeypatch, bits):
+    monkeypatch.setattr(seeds, "filter_bits", lambda probes: max(bits, 1 << 15))
     chunks, _ = store(spark, {"t": "A" * 20}, 3)
     anchors = spark.createDataFrame([("AAAAA",), ("TTTTT",), ("CCCCC",)], "anchor STRING")
     found = {r["anchor"]: r for r in LO.anchor_hits(anchors, chunks, 5, chunk_bits=3).collect()}
@@ -261,6 +262,53 @@ def test_overlapping_hits_count(spark, monkeypatch, per_part):
     assert (found["AAAAA"]["hit_orientation"], found["TTTTT"]["hit_orientation"]) == ("+", "-")
 
 
+def test_hashes_depend_on_the_run_only():
+    data = np.frombuffer((_dna(31, 5000) * 2).encode(), np.uint8)
+    hashes = seeds.rolling(data, 21)
+    assert (hashes[:4980] == hashes[5000:]).all() and len(np.unique(hashes[:5000])) == 5000
+    assert (seeds.whole(data[:9996], 21) == hashes[::21][:476]).all()
+
+
+@pytest.mark.parametrize("k, bits, part", [(5, 3, 1 << 18), (9, 4, 64), (21, 3, 100), (33, 8, 1 << 18)])
+def test_anchor_hits_are_those_of_a_plain_search(spark, monkeypatch, k, bits, part):
+    monkeypatch.setattr(seeds, "PART", part)
+    texts = {f"s{i}": _dna(50 + i, n) for i, n in enumerate([0, 3, k - 1, k, 200, 731])}
+    texts["rep"], texts["back"], texts["n"] = "ACGT" * 40, _reverse(texts["s5"]), "N" * 60
+    chunks, _ = store(spark, texts, bits)
+    wanted = {t[i:i + k] for t in texts.values() for i in range(0, len(t) - k + 1, 7)} | {_dna(77, k), "A" * (k + 1), "ACG"}
+    found = {r["anchor"]: r.asDict() for r in LO.anchor_hits(
+        spark.createDataFrame([(a,) for a in wanted] + [(None,)], "anchor STRING"), chunks, k, chunk_bits=bits).collect()}
+    for a in wanted:
+        hits = [(n, o, i) for n, t in texts.items() for o, q in (("+", a), ("-", _reverse(a)))
+                for i in range(len(t) - k + 1) if len(a) == k and t[i:i + k] == q]
+        assert (a in found) == bool(hits)
+        if hits:
+            r = found[a]
+            assert (r["hits"], r["capped_hits"], r["hit_seqid"], r["hit_orientation"], r["hit_pos"]) == (len(hits), min(3, len(hits)), *min(hits))
+
+
+def test_two_runs_at_once_are_two_runs(spark):
+    a, la = store(spark, {"s": SOURCE, "x": _dna(61, 400)}, 7)
+    b, lb = store(spark, {"s": _dna(62, 500), "x": SOURCE}, 7)
+    t, _ = store(spark, {"t": FORWARD, "u": _dna(61, 400)}, 7)
+    u, _ = store(spark, {"t": _reverse(FORWARD) + _dna(62, 500)}, 7)
+    genes = spark.createDataFrame([(f"{s}{i}", s, i, i + 90, "+", f"w{s}") for s in "sx" for i in (60, 150, 220)],
+                                  "feature_id STRING, seqid STRING, start_pos BIGINT, end_pos BIGINT, strand STRING, window_id STRING")
+
+    def run(df, name):
+        return df.withColumn("run", F.lit(name))
+
+    def both(x, y):
+        return run(x, "a").unionByName(run(y, "b"))
+
+    together = LO.map_boundaries(both(genes, genes), both(la, lb), both(a, b), both(t, u), chunk_bits=7, ns=["run"])
+    apart = both(LO.map_boundaries(genes, la, a, t, chunk_bits=7), LO.map_boundaries(genes, lb, b, u, chunk_bits=7))
+    assert rows(together, *apart.columns) == rows(apart, *apart.columns)
+    assert rows(LO.order_status(together, ["run"]), "run", "window_id", "order_status") == sorted(
+        [("a", *r) for r in rows(LO.order_status(apart.where("run = 'a'")), "window_id", "order_status")]
+        + [("b", *r) for r in rows(LO.order_status(apart.where("run = 'b'")), "window_id", "order_status")])
+
+
 @pytest.mark.parametrize("k", [8, 9, 10, 21, 33])
 def test_kmers_longer_than_chunks(spark, k):
     texts = {"s": _dna(21, 70), "short": _dna(22, 9)}
