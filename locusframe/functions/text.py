@@ -56,3 +56,23 @@ def attribute_true(attributes: Column | str, key: str) -> Column:
 def wrapped(text: Column | str, width: int = 70) -> Column:
     """Line breaks after every ``width`` characters."""
     return F.regexp_replace(text, rf"(.{{{width}}})(?=.)", "$1\n")
+
+
+def row_text(*columns: Column | str) -> Column:
+    """One text per row from which every value can be told apart: the length of each, a colon, and the value; ``-`` is null."""
+    parts = []
+    for c in columns:
+        value = (F.col(c) if isinstance(c, str) else c).cast("string")
+        parts.append(F.coalesce(F.concat(F.length(value), F.lit(":"), value), F.lit("-")))
+    return F.concat(*parts)
+
+
+def multiset_digest(*columns: Column | str) -> Column:
+    """Aggregate: a digest of all rows in any order, in which a doubled row counts twice.
+
+    The four 32-bit parts of each row's MD5 are summed separately; sums add up
+    in any order and combine before the shuffle.
+    """
+    digest = F.md5(row_text(*columns).cast("binary"))
+    sums = [F.sum(F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("decimal(20,0)")) for k in range(4)]
+    return F.concat_ws("-", *[F.coalesce(x.cast("string"), F.lit("0")) for x in sums])

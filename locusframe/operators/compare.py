@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from locusframe.functions.text import after_first, attribute_true, attribute_values
+from locusframe.functions.text import after_first, attribute_true, attribute_values, multiset_digest
 from locusframe.operators.annotation import TRANSCRIPT_TYPES
 from locusframe.operators.stats import fraction
 
@@ -210,7 +211,19 @@ def set_difference(left: DataFrame, right: DataFrame, key: Sequence[str]) -> Dat
         *key, F.when(F.col("l") == 1, "left_only").otherwise("right_only").alias("side"))
 
 
-def table_hash(df: DataFrame) -> DataFrame:
-    """Row count and a content hash that ignores row order."""
-    row = F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(row).alias("content_hash"))
+def table_hash(df: DataFrame, scale: int = 6) -> DataFrame:
+    """Row count and a content hash that ignores row order but not repetition.
+
+    Values are taken as text in the order of the column names: floating
+    numbers as decimals of ``scale`` places, times as microseconds, so that
+    another engine can form the same hash.
+    """
+    def text(field: T.StructField) -> Column:
+        if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+            return F.col(field.name).cast(f"decimal(38,{scale})")
+        if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
+            return F.unix_micros(F.col(field.name).cast("timestamp"))
+        return F.col(field.name) if not isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.to_json(field.name)
+
+    fields = sorted(df.schema, key=lambda f: f.name)
+    return df.agg(F.count(F.lit(1)).alias("rows"), multiset_digest(*map(text, fields)).alias("content_hash"))

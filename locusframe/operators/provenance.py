@@ -56,6 +56,11 @@ def artifact_verdicts(artifacts: DataFrame, identities: DataFrame) -> DataFrame:
         "matches", F.coalesce(matches, F.lit(False)))
 
 
+def _artifact_names(artifacts: DataFrame) -> DataFrame:
+    """Artifacts are files, or folders of part files: the first part of the path names them."""
+    return artifacts.select("run_id", F.substring_index("name", "/", 1).alias("name")).distinct()
+
+
 def catalog(
     runs: DataFrame, artifacts: DataFrame, identities: DataFrame, acceptance: DataFrame
 ) -> DataFrame:
@@ -72,7 +77,7 @@ def catalog(
         for kind, names in REQUIRED_ARTIFACTS.items() for name in names])
     wanted = typed.select("run_id", "run_type", F.explode(required).alias("r")).where(
         F.col("r.kind") == F.col("run_type")).select("run_id", F.col("r.name").alias("name"))
-    missing = wanted.join(artifacts.select("run_id", "name"), ["run_id", "name"], "left_anti").groupBy(
+    missing = wanted.join(_artifact_names(artifacts), ["run_id", "name"], "left_anti").groupBy(
         "run_id").agg(F.count(F.lit(1)).alias("missing"))
     verified = listed.groupBy("run_id").agg(F.bool_and("matches").alias("verified"))
     ruled = acceptance.select(
@@ -109,7 +114,7 @@ def missing_artifacts(runs: DataFrame, artifacts: DataFrame) -> DataFrame:
         for kind, names in REQUIRED_ARTIFACTS.items() for name in names])
     wanted = typed.select("run_id", "run_type", F.explode(required).alias("r")).where(
         F.col("r.kind") == F.col("run_type")).select("run_id", F.col("r.name").alias("name"))
-    return wanted.join(artifacts.select("run_id", "name"), ["run_id", "name"], "left_anti")
+    return wanted.join(_artifact_names(artifacts), ["run_id", "name"], "left_anti")
 
 
 def displayable(entries: DataFrame, kind: str | None = None) -> DataFrame:

@@ -372,6 +372,25 @@ def oracle_sql() -> dict[str, str]:
             UNION SELECT child_id, steps + 1 FROM links JOIN below ON parent_id = id)
           SELECT id, CAST(min(steps) AS INT) AS steps FROM below GROUP BY id""",
         "normalized_entities": _w(ENTITIES, "SELECT * FROM entities", True),
+        "published_runs": _w(ENTITIES, """, o AS (SELECT seqid, start_pos, end_pos, max(end_pos) OVER (PARTITION BY seqid
+            ORDER BY start_pos, end_pos, entity_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_end FROM entities),
+          ext AS (SELECT s.seqid, length, f, t FROM (SELECT seqid, max(end_pos) + 10 AS length FROM gff GROUP BY seqid) s
+            LEFT JOIN (SELECT seqid, min(start_pos) AS f, max(end_pos) AS t FROM entities GROUP BY seqid) e ON e.seqid = s.seqid),
+          sizes AS (SELECT 'entities' AS table_name, count(*) AS rows FROM entities
+            UNION ALL SELECT 'regions', count(*) FILTER (WHERE start_pos > prev_end) FROM o
+            UNION ALL SELECT 'terminals', CAST(sum(CASE WHEN f IS NULL THEN 1 ELSE CAST(f > 0 AS INT) + CAST(t < length AS INT) END) AS BIGINT) FROM ext
+            UNION ALL SELECT 'split regions', count(*) FILTER (WHERE start_pos > prev_end) FROM o)
+          SELECT CASE WHEN table_name = 'split regions' THEN 'candidate_windows' ELSE 'baseline' END AS run_type,
+            CASE WHEN table_name = 'split regions' THEN 'baseline-derived' END AS parent_run_id, true AS displayable, 'ok' AS reason,
+            'pending' AS verification_status, table_name, rows FROM sizes""", True),
+        "table_hash": """WITH t AS (SELECT md5(concat_ws('', """ + ", ".join(
+            f"coalesce(concat(length({c}), ':', {c}), '-')" for c in (
+                "CAST(CAST(l_discount AS DECIMAL(38,6)) AS VARCHAR)", "CAST(CAST(l_extendedprice AS DECIMAL(38,6)) AS VARCHAR)",
+                "CAST(l_linenumber AS VARCHAR)", "l_linestatus", "CAST(l_orderkey AS VARCHAR)", "CAST(l_partkey AS VARCHAR)",
+                "CAST(CAST(l_quantity AS DECIMAL(38,6)) AS VARCHAR)", "l_returnflag", "CAST(epoch_us(l_shipdate) AS VARCHAR)",
+                "CAST(l_suppkey AS VARCHAR)", "CAST(CAST(l_tax AS DECIMAL(38,6)) AS VARCHAR)")) + """)) AS h FROM lineitem)
+          SELECT count(*) AS rows, concat_ws('-', """ + ", ".join(
+            f"CAST(sum(CAST(concat('0x', substr(h, {8 * k + 1}, 8)) AS BIGINT)) AS VARCHAR)" for k in range(4)) + """) AS content_hash FROM t""",
         "diagnostic_counts": _w(ENTITIES, """, prev AS (SELECT seqid,
             (start_pos, end_pos, entity_id) < lag((start_pos, end_pos, entity_id)) OVER (PARTITION BY seqid ORDER BY line_number) AS bad FROM entities)
           SELECT * FROM (

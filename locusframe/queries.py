@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,10 @@ from locusframe.operators import (
     intervals as IV, liftover as LO, provenance as PR, rules as RU, scans as SC, stats as ST,
 )
 from locusframe.operators.sequences import extract_sequence
-from locusframe.session import apply_settings, cut_lineage
-from locusframe.plans.candidates import with_sequence
-from locusframe.sources import gff3
+from locusframe.session import apply_settings, cut_lineage, shared_folder
+from locusframe.plans import baseline as BL
+from locusframe.plans.candidates import run_candidates, with_sequence
+from locusframe.sources import gff3, published
 from locusframe.sources.fasta import chunked
 from locusframe.sources.files import verify_declared
 from locusframe.sources.reads import parse_sam
@@ -663,6 +665,35 @@ def run_catalog(spark, d):
         A.acceptance(spark, d))
 
 
+@query
+def published_runs(spark, d):
+    """A baseline and a candidate run of the annotation: their catalogue entries, and the rows of their reloaded tables."""
+    root = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    features = cut_lineage(_annotation(spark, d))
+    known = {"seq_class": CH.NUCLEAR, "five_prime": "complete", "three_prime": "partial"} | {
+        f"{end}_{what}": what for end in ("five_prime", "three_prime") for what in ("evidence", "declaration")}
+    sequences = features.groupBy("seqid").agg((F.max("end_pos") + 10).alias("length")).withColumns(
+        {name: F.lit(value) for name, value in known.items()})
+    run = spark.createDataFrame([("baseline-derived", 2, "derived", "complete", "pending", "blocked")], (
+        "run_id STRING, schema_version INT, target_strain STRING, execution_status STRING, verification_status STRING, "
+        "scientific_acceptance_status STRING"))
+    text = features.agg(F.sum("line_number").alias("size_bytes"), F.sha2(F.max("seqid"), 256).alias("sha256"))
+    BL.publish(spark, BL.inventory(features, sequences), run, text.withColumn("role", F.lit("fasta")), f"{root}/a")
+    bases = chunked(sequences.select("seqid", F.lit(0).alias("start_pos"), F.repeat(
+        F.lit("ACGT"), F.ceil(F.col("length") / 4).cast("int")).alias("bases")), ["seqid"])
+    child = run_candidates(spark, f"{root}/a", bases, None, 10, 20, f"{root}/b").first()["run_id"]
+    entries = cut_lineage(published.scan(spark, root))
+    sizes = None
+    for name, run_id, table in (("entities", "baseline-derived", "entities"), ("regions", "baseline-derived", "regions"),
+                                ("terminals", "baseline-derived", "terminals"), ("split regions", child, "windows"),
+                                ("split regions", child, "excluded")):
+        rows = published.load_table(spark, root, run_id, table).select(
+            F.lit(run_id).alias("run_id"), F.lit(name).alias("table_name"))
+        sizes = rows if sizes is None else sizes.unionByName(rows)
+    return entries.join(sizes.groupBy("run_id", "table_name").agg(F.count("*").alias("rows")), "run_id").select(
+        "run_type", "parent_run_id", "displayable", "reason", "verification_status", "table_name", "rows")
+
+
 @query
 def parent_inputs(spark, d):
     inputs = A.table(spark, d, "customer").select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from conftest import LENGTHS, fasta_text, gff_text, rows
 from locusframe.errors import ContractError
 from locusframe.operators import checks as CH, compare as CO, gates as GA, provenance as PR
+from locusframe.sources import published as PB
 from locusframe.plans.baseline import report, run_baseline
 from locusframe.plans.candidates import run_candidates
 from locusframe.plans.qualification import qualify_sources
@@ -331,6 +332,97 @@ def test_candidate_job(spark, published):
     assert not (root / "no").exists()
 
 
+def _published_pair(spark, published, root):
+    source, arguments, _ = published
+    run_baseline(spark, *arguments, "asm", str(root / "base"))
+    chunks = read_fasta(spark, arguments[0], chunk_bits=4).chunks
+    run_candidates(spark, str(root / "base"), chunks, None, 0, 1, str(root / "cand"))
+
+
+def test_published_runs_are_displayable_until_a_byte_changes(spark, published, tmp_path):
+    _published_pair(spark, published, tmp_path)
+    _write_run(tmp_path, "told", {"run_id": "told", "schema_version": 2, "target_strain": "T", "execution_status": "complete"},
+               {n: n for n in PR.REQUIRED_ARTIFACTS[PR.BASELINE]})
+    entries = {r["run_type"] if r["run_id"] != "told" else "told": r for r in PB.scan(spark, str(tmp_path)).collect()}
+    assert {k: (r["displayable"], r["reason"]) for k, r in entries.items()} == {
+        k: (True, "ok") for k in (PR.BASELINE, PR.CANDIDATES, "told")}
+    assert entries[PR.CANDIDATES]["parent_run_id"] == entries[PR.BASELINE]["run_id"] and entries["told"]["folder"] == "told"
+    assert PR.with_parent(PB.scan(spark, str(tmp_path))).first()["parent_displayable"] is True
+    base, child = entries[PR.BASELINE]["run_id"], entries[PR.CANDIDATES]["run_id"]
+    assert PB.load_table(spark, str(tmp_path), base, "regions", PR.BASELINE).count() == 6
+    assert PB.load_table(spark, str(tmp_path), child, "windows").count() == 4
+    runs = PB.read_runs(spark, str(tmp_path))
+    assert PR.missing_artifacts(runs, PB.read_artifacts(spark, str(tmp_path), runs)).isEmpty()
+    assert PR.parent_inputs(runs, PB.read_inputs(spark, str(tmp_path), runs)).where("problem IS NOT NULL").isEmpty()
+    with pytest.raises(ContractError, match="not a baseline"):
+        PB.load_table(spark, str(tmp_path), child, "windows", PR.BASELINE)
+    with pytest.raises(ContractError, match="no run"):
+        PB.load_table(spark, str(tmp_path), "nothing", "windows")
+    part = next((tmp_path / "base/intergenic_regions.tsv").glob("part-*"))
+    data = bytearray(part.read_bytes())
+    data[-3] ^= 1
+    part.write_bytes(bytes(data))
+    for crc in part.parent.glob(".part-*.crc"):
+        crc.write_bytes(b"")  # the checksum file of the local file system would refuse the read
+        crc.unlink()
+    rows_left = spark.read.parquet(str(tmp_path / "cand/artifacts")).where("name NOT LIKE 'fasta/%'").toPandas()
+    spark.createDataFrame(rows_left).write.mode("overwrite").parquet(str(tmp_path / "cand/artifacts"))
+    found = {r["run_id"]: r for r in PB.scan(spark, str(tmp_path)).collect()}
+    assert (found[base]["displayable"], found[base]["reason"]) == (False, PR.REASON_HASH) and not found[child]["displayable"]  # files or listing altered
+    with pytest.raises(ContractError, match="not displayable"):
+        PB.load_table(spark, str(tmp_path), base, "regions")
+
+
+@pytest.mark.parametrize("stop_at", ["tables", "listing", "marker"])
+def test_a_job_that_stops_half_way_leaves_no_run(spark, tmp_path, monkeypatch, stop_at):
+    class Stopped(Exception):
+        pass
+
+    def stop(*args, **options):
+        raise Stopped
+
+    root, out = str(tmp_path / "runs"), str(tmp_path / "runs/base")
+    run = spark.createDataFrame([("r", 2, "T", "complete")], "run_id STRING, schema_version INT, target_strain STRING, execution_status STRING")
+    inputs = spark.createDataFrame([("fasta", 3, "x")], "role STRING, size_bytes LONG, sha256 STRING")
+
+    def publish():
+        with PB.staged(spark, out) as folder:
+            for name in PR.REQUIRED_ARTIFACTS[PR.BASELINE]:
+                (tmp_path / "runs" / Path(folder).name / name).mkdir(parents=True)
+                (tmp_path / "runs" / Path(folder).name / name / "part-0").write_text(name)
+            if stop_at == "tables" and not done:
+                stop()
+            return PB.commit(spark, folder, out, run, inputs)
+
+    done = False
+    (tmp_path / "runs").mkdir()
+    with monkeypatch.context() as m:
+        if stop_at == "listing":
+            m.setattr(files, "file_identities", stop)
+        elif stop_at == "marker":
+            m.setattr(PB, "_listing_digest", stop)
+        with pytest.raises(Stopped):
+            publish()
+    assert PB.scan(spark, root).isEmpty()
+    with pytest.raises(ContractError, match="not a published run"):
+        PB.read_run(spark, out)
+    done = True
+    assert publish().first()["files"] == 9  # the next attempt replaces what is left
+    assert [r["displayable"] for r in PB.scan(spark, root).collect()] == [True]
+    with pytest.raises(ContractError, match="is a published run"):
+        publish()
+
+
+def test_table_hash_ignores_order_but_not_repetition(spark):
+    df = spark.range(50).selectExpr("id", "CASE WHEN id % 7 > 0 THEN concat('x', id) END AS name", "id / 3.0D AS value", "array(id) AS list")
+    one = CO.table_hash(df).first()
+    assert CO.table_hash(df.orderBy(F.rand()).repartition(5)).first() == one and one["rows"] == 50
+    others = [df.unionByName(df.limit(1)), df.withColumn("name", F.coalesce("name", F.lit("-"))), df.limit(49),
+              df.withColumn("value", F.col("value") + 0.001)]
+    assert len({one["content_hash"], *(CO.table_hash(o).first()["content_hash"] for o in others)}) == 5
+    assert CO.table_hash(df.limit(0)).first()["content_hash"] == "0-0-0-0"
+
+
 @pytest.mark.parametrize("change, message", [
     (("chr1 gene 81 90 . ID=g5", "chr1 gene 99 101 . ID=g5"), "out of bounds"),
     (("##sequence-region chr1 1 100", "##sequence-region chr1 1 99"), "chr1"),
