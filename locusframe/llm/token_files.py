@@ -29,9 +29,9 @@ MAGIC = b"FIXEDIDS"
 HEADER = "<8sIIQQQ"
 HEADER_BYTES = struct.calcsize(HEADER)
 #: Ids of a block and of a file (a longer document has a file of its own); characters encoded at once.
-BLOCK_IDS, FILE_IDS, BLOCK_CHARS = 1 << 16, 1 << 22, 2_000_000
+BLOCK_IDS, FILE_IDS, BLOCK_CHARS = 1 << 16, 1 << 21, 1_000_000
 #: Bytes of text that a task encodes.
-TASK_BYTES = 40 << 20
+TASK_BYTES = 16 << 20
 
 
 def bits_for(size: int) -> int:
@@ -133,7 +133,7 @@ def write_token_files(docs: DataFrame, path: str, target: str, end: int = 1, id_
 
         for batch in batches:
             names, at = batch.column(0).to_pylist(), 0
-            for block in blocks(batch.column(1).to_pylist(), BLOCK_CHARS):
+            for block in blocks((text.as_py() for text in batch.column(1)), BLOCK_CHARS):
                 for name, ids in zip(names[at:at + len(block)], coder.ids(block)):
                     if held and size + len(ids) // 4 + 1 > file_ids:
                         yield image()

@@ -90,7 +90,9 @@ class WordCoder:
         return [b"".join(map(known.__getitem__, words)) for words in parts]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        """Encode a few at a time: the library's results are many times as large as the ids."""
+        return [np.array(x.ids, "<u4").tobytes() for at in range(0, len(texts), TOGETHER)
+                for x in self.whole.encode_batch_fast(texts[at:at + TOGETHER], add_special_tokens=False)]
 
     def _add(self, words: list[str]) -> None:
         """Encode words of letters together; each has exactly one id that ends a word."""
