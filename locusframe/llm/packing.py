@@ -11,66 +11,35 @@ among the rows of its length.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.llm.byte_bpe import blocks, make_room
+from locusframe.llm.byte_bpe import blocks
 from locusframe.llm.common import cut_compressed, number_rows, ship
+from locusframe.llm.word_coder import WordCoder
 
-BLOCK_CHARS, CACHE = 2_000_000, 450_000
-
-
-@lru_cache(maxsize=2)
-def _words(path: str):
-    """Function from a list of white-space-free words to their ids, cached."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    encode = Tokenizer.from_file(path).encode_batch_fast
-    known, cores = {"": b""}, {"": b""}
-
-    def core(word: str) -> tuple[str, str]:
-        """A plain word without closing marks, in lower case, and the marks: the tokenizer splits there anyway."""
-        head = word.rstrip(".,;:!?")
-        return (head.lower(), word[len(head):]) if head.isascii() and head.isalnum() else (word, "")
-
-    def ids(texts: list[str], end: int) -> list[bytes]:
-        make_room(known, CACHE)
-        make_room(cores, CACHE)
-        parts = [text.replace("\n", " ").split(" ") for text in texts]
-        fresh = {word: core(word) for words in parts for word in words if word not in known}
-        wanted = list({x for both in fresh.values() for x in both if x not in cores})
-        for word, found in zip(wanted, encode(wanted, add_special_tokens=False)):
-            cores[word] = np.array(found.ids, "<u4").tobytes()
-        for word, (head, marks) in fresh.items():
-            known[word] = cores[head] + cores[marks]
-        last = end.to_bytes(4, "little")
-        return [b"".join(map(known.__getitem__, words)) + last for words in parts]
-
-    return ids
+BLOCK_CHARS = 1_000_000
 
 
 def windows(docs: DataFrame, path: str, window: int = 2048, end: int = 1, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """Token ids of every document plus ``end``, cut at multiples of ``window``; ``piece`` numbers the rows uniquely.
 
-    White space never reaches this kind of tokenizer's ids, so each word
-    between blanks is encoded once per worker.
+    See ``word_coder`` for how texts are encoded; its words are forgotten when
+    a task ends.
     """
     def run(batches) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        ids, count = _words(path), TaskContext.get().partitionId() << 33
+        coder, last, count = WordCoder(path), end.to_bytes(4, "little"), TaskContext.get().partitionId() << 33
         for batch in batches:
             names, at = batch.column(0), 0
-            for block in blocks(batch.column(1).to_pylist(), BLOCK_CHARS):
-                data = ids(block, end)
+            for block in blocks((text.as_py() for text in batch.column(1)), BLOCK_CHARS):
+                data = [ids + last for ids in coder.ids(block)]
                 cuts = [(k, s) for k, d in enumerate(data) for s in range(0, len(d), 4 * window)]
                 part = [data[k][s:s + 4 * window] for k, s in cuts]
                 yield pa.RecordBatch.from_arrays([
