@@ -297,6 +297,45 @@ def test_class_model_counts_and_sums_to_one(docs, empty):
     assert class_lm.score_documents(empty).count() == 0
 
 
+def test_scores_are_those_of_the_model_word_by_word(docs, monkeypatch):
+    import math
+
+    monkeypatch.setattr(class_lm, "HEAD", 100)
+    monkeypatch.setattr(class_lm, "BLOCK_CHARS", 3000)
+    monkeypatch.setattr(class_lm, "CACHE", 50)
+    model, counts = class_lm.fit(docs.where(~class_lm.held_out()))
+    n_of = {r["word"].encode(): r["n"] for r in counts.collect()}
+    assert len(model.counts) == 100 and min(model.counts.values()) >= sorted(
+        (n for w, n in n_of.items() if w), reverse=True)[99]
+    for r in class_lm.score(docs, model, counts).collect():
+        words, before, total, base, known = [*class_lm.tokens(TEXTS[r["doc_id"]]), b""], class_lm.END_UNIT, 0.0, 0.0, 0
+        for word in words:
+            unit = model.units.get(word, class_lm.CLUSTERED + class_lm.shape(word)) if word else class_lm.END_UNIT
+            n = n_of.get(word, 0)
+            total += model.transition[model.classes[before], model.classes[unit]] + model.emission(n, unit)
+            base += math.log10((n + 1) / (sum(n_of.values()) + len(n_of) + 1))
+            before, known = unit, known + (n > 0)
+        assert (r["n_tokens"], r["n_known"]) == (len(words), known)
+        assert r["score"] == pytest.approx(total, rel=1e-9) and r["base_score"] == pytest.approx(base, rel=1e-9)
+
+
+def test_frequent_words_fill_their_number(spark):
+    rows = [(f"hot{k}", 5000 + k) for k in range(20)] + [(f"same{k}", 7) for k in range(900)]
+    counts = spark.createDataFrame(rows, "word string, n long").repartition(3)
+    for most in (5, 20, 300, 920, 2000):
+        found = class_lm.frequent_words(counts, most)
+        assert len(found) == min(most, 920) and [n for _, n in found] == sorted((n for _, n in rows), reverse=True)[:most]
+    assert class_lm.frequent_words(counts, 300) == class_lm.frequent_words(counts.repartition(2), 300)
+
+
+def test_unseen_open_class_is_not_certain(spark):
+    rows = [(k, "alpha beta gamma") for k in range(20)]
+    docs = spark.createDataFrame([*rows, (100, "§12")], "doc_id long, text string")
+    model, counts = class_lm.fit(docs.where("doc_id < 100"))
+    score = class_lm.score(docs, model, counts).where("doc_id = 100").first()["score"]
+    assert score < 2 * model.base(0) / 3
+
+
 def test_exchange_finds_planted_classes():
     rng = np.random.default_rng(1)
     truth, line = np.arange(12) % 2, [0]
