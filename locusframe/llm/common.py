@@ -2,43 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import shutil
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator, Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locusframe.session import broadcast_if_small, shared_folder
+from locusframe.session import broadcast_if_small, shared_folder, ship
 
-__all__ = ["anti_join", "components", "cut_compressed", "cut_lineage", "number_rows", "scratch", "scratch_folder",
+__all__ = ["anti_join", "components", "cut_compressed", "cut_lineage", "join_counted", "number_rows", "scratch", "scratch_folder",
            "semi_join", "ship", "table"]
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once per application."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp()  # the driver's own: executors fetch the archive from the driver
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    archive = Path(folder, f"{package.name}-{context.applicationId}.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for file in sorted(package.rglob("*.py")):
-            out.write(file, file.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    _shipped.add(context.applicationId)
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -53,6 +29,28 @@ def anti_join(df: DataFrame, written: DataFrame, on: str) -> DataFrame:
     return df.join(broadcast_if_small(written.select(on)), on, "left_anti")
 
 
+#: Rows of a key from which on it is broadcast, so that its rows stay where they are.
+HOT = 10_000
+
+
+def join_counted(df: DataFrame, counted: DataFrame, on: str | Sequence[str], count: str) -> DataFrame:
+    """Inner join with a written table that has one row per key and how many rows of ``df`` it has.
+
+    A table that a count proves small is broadcast.  Of a larger one the hot
+    keys are, if they are few enough; the rows of all others are shuffled.
+    """
+    on = [on] if isinstance(on, str) else list(on)
+    small = broadcast_if_small(counted)
+    if small is not counted:
+        return df.join(small, on)
+    hot = counted.where(F.col(count) >= HOT)
+    few = broadcast_if_small(hot)
+    if few is hot:
+        return df.join(counted, on)
+    return df.join(few, on).unionByName(
+        df.join(F.broadcast(hot.select(*on)), on, "left_anti").join(counted.where(F.col(count) < HOT), on))
+
+
 _scopes: list[list[str]] = []
 
 

@@ -17,11 +17,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.llm import shingles
-from locusframe.llm.common import anti_join, components, cut_compressed, cut_lineage, scratch, semi_join, ship
+from locusframe.llm.common import anti_join, components, cut_compressed, cut_lineage, join_counted, scratch, semi_join, ship
 from locusframe.llm.shingles import band_keys, minhash, mix
 
 BANDS, ROWS = 32, 6
@@ -240,9 +240,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alive = made.where("n > 0 and id is not null")
     classes = cut_lineage(alive.groupBy("high", "low").agg(F.min("id").alias("rep")))
     reps = semi_join(alive, classes.select(F.col("rep").alias("id")), "id")
-    keys = reps.select("id", F.explode("keys").alias("key")).distinct()
-    size = F.count("*").over(Window.partitionBy("key"))
-    shared = cut_lineage(keys.withColumn("size", size).where("size > 1"))
+    keys = reps.select("id", F.explode("keys").alias("key"))
+    # Counts combine before they leave a task; only keys that are met twice have their rows moved.
+    counts = cut_lineage(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    shared = cut_lineage(join_counted(keys, counts, "key", "size").distinct())
     buckets = shared.join(reps.select("id", "n", "sketch", "keys"), "id")
     ids = cut_lineage(shared.select("id").distinct())
     sets = cut_lineage(shingle_sets(

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import cut_compressed, scratch, ship
+from locusframe.llm.common import cut_compressed, cut_lineage, join_counted, scratch, ship
 from locusframe.llm.near_dedup import near_duplicates
 from locusframe.llm.shingles import mix, odd_numbers, shingles, word_hashes
 from locusframe.session import broadcast_if_small
@@ -105,13 +105,15 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     with scratch(docs.sparkSession) as keep:
         lines = cut_compressed(paragraphs(docs, id_col, text_col))
         near = near_duplicates(lines, "id", "line", PERCENT, 5, BANDS, ROWS).select("id", "component_id")
-        placed = lines.select("id", "doc", "first", "words").join(near, "id")
-        groups = placed.groupBy("component_id").agg(F.min("doc").alias("source"), F.max("doc").alias("other")).where("source < other")
-        alike = (placed.join(groups.drop("other"), "component_id").where("doc <> source")
+        placed = cut_lineage(lines.select("id", "doc", "first", "words").join(near, "id"))
+        groups = cut_lineage(placed.groupBy("component_id").agg(
+            F.min("doc").alias("source"), F.max("doc").alias("other"), F.count("*").alias("rows")).where("source < other"))
+        alike = (join_counted(placed, groups, "component_id", "rows").where("doc <> source")
                  .select("doc", F.col("first").alias("start"), (F.col("first") + F.col("words")).alias("end"), "source"))
-        found = windows(docs, id_col, text_col)
-        keys = found.groupBy("high", "low").agg(F.min("doc").alias("source"), F.max("doc").alias("other")).where("source < other")
-        copied = (windows(docs, id_col, text_col).join(keys.drop("other"), ["high", "low"]).where("doc <> source")
+        found = cut_lineage(windows(docs, id_col, text_col))
+        keys = cut_lineage(found.groupBy("high", "low").agg(
+            F.min("doc").alias("source"), F.max("doc").alias("other"), F.count("*").alias("rows")).where("source < other"))
+        copied = (join_counted(found, keys, ["high", "low"], "rows").where("doc <> source")
                   .select("doc", F.col("first").alias("start"), (F.col("first") + WINDOW).alias("end"), "source"))
         return keep(alike.unionByName(copied).groupBy("doc").agg(
             F.array_sort(F.collect_set(F.struct("start", "end", "source"))).alias("spans")))

@@ -319,6 +319,20 @@ def test_scores_are_those_of_the_model_word_by_word(docs, monkeypatch):
         assert r["score"] == pytest.approx(total, rel=1e-9) and r["base_score"] == pytest.approx(base, rel=1e-9)
 
 
+@pytest.mark.parametrize("bound, hot", [(1000, 10), (3, 4), (0, 4)])
+def test_joins_with_counted_keys(spark, monkeypatch, bound, hot):
+    from locusframe.llm import common
+
+    monkeypatch.setattr(common, "HOT", hot)
+    monkeypatch.setattr(common, "broadcast_if_small", lambda df: df if df.count() > bound else df.hint("broadcast"))
+    rows = [(k, i) for k in range(6) for i in range(1 + 3 * (k == 2) + 2 * (k == 4))]
+    df = spark.createDataFrame(rows, "key long, i long")
+    counted = df.groupBy("key").count().where("count > 1 OR key < 2")
+    got = sorted(tuple(r) for r in common.join_counted(df, counted, "key", "count").select("key", "i", "count").collect())
+    size = Counter(k for k, _ in rows)
+    assert got == sorted((k, i, size[k]) for k, i in rows if size[k] > 1 or k < 2)
+
+
 def test_frequent_words_fill_their_number(spark):
     rows = [(f"hot{k}", 5000 + k) for k in range(20)] + [(f"same{k}", 7) for k in range(900)]
     counts = spark.createDataFrame(rows, "word string, n long").repartition(3)
