@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.operators.scans import prefix_scan
+from locusframe.session import cut_lineage
 
 KEYS = ("seqid",)
 BIN_BITS = 14  # 16 kb: about the length of a long gene
@@ -400,6 +401,78 @@ def overlapping_entities(
     )
 
 
+def overlap_pair_counts(
+    entities: DataFrame, keys: Sequence[str] = KEYS, digit_bits: int = 3
+) -> DataFrame:
+    """``keys, kind, n``: how many pairs ``overlapping_entities`` has, without making any.
+
+    Equal intervals collapse to weights first.  All overlaps of a later member
+    are the members before it less those that end before it starts, which
+    prefix sums over positions give.  Nested pairs of different starts are a
+    dominance count: two starts part at exactly one digit of their common
+    length, so within the starts that agree above that digit, every later
+    digit meets the ends of the earlier digits that reach at least as far.
+    Work grows with the distinct intervals and the digits of an axis, not with
+    the depth of overlap.
+    """
+    keys = list(keys)
+    known = entities.select(*keys, "entity_id", "start_pos", "end_pos").dropna(subset=[*keys, "start_pos", "end_pos"])
+    spans = cut_lineage(
+        known.groupBy(*keys, "start_pos", "end_pos", "entity_id").agg(F.count(F.lit(1)).alias("c"))
+        .groupBy(*keys, "start_pos", "end_pos").agg(
+            F.sum("c").alias("w"), F.sum(F.col("c") * F.col("c")).alias("same")))
+    wide = F.col("end_pos") > F.col("start_pos")
+    weight, none = F.when(wide, F.col("w")).otherwise(F.lit(0)), F.lit(0).cast("bigint")
+    events = spans.select(*keys, F.explode(F.array(
+        F.struct(F.col("start_pos").cast("bigint").alias("pos"), weight.alias("begun"), (F.col("w") - weight).alias("points"), none.alias("ended")),
+        F.struct(F.col("end_pos").cast("bigint").alias("pos"), none.alias("begun"), none.alias("points"), weight.alias("ended")),
+    )).alias("e")).select(*keys, "e.*").groupBy(*keys, "pos").agg(
+        *[F.sum(c).alias(c) for c in ("begun", "points", "ended")])
+    scanned = prefix_scan(events, keys, "pos", {"begun_before": ("sum", "begun"), "ended_before": ("sum", "ended")})
+
+    def big(column: Column) -> Column:
+        return F.sum(column.cast("decimal(38,0)"))
+
+    gone = F.col("ended_before") + F.col("ended")
+    sums = scanned.groupBy(*keys).agg(
+        F.sum("begun").cast("decimal(19,0)").alias("members"),
+        big(F.col("begun") * gone).alias("apart"),
+        big(F.col("points") * (F.col("begun_before") - gone)).alias("inside"))
+    same = spans.groupBy(*keys).agg(
+        big(F.when(wide, F.col("same")).otherwise(0)).alias("selves"),
+        big(F.when(wide, (F.col("w") * F.col("w") - F.col("same")) / 2).otherwise(0)).alias("equal"))
+
+    # An interval without length lies inside what ends behind it.
+    reach = F.greatest(F.col("end_pos"), F.col("start_pos") + 1).cast("bigint")
+    longest = spans.agg(F.max("start_pos")).first()[0] or 0
+    digits, count = 1 << digit_bits, max(1, -(-int(longest).bit_length() // digit_bits))
+    placed = spans.select(*keys, reach.alias("reach"), "w", "start_pos", F.explode(
+        F.sequence(F.lit(0), F.lit(count - 1))).alias("level"))
+    shift = F.col("level") * digit_bits
+    at = F.call_function("shiftright", F.col("start_pos"), shift)
+    dealt = placed.select(
+        *keys, "level", F.call_function("shiftright", F.col("start_pos"), shift + digit_bits).alias("above"), "reach",
+        at.bitwiseAND(F.lit(digits - 1)).alias("digit"), "w")
+    group = [*keys, "level", "above"]
+    # Starts that agree down to a digit alone meet nothing there.
+    mixed = dealt.groupBy(*group, "reach").agg(*[
+        F.sum(F.when(F.col("digit") == k, F.col("w")).otherwise(0)).alias(f"d{k}") for k in range(digits)])
+    outputs = {f"p{k}": ("sum", f"d{k}") for k in range(digits - 1)} | {f"t{k}": ("total", f"d{k}") for k in range(digits - 1)}
+    ranked = prefix_scan(mixed, group, "reach", outputs)
+    met, earlier = F.lit(0).cast("decimal(38,0)"), F.lit(0)
+    for k in range(1, digits):
+        earlier = earlier + F.col(f"t{k - 1}") - F.col(f"p{k - 1}")
+        met = met + F.col(f"d{k}") * earlier
+    crossed = ranked.groupBy(*keys).agg(big(met).alias("crossed"))
+    counted = sums.join(same, keys).join(crossed, keys).select(
+        *keys, (F.col("equal") + F.col("crossed")).alias("nested"),
+        ((F.col("members") * F.col("members") - F.col("selves")) / 2 - F.col("apart") + F.col("inside")).alias("pairs"))
+    return counted.select(*keys, F.explode(F.array(
+        F.struct(F.lit("nested").alias("kind"), F.col("nested").cast("bigint").alias("n")),
+        F.struct(F.lit("overlaps").alias("kind"), (F.col("pairs") - F.col("nested")).cast("bigint").alias("n")),
+    )).alias("x")).select(*keys, "x.*").where("n > 0")
+
+
 # --- subtraction -----------------------------------------------------------
 
 def subtract_cuts(cuts: DataFrame, keys: Sequence[str]) -> DataFrame:

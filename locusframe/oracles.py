@@ -308,6 +308,9 @@ def oracle_sql() -> dict[str, str]:
           least(l.end_pos, r.end_pos) AS intersection_end FROM feat l JOIN feat r ON l.seqid = r.seqid
           AND r.start_pos >= l.start_pos AND r.start_pos < l.end_pos
           AND (l.start_pos, l.end_pos, l.entity_id) < (r.start_pos, r.end_pos, r.entity_id)"""),
+        "overlap_pair_counts": _w(FEAT, """SELECT l.seqid, CASE WHEN r.end_pos <= l.end_pos THEN 'nested' ELSE 'overlaps' END AS kind, count(*) AS n
+          FROM feat l JOIN feat r ON l.seqid = r.seqid AND r.start_pos >= l.start_pos AND r.start_pos < l.end_pos
+          AND (l.start_pos, l.end_pos, l.entity_id) < (r.start_pos, r.end_pos, r.entity_id) GROUP BY ALL"""),
         "zone_overlaps": _w(GAPS + ", " + ZONES, """SELECT g.seqid, region_id, ordinal,
           greatest(z_start, start_pos) AS cut_start, least(z_end, end_pos) AS cut_end FROM gaps g
           JOIN zones z ON z.seqid = g.seqid AND z_start < end_pos AND z_end > start_pos"""),

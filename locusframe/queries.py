@@ -91,6 +91,11 @@ def overlap_pairs(spark, d):
     return IV.overlapping_entities(A.entities(spark, d), bits=6)
 
 
+@query
+def overlap_pair_counts(spark, d):
+    return IV.overlap_pair_counts(A.entities(spark, d))
+
+
 @query
 def zone_overlaps(spark, d):
     zones = A.zones(spark, d).select(
@@ -216,7 +221,8 @@ def normalized_entities(spark, d):
 
 @query
 def diagnostic_counts(spark, d):
-    return AN.diagnostic_counts(AN.normalize(_annotation(spark, d)).diagnostics)
+    features = cut_lineage(_annotation(spark, d))
+    return AN.diagnostic_totals(features, AN.normalize(features).entities)
 
 
 @query

@@ -105,6 +105,26 @@ def test_overlap_pairs_against_brute_force(spark):
                     "intersection_end") == sorted(want)
 
 
+@pytest.mark.parametrize("span, longest, digit_bits", [(40, 12, 3), (3000, 700, 2), (200000, 150000, 4)])
+def test_pair_counts_are_those_of_the_pairs(spark, span, longest, digit_bits):
+    rng = random.Random(span)
+    data = [("a" if rng.random() < 0.8 else "b", s, s + rng.choice([0, 1, rng.randint(0, longest)]), f"e{i % 110}")
+            for i, s in enumerate(rng.randrange(span) for _ in range(140))]
+    data += [("a", 7, 30, f"copy{i}") for i in range(9)] + [("a", 7, 7, "point"), ("a", 30, 30, "end"), ("b", None, 3, "none"), (None, 1, 2, "x")]
+    data += data[:3]
+    df = spark.createDataFrame(data, "seqid STRING, start_pos BIGINT, end_pos BIGINT, entity_id STRING")
+    want = IV.overlapping_entities(df).groupBy("seqid", "kind").count()
+    assert rows(IV.overlap_pair_counts(df, digit_bits=digit_bits), "seqid", "kind", "n") == rows(want, "seqid", "kind", "count")
+    assert IV.overlap_pair_counts(df.limit(0)).isEmpty()
+
+
+def test_many_copies_of_a_locus_make_no_pairs(spark):
+    copies = spark.range(100_000).selectExpr("'c' AS seqid", "5000 AS start_pos", "5100 AS end_pos", "concat('e', id) AS entity_id")
+    around = spark.range(1000).selectExpr("'c' AS seqid", "4000 + id AS start_pos", "6000L AS end_pos", "concat('w', id) AS entity_id")
+    found = rows(IV.overlap_pair_counts(copies.unionByName(around)), "kind", "n")
+    assert found == [("nested", 100_000 * 99_999 // 2 + 1000 * 100_000 + 1000 * 999 // 2)]
+
+
 def test_subtraction_against_brute_force(spark):
     rng = random.Random(3)
     spans = [("a", i * 120, i * 120 + rng.randint(1, 100)) for i in range(20)]
