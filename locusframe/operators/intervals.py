@@ -133,28 +133,51 @@ def gap_spans(entities: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
+#: What is known of the entities that end last: the largest end of those with a property.
+_ENDS = {
+    "end": None, "plus": ("strand", "+"), "minus": ("strand", "-"), "high": ("end_conf", "high"), "uncertain": ("end_conf", "uncertain"),
+}
+
+
 def gaps(entities: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Every gap between consecutive clusters, with the facts of both sides."""
+    """Every gap between consecutive clusters, with the facts of both sides.
+
+    One scan over the distinct starts carries everything the left side of a
+    gap needs: entities with a property share the left edge exactly if the
+    largest end of all those with it is the largest end of all.  The right
+    side is known where the starts collapse.  Only cluster openings are
+    written and numbered.
+    """
     keys = list(keys)
-    before = _edges(entities, keys, "end", "left").withColumnRenamed("end_pos", "start_pos")
-    after = _edges(entities, keys, "start", "right").withColumnRenamed("start_pos", "end_pos")
-    return (
-        gap_spans(entities, keys)
-        .join(before, [*keys, "start_pos"])
-        .join(after, [*keys, "end_pos"])
-        .select(
-            *keys,
-            "region_no",
-            region_id("intergenic").alias("region_id"),
-            "start_pos",
-            "end_pos",
-            (F.col("end_pos") - F.col("start_pos")).alias("length"),
-            "left_strand",
-            "right_strand",
-            orientation(F.col("left_strand"), F.col("right_strand")).alias("orientation"),
-            "left_confidence",
-            "right_confidence",
-        )
+    end = F.col("end_pos")
+    ends = [F.max(end if test is None else F.when(F.col(test[0]) == test[1], end)).alias(f"{name}_end") for name, test in _ENDS.items()]
+    ends.append(F.max(F.when(F.col("end_conf") != "high", end)).alias("lower_end"))
+    starts = entities.groupBy(*keys, "start_pos").agg(*ends, *_edge_facts("start_conf"))
+    seen = prefix_scan(starts, keys, "start_pos", {
+        f"{name}_before": ("max", f"{name}_end") for name in (*_ENDS, "lower")})
+    last = F.col("end_before")
+    on_edge = {name: F.coalesce(F.col(f"{name}_before") == last, F.lit(False)) for name in (*_ENDS, "lower")}
+    opened = cut_lineage(seen.where(last.isNull() | (F.col("start_pos") >= last)).select(
+        *keys, "start_pos", last.alias("prev_end"), F.lit(1).alias("opens"),
+        F.when(on_edge["plus"] & ~on_edge["minus"], "+").when(on_edge["minus"] & ~on_edge["plus"], "-").otherwise(".").alias("left_strand"),
+        F.when(on_edge["high"] & ~on_edge["lower"], "high").when(on_edge["uncertain"], "uncertain").otherwise("unknown").alias("left_confidence"),
+        _edge_strand().alias("right_strand"), _edge_confidence().alias("right_confidence")))
+    numbered = prefix_scan(opened, keys, "start_pos", {"region_no": ("sum", "opens")})
+    return numbered.where("prev_end < start_pos").select(
+        *keys, "region_no", F.col("prev_end").alias("start_pos"), F.col("start_pos").alias("end_pos"),
+        "left_strand", "right_strand", "left_confidence", "right_confidence",
+    ).select(
+        *keys,
+        "region_no",
+        region_id("intergenic").alias("region_id"),
+        "start_pos",
+        "end_pos",
+        (F.col("end_pos") - F.col("start_pos")).alias("length"),
+        "left_strand",
+        "right_strand",
+        orientation(F.col("left_strand"), F.col("right_strand")).alias("orientation"),
+        "left_confidence",
+        "right_confidence",
     )
 
 
