@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from locusframe.operators import intervals as IV, rules as RU, scans as SC, stats as ST
+from locusframe.operators import annotation as AN, intervals as IV, rules as RU, scans as SC, stats as ST
 
 REGION = ("seqid STRING, region_id STRING, start_pos BIGINT, end_pos BIGINT, length BIGINT, "
           "orientation STRING, left_confidence STRING, right_confidence STRING")
@@ -118,6 +118,20 @@ def test_pair_counts_are_those_of_the_pairs(spark, span, longest, digit_bits):
     assert IV.overlap_pair_counts(df.limit(0)).isEmpty()
 
 
+def test_long_chains_close_in_few_rounds(spark, monkeypatch):
+    writes = []
+    cut = AN.cut_lineage
+    monkeypatch.setattr(AN, "cut_lineage", lambda df: writes.append(1) or cut(df))
+    pairs = [(f"n{k}", f"n{k - 1}") for k in range(1, 201)]
+    pairs += [("n150", "n3"), ("x", "n149"), ("x", "lost"), ("loop1", "loop2"), ("loop2", "loop1"), ("under", "loop1"), ("n5", "n200"), ("n7", "n6")]
+    links = spark.createDataFrame([("a", *p) for p in pairs] + [("b", "n9", "n1"), ("b", "n1", "n0")], "run STRING, child_id STRING, parent_id STRING")
+    seeds = spark.createDataFrame([("a", "n0"), ("a", "n0"), ("b", "n1"), ("a", "alone")], "run STRING, id STRING")
+    steps = {("a", "n0"): 0, ("a", "alone"): 0, ("b", "n1"): 0, ("b", "n9"): 1}
+    steps |= {("a", f"n{k}"): k for k in range(1, 150)} | {("a", f"n{k}"): k - 146 for k in range(150, 201)} | {("a", "x"): 150}
+    assert {(r["run"], r["id"]): r["steps"] for r in AN.reachable_ids(links, seeds, ["run"]).collect()} == steps
+    assert len(writes) <= 2 * 10
+
+
 def test_many_copies_of_a_locus_make_no_pairs(spark):
     copies = spark.range(100_000).selectExpr("'c' AS seqid", "5000 AS start_pos", "5100 AS end_pos", "concat('e', id) AS entity_id")
     around = spark.range(1000).selectExpr("'c' AS seqid", "4000 + id AS start_pos", "6000L AS end_pos", "concat('w', id) AS entity_id")
