@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from locusframe.session import broadcast_if_small, shared_folder, ship
 
 __all__ = ["anti_join", "components", "cut_compressed", "cut_lineage", "join_counted", "number_rows", "scratch", "scratch_folder",
-           "semi_join", "ship", "table"]
+           "semi_join", "ship", "small_batches", "table"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -95,6 +95,21 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Jobs run inside hand ``rows`` rows at a time to Python workers; whole texts in batches of the default size need ten times the memory.
+
+    The session's setting is put back at the end.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def number_rows(df: DataFrame, key: str, order: Sequence[str], name: str, sizes: DataFrame,
                 per_block: int = 2_000) -> DataFrame:
     """Gapless numbers from 0 within each key, with about ``per_block`` rows to a task.

@@ -19,8 +19,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import cut_lineage, scratch, ship
+from locusframe.llm.common import cut_lineage, scratch, ship, small_batches
 from locusframe.llm.shingles import odd_numbers
+from locusframe.session import broadcast_if_small
 
 #: Hashed columns, longest n-gram, rows of the fitted sample (all languages together), passes.
 BITS, LONGEST, SAMPLE, PASSES = 16, 4, 3_000, 3
@@ -132,8 +133,13 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     The sample takes distinct texts, the same number per language or all that
     it has, by the smallest hashes: at most ``SAMPLE`` however often texts
     repeat (one per language if there are more languages than that).  Only
-    its columns and counts come to the driver.
+    its columns and counts, and a row per language, come to the driver.
     """
+    with small_batches(rows.sparkSession):
+        return _fit(rows, text_col, lang_col)
+
+
+def _fit(rows: DataFrame, text_col: str, lang_col: str) -> Model | None:
     spark = rows.sparkSession
     ship(spark)
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
@@ -147,16 +153,14 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
             return None
         most = max(1, SAMPLE // len(per))
         # Half more hashes than wanted and some come to the driver; they hold each language's ``most`` smallest.
-        share = F.lit(1.0)
-        for r in per:
-            share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, (1.5 * most + 50) / r["texts"]))).otherwise(share)
-        near = keys.where(F.col("pick") / float(1 << 64) + 0.5 <= share).select("lang", "pick").collect()
+        shares = spark.createDataFrame(
+            [(r["lang"], min(1.0, (1.5 * most + 50) / r["texts"])) for r in per], "lang string, share double")
+        near = (keys.join(F.broadcast(shares), "lang")  # one row per language
+                .where(F.col("pick") / float(1 << 64) + 0.5 <= F.col("share")).select("lang", "pick").collect())
     hashes = defaultdict(list)
     for r in near:
         hashes[r["lang"]].append(r["pick"])
-    last = F.lit(None).cast("long")
-    for lang, found in hashes.items():
-        last = F.when(F.col("lang") == lang, F.lit(sorted(found)[:most][-1])).otherwise(last)
+    last = spark.createDataFrame([(lang, sorted(found)[:most][-1]) for lang, found in hashes.items()], "lang string, last long")
     total = sum(r["n"] for r in per)
     languages = tuple(sorted(r["lang"] for r in per))
     idf = np.full(COLUMNS, math.log(1 + total))
@@ -177,7 +181,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
                  pa.array([n for _, n in made], pa.list_(pa.float32()))], names=["lang", "order", "columns", "counts"])
 
     # Each task hands on one copy of a text; the last copies go after one exchange.
-    sample = (rows.where(pick <= last).withColumn("order", F.xxhash64("text")).select("text", "lang", "order").mapInArrow(
+    sample = (rows.join(F.broadcast(last), "lang").where(pick <= F.col("last")).withColumn("order", F.xxhash64("text")).select("text", "lang", "order").mapInArrow(
         run, "lang string, order bigint, columns array<int>, counts array<float>")
         .dropDuplicates(["lang", "order"]).toArrow().combine_chunks())
     place = {name: i for i, name in enumerate(languages)}
@@ -235,28 +239,38 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
 
 def drop_unidentified(docs: DataFrame, model: Model | None, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text is ``und`` or scores below ``least``; all columns kept, nothing shuffled.
+    """``docs`` without the rows whose text is ``und`` or scores below ``least``; all columns kept.
 
-    Without a model only texts without a letter go.
+    Only texts go to Python; what comes back are 128-bit hashes of the texts
+    that go, and an anti-join removes their rows.  It is a broadcast join if a
+    count proves the hashes few.  Without a model only texts without a letter
+    go.
     """
-    ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index(text_col)
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(model)
+    hashes = {"__text_high": F.xxhash64(text_col), "__text_low": F.xxhash64(F.lit(1), F.col(text_col))}
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         tables = _tables(shared.value)
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            if shared.value is None:
-                keep = [text is not None and _has_letter(text) for text in texts]
-            else:
-                made = (_labelled(shared.value, tables, text) for text in texts)
-                keep = [name != UNKNOWN and x >= least for name, x in made]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            gone = []
+            for text in batch.column(0):
+                text = text.as_py()
+                if shared.value is None:
+                    gone.append(not _has_letter(text))
+                else:
+                    name, x = _labelled(shared.value, tables, text)
+                    gone.append(name == UNKNOWN or x < least)
+            yield batch.select([1, 2]).filter(pa.array(gone, pa.bool_()))
+
+    known = docs.where(F.col(text_col).isNotNull())
+    with small_batches(spark):
+        gone = cut_lineage(known.select(text_col, *[c.alias(name) for name, c in hashes.items()]).mapInArrow(
+            run, "__text_high bigint, __text_low bigint").distinct())
+    return known.withColumns(hashes).join(broadcast_if_small(gone), list(hashes), "left_anti").select(*docs.columns)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.llm.byte_bpe import blocks
-from locusframe.llm.common import cut_compressed, number_rows, ship
+from locusframe.llm.common import cut_compressed, number_rows, ship, small_batches
 from locusframe.llm.word_coder import WordCoder
 
 BLOCK_CHARS = 1_000_000
@@ -202,5 +202,6 @@ def pack_documents(docs: DataFrame, path: str, window: int = 2048, end: int = 1,
     A null or empty text has the end token only.  Repeated rows are packed
     each for itself; other columns are not read.
     """
-    pieces = cut_compressed(windows(docs, path, window, end, id_col, text_col))
+    with small_batches(docs.sparkSession):
+        pieces = cut_compressed(windows(docs, path, window, end, id_col, text_col))
     return pack(pieces, window).withColumnRenamed("doc", id_col)

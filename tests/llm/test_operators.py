@@ -319,6 +319,14 @@ def test_scores_are_those_of_the_model_word_by_word(docs, monkeypatch):
         assert r["score"] == pytest.approx(total, rel=1e-9) and r["base_score"] == pytest.approx(base, rel=1e-9)
 
 
+def test_many_languages_have_no_deep_plan(spark, monkeypatch):
+    learned = []
+    monkeypatch.setattr(language_id, "train", lambda rows, languages, idf: learned.append((len(rows), len(languages))))
+    docs = spark.createDataFrame([(k, f"wort{k % 1000} {chr(97 + k % 26)}", f"l{k % 1000}") for k in range(2000)], "doc_id long, text string, lang string")
+    language_id.fit(docs)
+    assert learned == [(2000, 1000)]
+
+
 @pytest.mark.parametrize("bound, hot", [(1000, 10), (3, 4), (0, 4)])
 def test_joins_with_counted_keys(spark, monkeypatch, bound, hot):
     from locusframe.llm import common
