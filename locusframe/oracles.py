@@ -632,17 +632,27 @@ def oracle_sql() -> dict[str, str]:
         "motif_counts": _w(BASES, """SELECT motif, motif IN ('GT-AG','GC-AG','AT-AC','CT-AC','CT-GC','GT-AT') AS canonical, count(*) AS n FROM (
           SELECT CASE WHEN length(bases) >= spot + 25 THEN substr(bases, spot + 1, 2) || '-' || substr(bases, spot + 24, 2) ELSE 'unavailable' END AS motif
           FROM (SELECT bases, unnest(range(5, greatest(length(bases), 6), 40)) AS spot FROM bases WHERE bases IS NOT NULL)) GROUP BY motif"""),
-        "reference_identity": _w(BASES, """, r AS (SELECT seqid, bases,
-            substr(bases, 11, 20) || substr(bases, 45, 30) || 'AAAAA' AS q1, length(bases) AS n, file,
-            CASE file WHEN 'a' THEN q1 ELSE repeat('A', length(q1)) END AS q FROM bases, (VALUES ('a'), ('b')) f(file)),
-          ok AS (SELECT *, n >= 30 AS one, n >= 70 AND length(q) >= 50 AS two FROM r),
-          cmp AS (SELECT seqid, file, sum(CAST(substr(q, i, 1) = substr(bases, CASE WHEN i <= 20 THEN i + 10 ELSE i + 20 END, 1) AS INT)) AS m
-            FROM ok, generate_series(1, 50) g(i) WHERE one AND (i <= 20 OR two) GROUP BY seqid, file)
-          SELECT ok.file, ok.seqid, CASE WHEN one AND two THEN 50 WHEN one THEN 20 ELSE 0 END AS aligned_bases,
-            CAST(coalesce(m, 0) AS BIGINT) AS matches, 0 AS splice_junctions,
-            CASE WHEN NOT one THEN 10 WHEN two THEN 70 ELSE 40 END AS target_end, one AND two AS coordinate_valid,
-            CASE WHEN one AND two THEN round(m / 50.0::DOUBLE, 6) END AS reference_identity
-          FROM ok LEFT JOIN cmp ON cmp.seqid = ok.seqid AND cmp.file = ok.file"""),
+        "reference_identity": _w(BASES, """, place AS (SELECT seqid, bases, length(bases) AS n, unnest(range(0, length(bases), 200)) AS spot
+            FROM bases WHERE bases <> ''),
+          r AS (SELECT *, seqid || ':' || spot AS line_number, (spot // 200) % 3 AS turn,
+            CASE (spot // 200) % 3 WHEN 0 THEN substr(bases, spot + 1, 20) || substr(bases, spot + 31, 30) || 'AAAAA'
+              WHEN 1 THEN substr(bases, spot + 1, 10) || 'TTTTT' || substr(bases, spot + 11, 20) || substr(bases, spot + 39, 15)
+              ELSE 'CCCC' || substr(bases, spot + 1, 12) || substr(bases, spot + 14, 18) END AS own FROM place),
+          q AS (SELECT r.*, file, CASE file WHEN 'a' THEN own ELSE repeat('A', length(own)) END AS q FROM r, (VALUES ('a'), ('b')) f(file)),
+          block(turn, k, t, s, size, gaps) AS (VALUES (0, 1, 0, 0, 20, 0), (0, 2, 30, 20, 30, 0), (1, 1, 0, 0, 10, 0), (1, 2, 10, 15, 20, 0),
+            (1, 3, 38, 35, 15, 1), (2, 1, 0, 4, 12, 0), (2, 2, 12, 16, 18, 0)),
+          whole(turn, span, junctions) AS (VALUES (0, 60, 0), (1, 53, 1), (2, 30, 0)),
+          x AS (SELECT q.*, k, t, s, size, gaps, spot + t + size > n OR s + size > length(q) AS over FROM q JOIN block USING (turn)),
+          stop AS (SELECT *, min(CASE WHEN over THEN k END) OVER (PARTITION BY file, line_number) AS stop FROM x),
+          cnt AS (SELECT file, line_number, turn, spot, stop, coalesce(sum(size) FILTER (WHERE stop IS NULL OR k < stop), 0) AS aligned,
+              max(CASE WHEN k = stop THEN spot + t END) AS reached,
+              CAST(coalesce(max(gaps) FILTER (WHERE stop IS NULL OR k <= stop), 0) AS INT) AS splice_junctions FROM stop GROUP BY ALL),
+          eq AS (SELECT file, line_number, sum(CAST(substr(q, s + i, 1) = substr(bases, spot + t + i, 1) AS INT)) AS m
+            FROM stop, generate_series(1, 30) g(i) WHERE i <= size AND (stop IS NULL OR k < stop) GROUP BY ALL)
+          SELECT file, line_number, CAST(aligned AS BIGINT) AS aligned_bases, CAST(coalesce(m, 0) AS BIGINT) AS matches, splice_junctions,
+            CAST(coalesce(reached, spot + span) AS BIGINT) AS target_end, stop IS NULL AS coordinate_valid,
+            CASE WHEN stop IS NULL THEN round(m / aligned::DOUBLE, 6) END AS reference_identity
+          FROM cnt JOIN whole USING (turn) LEFT JOIN eq USING (file, line_number)"""),
         "fasta_export": _w(BASES, """SELECT format('>{0} seqid={0} start=0 end={1} length={1}', seqid, length(bases)) || chr(10) ||
           array_to_string(list_transform(range((length(bases) + 69) // 70), lambda i: substr(bases, i*70 + 1, 70)), chr(10)) AS value
           FROM bases WHERE length(bases) > 0"""),

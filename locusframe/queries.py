@@ -384,17 +384,30 @@ def motif_counts(spark, d):
 @query
 def reference_identity(spark, d):
     pieces, lengths, chunks = A.document_store(spark, d)
-    reads = pieces.select(
-        F.col("seqid").alias("rname"), F.col("seqid").alias("line_number"),
-        F.lit(11).cast("bigint").alias("pos"), F.lit("20M10D30M5S").alias("cigar"),
-        F.concat(F.substring("bases", 11, 20), F.substring("bases", 45, 30), F.lit("AAAAA")).alias("seq"))
+    # A read at every 200 bases of every text; alignments follow three patterns in turn, the last may reach beyond the end.
+    at, bases = F.col("at"), F.col("bases")
+
+    def piece(first: int, size: int):
+        return F.substring(bases, at + first + 1, F.lit(size))
+
+    patterns = [
+        ("20M10D30M5S", F.concat(piece(0, 20), piece(30, 30), F.lit("AAAAA"))),
+        ("3H10M5I20M8N15M", F.concat(piece(0, 10), F.lit("TTTTT"), piece(10, 20), piece(38, 15))),
+        ("4S12M3P18M2H", F.concat(F.lit("CCCC"), piece(0, 12), piece(13, 18)))]
+    turn = F.col("at") / 200 % len(patterns)
+    reads = pieces.where("bases <> ''").withColumn("at", F.explode(F.sequence(
+        F.lit(0), F.length("bases") - 1, F.lit(200)))).select(
+        F.col("seqid").alias("rname"), "at", F.concat_ws(":", "seqid", "at").alias("line_number"),
+        (at + 1).cast("bigint").alias("pos"),
+        F.coalesce(*[F.when(turn == k, F.lit(cigar)) for k, (cigar, _) in enumerate(patterns)]).alias("cigar"),
+        F.coalesce(*[F.when(turn == k, seq) for k, (_, seq) in enumerate(patterns)]).alias("seq"))
     # Two files with equal line numbers; the reads of the second hold one base only.
     files = reads.withColumn("file", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumn(
         "seq", F.when(F.col("file") == "a", F.col("seq")).otherwise(F.repeat(F.lit("A"), F.length("seq"))))
     found = AL.reference_identity(files, chunks, lengths)
     return found.select(
         "file",
-        F.col("rname").alias("seqid"), "aligned_bases", "matches", "splice_junctions", "target_end",
+        "line_number", "aligned_bases", "matches", "splice_junctions", "target_end",
         "coordinate_valid", "reference_identity")
 
 
