@@ -11,6 +11,7 @@ from locusframe.functions import cigar as C
 from locusframe.functions.sequence import is_canonical, splice_motif
 from locusframe.operators.sequences import extract_sequence
 from locusframe.operators.stats import ALIGNMENT_CLASSES, counts_over_domain
+from locusframe.session import broadcast_if_small
 from locusframe.sources.fasta import CHUNK_BITS
 
 # Bits of the packed facts about one primary mate.
@@ -19,7 +20,7 @@ _UNMAPPED, _PROPER, _NH_ONE, _NH_MANY, _CLIP, _INDEL, _FOREIGN, _ALL = 1, 2, 4,
 
 # --- pairs -----------------------------------------------------------------
 
-def _mate_facts(nuclear: Sequence[str]) -> Column:
+def _mate_facts(nuclear: Column) -> Column:
     def bit(test: Column, value: int) -> Column:
         return F.when(test, value).otherwise(0)
 
@@ -31,7 +32,7 @@ def _mate_facts(nuclear: Sequence[str]) -> Column:
         + bit(F.col("nh") > 1, _NH_MANY)
         + bit(known & C.has_operation("cigar", ("S",), 20), _CLIP)
         + bit(known & C.has_operation("cigar", ("I", "D"), 20), _INDEL)
-        + bit((F.col("rname") != "*") & ~F.col("rname").isin(*nuclear), _FOREIGN)
+        + bit((F.col("rname") != "*") & ~nuclear, _FOREIGN)
     )
 
 
@@ -41,10 +42,12 @@ def _file_keys(alignments: DataFrame) -> list[str]:
 
 
 def pair_facts(
-    alignments: DataFrame, nuclear: Sequence[str], keys: Sequence[str] | None = None
+    alignments: DataFrame, nuclear: Sequence[str] | DataFrame, keys: Sequence[str] | None = None
 ) -> DataFrame:
     """One row per key and query name with the facts its classes depend on.
 
+    ``nuclear`` names the nuclear sequences: a few names, or a written table
+    with ``seqid`` of any size.
     Without ``keys`` the file is the key, if there is that column: runs that
     share query names stay apart.
     The first primary mate of each side is the one with the lowest line
@@ -53,7 +56,13 @@ def pair_facts(
     """
     primary = ~C.flag_set("flag", C.SECONDARY | C.SUPPLEMENTARY)
     keys = _file_keys(alignments) if keys is None else list(keys)
-    packed = F.col("line_number") * _ALL + _mate_facts(nuclear)
+    if isinstance(nuclear, DataFrame):
+        names = nuclear.select(F.col("seqid").alias("rname")).distinct().withColumn("__nuclear", F.lit(True))
+        alignments = alignments.join(broadcast_if_small(names), "rname", "left")
+        inside = F.coalesce("__nuclear", F.lit(False))
+    else:
+        inside = F.col("rname").isin(*nuclear)
+    packed = F.col("line_number") * _ALL + _mate_facts(inside)
     grouped = alignments.groupBy(*keys, "qname").agg(
         F.min(F.when(primary & C.flag_set("flag", C.FIRST), packed)).alias("m1"),
         F.min(F.when(primary & C.flag_set("flag", C.SECOND), packed)).alias("m2"),

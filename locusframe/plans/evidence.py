@@ -33,9 +33,8 @@ def summarise(
     ``runs`` is run-length depth, ``vector`` one row ``vector_pairs_all,
     vector_pairs_unmapped``; ``limits`` has ``all``, ``unmapped``, ``outlier``.
     """
-    nuclear = sequences.where(F.col("seq_class") == checks.NUCLEAR)
-    names = [r["seqid"] for r in nuclear.select("seqid").collect()]
-    pairs = cut_lineage(AL.pair_summary(AL.pair_facts(alignments, names)))
+    nuclear = cut_lineage(sequences.where(F.col("seq_class") == checks.NUCLEAR).select("seqid"))
+    pairs = cut_lineage(AL.pair_summary(AL.pair_facts(alignments, nuclear)))
     junctions = cut_lineage(AL.with_motifs(
         AL.junction_support(alignments), chunks, sequences, chunk_bits))
     profile = cut_lineage(CV.profile(runs, sequences))

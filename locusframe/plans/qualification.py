@@ -50,13 +50,8 @@ def qualify_sources(
             owner(gff.features, "annotation"), owner(gff.regions, "annotation"))
     lists = paths("metadata", "kegg_list")
     if lists:
-        genes = [
-            archive.read_gene_list(spark, path).withColumn("file", F.lit(path)) for path in lists]
-        table = genes[0]
-        for other in genes[1:]:
-            table = table.unionByName(other)
-        profiles = profiles.unionByName(
-            compare.gene_list_profile(owner(table, "metadata")), allowMissingColumns=True)
+        profiles = profiles.unionByName(compare.gene_list_profile(
+            owner(archive.read_gene_list(spark, lists), "metadata")), allowMissingColumns=True)
     summary = gates.source_summary(sources, profiles, identities, strain, coordinate_space)
     return Qualification(identities, summary)
 

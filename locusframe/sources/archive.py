@@ -104,8 +104,8 @@ def read_run_report(spark: SparkSession, path: str) -> DataFrame:
         "study_accession": "project"})
 
 
-def read_gene_list(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated gene list: ``line_number, id, kind, position, description``."""
+def read_gene_list(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Tab-separated gene lists in one scan: ``file, line_number, id, kind, position, description``."""
     from locusframe.sources.lines import numbered_lines
 
     lines = numbered_lines(spark, path).where(F.trim("value") != "")
@@ -113,7 +113,7 @@ def read_gene_list(spark: SparkSession, path: str) -> DataFrame:
     chromosome = F.replace(F.regexp_extract(F.get(c, F.lit(2)), "^([^:]+):", 1),
                            F.lit("complement("), F.lit(""))
     return lines.select(
-        "line_number", F.get(c, F.lit(0)).alias("id"), F.get(c, F.lit(1)).alias("kind"),
+        "file", "line_number", F.get(c, F.lit(0)).alias("id"), F.get(c, F.lit(1)).alias("kind"),
         F.get(c, F.lit(2)).alias("position"), F.get(c, F.lit(3)).alias("description"),
         F.when(chromosome != "", chromosome).alias("chromosome"))
 

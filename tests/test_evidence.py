@@ -66,6 +66,8 @@ def test_secondary_counts_as_multi_and_supplementary_is_dropped(spark, tmp_path)
     assert pair["pair_multi"] and pair["pair_with_supplementary"] and not pair["pair_unique"]
     # Records of one query need not be neighbours, and their order is kept by line.
     assert AL.pair_facts(found.orderBy(F.rand(3)), NUCLEAR).first() == pair
+    names = spark.createDataFrame([(n,) for n in [*NUCLEAR, NUCLEAR[0]]], "seqid STRING")
+    assert AL.pair_facts(found, names).first() == pair
 
 
 def test_header_lengths_are_taken_modulo_two_to_31(spark, tmp_path):
