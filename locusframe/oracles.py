@@ -271,6 +271,22 @@ BASES = f"""bases AS (
     regexp_replace(translate(text, '{LETTERS + LETTERS.lower()}', '{BASE_OF * 2}'), '[^ACGTN]', 'N', 'g') AS bases
   FROM documents)"""
 
+#: Customers as runs, and the catalogue over them.
+ENTRIES = """art AS (SELECT c_custkey AS k, i, n FROM customer, (VALUES (0,'baseline_report.md'),(1,'candidate_windows.json'),(2,'candidate_windows.tsv'),
+            (3,'candidate_windows_report.md'),(4,'diagnostics.json'),(5,'excluded_regions.json'),(6,'excluded_regions.tsv'),
+            (7,'functional_entities.json'),(8,'functional_entities.tsv'),(9,'intergenic_regions.json'),(10,'intergenic_regions.tsv'),
+            (11,'statistics.json'),(12,'terminal_regions.json'),(13,'terminal_regions.tsv')) a(i, n)),
+          t AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 1 THEN 'candidate_windows' WHEN c_custkey % 10 <> 9 THEN 'baseline' ELSE 'unsupported' END AS run_type,
+            CASE WHEN c_custkey % 8 = 0 THEN 'failed' ELSE 'complete' END AS ex, c_custkey % 5 = 3 AS lacks, c_custkey % 7 = 0 AS bad, c_acctbal FROM customer),
+          r AS (SELECT *, CASE WHEN run_type = 'unsupported' THEN 'unrecognized or unsupported run_manifest schema'
+            WHEN run_type = 'baseline' AND lacks THEN 'run_manifest is missing 1 required artifact entries'
+            WHEN ex <> 'complete' THEN 'execution_status=failed, not complete'
+            WHEN bad THEN 'one or more artifacts do not match the hashes recorded in run_manifest.json' ELSE 'ok' END AS reason FROM t),
+          entries AS (SELECT concat('r', k) AS run_id, run_type, CASE WHEN k % 3 = 1 THEN concat('r', k - 1) END AS parent_run_id, ex AS execution_status,
+            CASE WHEN k % 4 = 0 THEN 'passed' ELSE 'pending' END AS verification_status,
+            CASE WHEN k % 4 = 0 AND c_acctbal > 0 THEN 'accepted' ELSE 'blocked' END AS scientific_acceptance_status,
+            reason = 'ok' AS displayable, reason FROM r)"""
+
 DESCRIBE = """count(*) AS count, min(length) AS min,
   max(length) FILTER (WHERE i = round_even((n-1)*CAST(0.25 AS DOUBLE), 0)) AS p25,
   max(length) FILTER (WHERE i = round_even((n-1)*CAST(0.5 AS DOUBLE), 0)) AS median,
@@ -605,20 +621,18 @@ def oracle_sql() -> dict[str, str]:
           count(*) FILTER (WHERE event_type = 'error' AND event_id % 1000 < 100) + count(*) FILTER (WHERE done > nxt) = 0 AND count(*) = 100 AS valid
           FROM (SELECT *, event_id // 100 AS run_id, ts + to_seconds(CAST(trunc(value) AS INT)) AS done,
             lead(ts) OVER (PARTITION BY event_id // 100 ORDER BY event_id) AS nxt FROM events) GROUP BY run_id""",
-        "run_catalog": """WITH art AS (SELECT c_custkey AS k, i, n FROM customer, (VALUES (0,'baseline_report.md'),(1,'candidate_windows.json'),(2,'candidate_windows.tsv'),
-            (3,'candidate_windows_report.md'),(4,'diagnostics.json'),(5,'excluded_regions.json'),(6,'excluded_regions.tsv'),
-            (7,'functional_entities.json'),(8,'functional_entities.tsv'),(9,'intergenic_regions.json'),(10,'intergenic_regions.tsv'),
-            (11,'statistics.json'),(12,'terminal_regions.json'),(13,'terminal_regions.tsv')) a(i, n)),
-          t AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 1 THEN 'candidate_windows' WHEN c_custkey % 10 <> 9 THEN 'baseline' ELSE 'unsupported' END AS run_type,
-            CASE WHEN c_custkey % 8 = 0 THEN 'failed' ELSE 'complete' END AS ex, c_custkey % 5 = 3 AS lacks, c_custkey % 7 = 0 AS bad, c_acctbal FROM customer),
-          r AS (SELECT *, CASE WHEN run_type = 'unsupported' THEN 'unrecognized or unsupported run_manifest schema'
-            WHEN run_type = 'baseline' AND lacks THEN 'run_manifest is missing 1 required artifact entries'
-            WHEN ex <> 'complete' THEN 'execution_status=failed, not complete'
-            WHEN bad THEN 'one or more artifacts do not match the hashes recorded in run_manifest.json' ELSE 'ok' END AS reason FROM t)
-          SELECT concat('r', k) AS run_id, run_type, CASE WHEN k % 3 = 1 THEN concat('r', k - 1) END AS parent_run_id, ex AS execution_status,
-            CASE WHEN k % 4 = 0 THEN 'passed' ELSE 'pending' END AS verification_status,
-            CASE WHEN k % 4 = 0 AND c_acctbal > 0 THEN 'accepted' ELSE 'blocked' END AS scientific_acceptance_status,
-            reason = 'ok' AS displayable, reason FROM r""",
+        "run_catalog": _w(ENTRIES, "SELECT * FROM entries"),
+        "displayable_runs": _w(ENTRIES, "SELECT run_id, scientific_acceptance_status FROM entries WHERE displayable AND run_type = 'baseline'"),
+        "parent_status": _w(ENTRIES, """SELECT c.run_id, c.parent_run_id, c.displayable, p.execution_status AS parent_status,
+          p.displayable AS parent_displayable FROM entries c LEFT JOIN entries p ON p.run_id = c.parent_run_id AND p.run_type = 'baseline'
+          WHERE c.run_type = 'candidate_windows'"""),
+        "status_banner": _w(ENTRIES, """SELECT run_id, run_type, execution_status, verification_status, scientific_acceptance_status,
+          CASE WHEN c_custkey % 3 <> 1 THEN c_mktsegment END AS target_strain FROM entries JOIN customer ON run_id = concat('r', c_custkey)"""),
+        "missing_artifacts": _w(ENTRIES, """SELECT concat('r', k) AS run_id, 'diagnostics.json' AS name FROM t WHERE run_type = 'baseline' AND lacks"""),
+        "evidence_chain": _w(ENTRIES, """SELECT concat('label', c_custkey) AS label, CASE WHEN c_custkey % 6 <> 5 THEN concat('r', c_custkey) END AS run_id,
+          CASE WHEN c_custkey % 6 = 5 THEN 0 WHEN c_custkey % 5 = 3 THEN 13 ELSE 14 END AS artifacts,
+          CASE WHEN c_custkey % 6 = 5 THEN 0 ELSE CASE WHEN c_custkey % 5 = 3 THEN 13 ELSE 14 END - CAST(c_custkey % 7 = 0 AS INT) END AS verified,
+          c_custkey % 6 <> 5 AND c_custkey % 7 <> 0 AS intact FROM customer"""),
         "parent_inputs": """SELECT concat('r', c.c_custkey) AS run_id, concat('r', c.c_custkey - 1) AS parent_run_id,
           CASE WHEN p.c_custkey IS NULL THEN 'parent run is missing' WHEN p.c_custkey % 8 = 0 THEN 'parent run is not complete'
             WHEN c.c_nationkey // 5 <> p.c_nationkey // 5 THEN 'sequence file differs' END AS problem

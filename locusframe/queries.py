@@ -679,9 +679,43 @@ def declared_identity(spark, d):
 
 @query
 def run_catalog(spark, d):
+    return _entries(spark, d)
+
+
+def _entries(spark, d):
     return PR.catalog(
-        A.runs(spark, d), A.run_artifacts(spark, d), A.artifact_identities(spark, d),
-        A.acceptance(spark, d))
+        A.runs(spark, d), A.run_artifacts(spark, d), A.artifact_identities(spark, d), A.acceptance(spark, d))
+
+
+@query
+def displayable_runs(spark, d):
+    return PR.displayable(_entries(spark, d), PR.BASELINE).select("run_id", "scientific_acceptance_status")
+
+
+@query
+def parent_status(spark, d):
+    return PR.with_parent(cut_lineage(_entries(spark, d))).select(
+        "run_id", "parent_run_id", "displayable", "parent_status", "parent_displayable")
+
+
+@query
+def status_banner(spark, d):
+    return PR.status_banner(_entries(spark, d), A.runs(spark, d))
+
+
+@query
+def missing_artifacts(spark, d):
+    return PR.missing_artifacts(A.runs(spark, d), A.run_artifacts(spark, d))
+
+
+@query
+def evidence_chain(spark, d):
+    """Every customer vouches for a run by the digest of its manifest; a sixth of these manifests is unknown."""
+    runs = A.table(spark, d, "customer").select("c_custkey", F.sha2(F.col("c_custkey").cast("string"), 256).alias("manifest_sha256"))
+    claims = runs.select(F.concat(F.lit("label"), "c_custkey").alias("label"), "manifest_sha256")
+    manifests = runs.where("c_custkey % 6 <> 5").select(
+        F.col("manifest_sha256").alias("sha256"), F.concat(F.lit("r"), "c_custkey").alias("run_id"))
+    return PR.evidence_chain(claims, manifests, A.run_artifacts(spark, d), A.artifact_identities(spark, d))
 
 
 @query
