@@ -551,6 +551,10 @@ def oracle_sql() -> dict[str, str]:
         "reverse_complement_documents": _w(BASES, "SELECT seqid, reverse(translate(bases, 'ACGTN', 'TGCAN')) AS reversed FROM bases"),
         "sequence_chunks": _w(BASES, """SELECT seqid, CAST(i AS BIGINT) AS chunk_no, substr(bases, i*4096 + 1, 4096) AS bases FROM (
           SELECT seqid, bases, unnest(range((length(bases) + 4095) // 4096)) AS i FROM bases)"""),
+        "fasta_index": _w(BASES, """SELECT seqid, length(bases) AS length, seqid || ' document ' || length(bases) AS description
+          FROM bases WHERE bases IS NOT NULL"""),
+        "fasta_chunks": _w(BASES, """SELECT seqid, i AS chunk_no, substr(bases, i * 4096 + 1, 4096) AS bases FROM (
+          SELECT seqid, bases, unnest(range(0, (length(bases) + 4095) // 4096)) AS i FROM bases WHERE bases <> '')"""),
         "window_sequence": _w(BASES, """SELECT seqid, start_pos, end_pos, substr(bases, start_pos + 1, end_pos - start_pos) AS sequence FROM (
           SELECT seqid, bases, CAST(length(bases) // 4 AS BIGINT) AS start_pos, CAST(length(bases) // 2 AS BIGINT) AS end_pos FROM bases)
           WHERE end_pos > start_pos"""),

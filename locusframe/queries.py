@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from locusframe import adapters as A
 from locusframe.functions.sequence import reverse_complement
-from locusframe.functions.text import attribute_true, attribute_values
+from locusframe.functions.text import attribute_true, attribute_values, wrapped
 from locusframe.operators import (
     alignments as AL, annotation as AN, checks as CH, compare as CO, coverage as CV, gates as GA,
     intervals as IV, liftover as LO, provenance as PR, rules as RU, scans as SC, stats as ST,
@@ -20,7 +20,7 @@ from locusframe.session import apply_settings, cut_lineage, shared_folder
 from locusframe.plans import baseline as BL
 from locusframe.plans.candidates import run_candidates, with_sequence
 from locusframe.sources import gff3, published
-from locusframe.sources.fasta import chunked
+from locusframe.sources.fasta import chunked, read_fasta
 from locusframe.sources.files import verify_declared
 from locusframe.sources.reads import parse_sam
 from locusframe.sources.sinks import fasta_text
@@ -513,6 +513,26 @@ def sequence_chunks(spark, d):
     return chunked(A.documents_as_bases(spark, d), ["seqid"])
 
 
+def _fasta_files(spark, d):
+    """Documents as FASTA files: a header and lines of 70 bases, two texts of one name never in one file."""
+    path = f"{shared_folder(spark)}/fasta-{uuid.uuid4().hex}"
+    pieces = A.documents_as_bases(spark, d)
+    lines = F.concat(F.lit(">"), "seqid", F.lit(" document "), F.length("bases"), F.when(
+        F.col("bases") != "", F.concat(F.lit("\n"), F.lower(wrapped("bases")))).otherwise(""))
+    pieces.where("bases IS NOT NULL").select(lines.alias("value")).write.text(path)
+    return path
+
+
+@query
+def fasta_index(spark, d):
+    return read_fasta(spark, _fasta_files(spark, d)).sequences.select("seqid", "length", "description")
+
+
+@query
+def fasta_chunks(spark, d):
+    return read_fasta(spark, _fasta_files(spark, d)).chunks.select("seqid", "chunk_no", "bases")
+
+
 @query
 def window_sequence(spark, d):
     _, lengths, chunks = A.document_store(spark, d)

@@ -58,6 +58,16 @@ def test_bad_sequence_files(spark, tmp_path, text, problem):
         assert_empty(found)
 
 
+def test_empty_fasta_is_a_violation(spark, tmp_path):
+    texts = {"nothing": "", "blank": " \n\n", "good": ">a\nAC\n"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.fna").write_text(text)
+    found = {n: [r["problem"] for r in read_fasta(spark, str(tmp_path / f"{n}.fna")).violations.collect()] for n in texts}
+    assert found == {"nothing": ["no sequence"], "blank": ["no sequence"], "good": []}
+    both = read_fasta(spark, [str(tmp_path / "blank.fna"), str(tmp_path / "good.fna"), str(tmp_path / "nothing.fna")]).violations.collect()
+    assert [r["file"].rsplit("/", 1)[1] for r in both] == ["blank.fna"]
+
+
 def test_annotation_scan(genome):
     gff = genome["gff"]
     assert gff.features.count() == 17 and gff.violations.isEmpty()
