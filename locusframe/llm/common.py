@@ -33,15 +33,15 @@ def anti_join(df: DataFrame, written: DataFrame, on: str) -> DataFrame:
 HOT = 10_000
 
 
-def join_counted(df: DataFrame, counted: DataFrame, on: str | Sequence[str], count: str) -> DataFrame:
+def join_counted(df: DataFrame, counted: DataFrame, on: str | Sequence[str], count: str, spread: bool = False) -> DataFrame:
     """Inner join with a written table that has one row per key and how many rows of ``df`` it has.
 
-    A table that a count proves small is broadcast.  Of a larger one the hot
-    keys are, if they are few enough; the rows of all others are shuffled.
+    A table that a count proves small is broadcast, but not with ``spread``,
+    for tables that grow with the data.  Of others the hot keys are, if they
+    are few enough; the rows of all other keys are shuffled.
     """
     on = [on] if isinstance(on, str) else list(on)
-    small = broadcast_if_small(counted)
-    if small is not counted:
+    if not spread and (small := broadcast_if_small(counted)) is not counted:
         return df.join(small, on)
     hot = counted.where(F.col(count) >= HOT)
     few = broadcast_if_small(hot)

@@ -226,7 +226,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85,
-                    width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+                    width: int = 5, bands: int = BANDS, rows: int = ROWS, spread: bool = False) -> DataFrame:
     """One row per input row: ``id_col``, ``n_shingles``, ``component_id``, ``kept``.
 
     A link needs 100 * intersection >= percent * union of the shingle sets.
@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     without words, or null, has an empty set and is alone.  Rows that share an
     id are one document; a null id links with nothing, its component is null
     and it is not kept.  An empty table gives an empty result; other columns
-    are not read.
+    are not read.  ``spread`` shuffles band keys whatever their number.
     """
     made = cut_compressed(features(docs, id_col, text_col, bands, rows, width))
     alive = made.where("n > 0 and id is not null")
@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = reps.select("id", F.explode("keys").alias("key"))
     # Counts combine before they leave a task; only keys that are met twice have their rows moved.
     counts = cut_lineage(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
-    shared = cut_lineage(join_counted(keys, counts, "key", "size").distinct())
+    shared = cut_lineage(join_counted(keys, counts, "key", "size", spread).distinct())
     buckets = shared.join(reps.select("id", "n", "sketch", "keys"), "id")
     ids = cut_lineage(shared.select("id").distinct())
     sets = cut_lineage(shingle_sets(

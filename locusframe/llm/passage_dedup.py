@@ -104,16 +104,16 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Written table of documents that lose words: ``doc`` and ``spans`` of words (start, end, source: who keeps them)."""
     with scratch(docs.sparkSession) as keep:
         lines = cut_compressed(paragraphs(docs, id_col, text_col))
-        near = near_duplicates(lines, "id", "line", PERCENT, 5, BANDS, ROWS).select("id", "component_id")
+        near = near_duplicates(lines, "id", "line", PERCENT, 5, BANDS, ROWS, spread=True).select("id", "component_id")
         placed = cut_lineage(lines.select("id", "doc", "first", "words").join(near, "id"))
         groups = cut_lineage(placed.groupBy("component_id").agg(
             F.min("doc").alias("source"), F.max("doc").alias("other"), F.count("*").alias("rows")).where("source < other"))
-        alike = (join_counted(placed, groups, "component_id", "rows").where("doc <> source")
+        alike = (join_counted(placed, groups, "component_id", "rows", spread=True).where("doc <> source")
                  .select("doc", F.col("first").alias("start"), (F.col("first") + F.col("words")).alias("end"), "source"))
         found = cut_lineage(windows(docs, id_col, text_col))
         keys = cut_lineage(found.groupBy("high", "low").agg(
             F.min("doc").alias("source"), F.max("doc").alias("other"), F.count("*").alias("rows")).where("source < other"))
-        copied = (join_counted(found, keys, ["high", "low"], "rows").where("doc <> source")
+        copied = (join_counted(found, keys, ["high", "low"], "rows", spread=True).where("doc <> source")
                   .select("doc", F.col("first").alias("start"), (F.col("first") + WINDOW).alias("end"), "source"))
         return keep(alike.unionByName(copied).groupBy("doc").agg(
             F.array_sort(F.collect_set(F.struct("start", "end", "source"))).alias("spans")))
