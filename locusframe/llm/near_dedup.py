@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.llm import shingles
-from locusframe.llm.common import anti_join, components, cut_compressed, cut_lineage, join_counted, scratch, semi_join, ship
+from locusframe.llm.common import anti_join, components, cut_compressed, cut_lineage, join_counted, scratch, semi_join, ship, small_batches
 from locusframe.llm.shingles import band_keys, minhash, mix
 
 BANDS, ROWS = 32, 6
@@ -236,7 +236,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and it is not kept.  An empty table gives an empty result; other columns
     are not read.  ``spread`` shuffles band keys whatever their number.
     """
-    made = cut_compressed(features(docs, id_col, text_col, bands, rows, width))
+    with small_batches(docs.sparkSession):
+        made = cut_compressed(features(docs, id_col, text_col, bands, rows, width))
     alive = made.where("n > 0 and id is not null")
     classes = cut_lineage(alive.groupBy("high", "low").agg(F.min("id").alias("rep")))
     reps = semi_join(alive, classes.select(F.col("rep").alias("id")), "id")
@@ -246,8 +247,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = cut_lineage(join_counted(keys, counts, "key", "size", spread).distinct())
     buckets = shared.join(reps.select("id", "n", "sketch", "keys"), "id")
     ids = cut_lineage(shared.select("id").distinct())
-    sets = cut_lineage(shingle_sets(
-        semi_join(docs, ids.withColumnRenamed("id", id_col), id_col), id_col, text_col, width).dropDuplicates(["id"]))
+    with small_batches(docs.sparkSession):
+        sets = cut_lineage(shingle_sets(
+            semi_join(docs, ids.withColumnRenamed("id", id_col), id_col), id_col, text_col, width).dropDuplicates(["id"]))
     proposed = candidate_pairs(buckets.withColumn("label", F.col("id")), percent, all_pairs=False)
     links = cut_lineage(confirmed(proposed, sets, percent))
     found = cut_lineage(components(links))

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import cut_compressed, cut_lineage, join_counted, scratch, ship
+from locusframe.llm.common import cut_compressed, cut_lineage, join_counted, scratch, ship, small_batches
 from locusframe.llm.near_dedup import near_duplicates
 from locusframe.llm.shingles import mix, odd_numbers, shingles, word_hashes
 from locusframe.session import broadcast_if_small
@@ -103,14 +103,16 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Written table of documents that lose words: ``doc`` and ``spans`` of words (start, end, source: who keeps them)."""
     with scratch(docs.sparkSession) as keep:
-        lines = cut_compressed(paragraphs(docs, id_col, text_col))
+        with small_batches(docs.sparkSession):
+            lines = cut_compressed(paragraphs(docs, id_col, text_col))
         near = near_duplicates(lines, "id", "line", PERCENT, 5, BANDS, ROWS, spread=True).select("id", "component_id")
         placed = cut_lineage(lines.select("id", "doc", "first", "words").join(near, "id"))
         groups = cut_lineage(placed.groupBy("component_id").agg(
             F.min("doc").alias("source"), F.max("doc").alias("other"), F.count("*").alias("rows")).where("source < other"))
         alike = (join_counted(placed, groups, "component_id", "rows", spread=True).where("doc <> source")
                  .select("doc", F.col("first").alias("start"), (F.col("first") + F.col("words")).alias("end"), "source"))
-        found = cut_lineage(windows(docs, id_col, text_col))
+        with small_batches(docs.sparkSession):
+            found = cut_lineage(windows(docs, id_col, text_col))
         keys = cut_lineage(found.groupBy("high", "low").agg(
             F.min("doc").alias("source"), F.max("doc").alias("other"), F.count("*").alias("rows")).where("source < other"))
         copied = (join_counted(found, keys, ["high", "low"], "rows", spread=True).where("doc <> source")
