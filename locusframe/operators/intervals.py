@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.operators.scans import prefix_scan
+from locusframe.operators.scans import TILE_BITS, prefix_scan
 from locusframe.session import cut_lineage
 
 KEYS = ("seqid",)
@@ -424,6 +424,26 @@ def overlapping_entities(
     )
 
 
+def _nested(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``keys, start_pos, reach`` that hold, or lie in, a row of another start: ``outer`` and ``inner``.
+
+    The largest reach before and the smallest behind a start tell; both come
+    from the tiles before and behind, which combine map-side, and from inside a tile.
+    """
+    tile = [*keys, "__tile"]
+    tiled = spans.withColumn("__tile", F.shiftright(F.floor("start_pos"), TILE_BITS - 3))
+    before = Window.partitionBy(*keys).orderBy("__tile").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy(*keys).orderBy(F.desc("__tile")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = tiled.groupBy(*tile).agg(F.max("reach").alias("far"), F.min("reach").alias("near")).select(
+        *tile, F.max("far").over(before).alias("far_before"), F.min("near").over(behind).alias("near_behind"))
+    earlier = Window.partitionBy(*tile).orderBy("start_pos").rangeBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*tile).orderBy(F.desc("start_pos")).rangeBetween(Window.unboundedPreceding, -1)
+    return tiled.join(carried, tile).withColumns({
+        "inner": F.coalesce(F.greatest("far_before", F.max("reach").over(earlier)) >= F.col("reach"), F.lit(False)),
+        "outer": F.coalesce(F.least("near_behind", F.min("reach").over(later)) <= F.col("reach"), F.lit(False)),
+    }).where("inner OR outer").drop("far_before", "near_behind", "__tile")
+
+
 def overlap_pair_counts(
     entities: DataFrame, keys: Sequence[str] = KEYS, digit_bits: int = 3
 ) -> DataFrame:
@@ -435,6 +455,7 @@ def overlap_pair_counts(
     dominance count: two starts part at exactly one digit of their common
     length, so within the starts that agree above that digit, every later
     digit meets the ends of the earlier digits that reach at least as far.
+    Only rows that are in such a pair, and the digits where they can be, move.
     Work grows with the distinct intervals and the digits of an axis, not with
     the depth of overlap.
     """
@@ -451,26 +472,37 @@ def overlap_pair_counts(
         F.struct(F.col("end_pos").cast("bigint").alias("pos"), none.alias("begun"), none.alias("points"), weight.alias("ended")),
     )).alias("e")).select(*keys, "e.*").groupBy(*keys, "pos").agg(
         *[F.sum(c).alias(c) for c in ("begun", "points", "ended")])
-    scanned = prefix_scan(events, keys, "pos", {"begun_before": ("sum", "begun"), "ended_before": ("sum", "ended")})
+    # Both passes of the scan need all columns, so they share one exchange.
+    scanned = prefix_scan(events, keys, "pos", {
+        "ended_before": ("sum", "ended"), "points_before": ("sum", "points"), "members": ("total", "begun")})
 
     def big(column: Column) -> Column:
         return F.sum(column.cast("decimal(38,0)"))
 
     gone = F.col("ended_before") + F.col("ended")
     sums = scanned.groupBy(*keys).agg(
-        F.sum("begun").cast("decimal(19,0)").alias("members"),
+        F.max("members").cast("decimal(19,0)").alias("members"),
         big(F.col("begun") * gone).alias("apart"),
-        big(F.col("points") * (F.col("begun_before") - gone)).alias("inside"))
+        big(F.col("ended") * F.col("points_before") - F.col("begun") * (F.col("points_before") + F.col("points"))).alias("inside"))
     same = spans.groupBy(*keys).agg(
         big(F.when(wide, F.col("same")).otherwise(0)).alias("selves"),
         big(F.when(wide, (F.col("w") * F.col("w") - F.col("same")) / 2).otherwise(0)).alias("equal"))
 
     # An interval without length lies inside what ends behind it.
     reach = F.greatest(F.col("end_pos"), F.col("start_pos") + 1).cast("bigint")
-    longest = spans.agg(F.max("start_pos")).first()[0] or 0
-    digits, count = 1 << digit_bits, max(1, -(-int(longest).bit_length() // digit_bits))
-    placed = spans.select(*keys, reach.alias("reach"), "w", "start_pos", F.explode(
-        F.sequence(F.lit(0), F.lit(count - 1))).alias("level"))
+    last, widest = spans.agg(F.max("start_pos"), F.max(reach - F.col("start_pos"))).first()
+    digits, count = 1 << digit_bits, max(1, -(-int(last or 0).bit_length() // digit_bits))
+    # Few rows are in a nested pair at all, and these part at few digits: the outer one
+    # where it goes past its block of starts, the inner one near the start of its block.
+    level = F.sequence(F.lit(0), F.lit(count - 1))
+    placed = _nested(spans.select(*keys, reach.alias("reach"), "w", "start_pos"), keys).select(
+        *keys, "reach", "w", "start_pos", F.explode(F.filter(level, lambda at: (
+            F.col("outer") & (F.col("reach") > F.call_function("shiftleft", F.call_function(
+                "shiftright", F.col("start_pos").cast("bigint"), at * digit_bits) + 1, at * digit_bits))
+        ) | (
+            F.col("inner") & (F.col("reach") - int(widest or 0) < F.call_function("shiftleft", F.call_function(
+                "shiftright", F.col("start_pos").cast("bigint"), at * digit_bits), at * digit_bits))
+        ))).alias("level"))
     shift = F.col("level") * digit_bits
     at = F.call_function("shiftright", F.col("start_pos"), shift)
     dealt = placed.select(
@@ -487,8 +519,8 @@ def overlap_pair_counts(
         earlier = earlier + F.col(f"t{k - 1}") - F.col(f"p{k - 1}")
         met = met + F.col(f"d{k}") * earlier
     crossed = ranked.groupBy(*keys).agg(big(met).alias("crossed"))
-    counted = sums.join(same, keys).join(crossed, keys).select(
-        *keys, (F.col("equal") + F.col("crossed")).alias("nested"),
+    counted = sums.join(same, keys).join(crossed, keys, "left").select(
+        *keys, (F.col("equal") + F.coalesce("crossed", F.lit(0))).alias("nested"),
         ((F.col("members") * F.col("members") - F.col("selves")) / 2 - F.col("apart") + F.col("inside")).alias("pairs"))
     return counted.select(*keys, F.explode(F.array(
         F.struct(F.lit("nested").alias("kind"), F.col("nested").cast("bigint").alias("n")),
