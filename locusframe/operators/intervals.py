@@ -139,22 +139,34 @@ _ENDS = {
 }
 
 
+_FACTS = ("has_plus", "has_minus", "all_high", "any_uncertain")
+
+
 def gaps(entities: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Every gap between consecutive clusters, with the facts of both sides.
 
     One scan over the distinct starts carries everything the left side of a
     gap needs: entities with a property share the left edge exactly if the
     largest end of all those with it is the largest end of all.  The right
-    side is known where the starts collapse.  Only cluster openings are
-    written and numbered.
+    side is known where the starts collapse; its four facts ride in the low
+    bits of the largest end, so that both passes of the scan need the same
+    columns and share one exchange.  Only cluster openings are written and
+    numbered.
     """
     keys = list(keys)
     end = F.col("end_pos")
     ends = [F.max(end if test is None else F.when(F.col(test[0]) == test[1], end)).alias(f"{name}_end") for name, test in _ENDS.items()]
     ends.append(F.max(F.when(F.col("end_conf") != "high", end)).alias("lower_end"))
-    starts = entities.groupBy(*keys, "start_pos").agg(*ends, *_edge_facts("start_conf"))
+    packed = F.coalesce("end_end", F.lit(-1)).cast("bigint") * 16
+    for bit, fact in enumerate(_FACTS):
+        packed = packed + F.when(F.col(fact), 1 << bit).otherwise(0)
+    others = [f"{name}_end" for name in (*_ENDS, "lower") if name != "end"]
+    starts = entities.groupBy(*keys, "start_pos").agg(*ends, *_edge_facts("start_conf")).select(
+        *keys, "start_pos", packed.alias("end_end"), *others)
+    facts = {fact: F.col("end_end").bitwiseAND(F.lit(1 << bit)) != 0 for bit, fact in enumerate(_FACTS)}
     seen = prefix_scan(starts, keys, "start_pos", {
-        f"{name}_before": ("max", f"{name}_end") for name in (*_ENDS, "lower")})
+        f"{name}_before": ("max", f"{name}_end") for name in (*_ENDS, "lower")}).withColumns(
+        {"end_before": F.nullif(F.shiftright("end_before", 4), F.lit(-1).cast("bigint"))} | facts)
     last = F.col("end_before")
     on_edge = {name: F.coalesce(F.col(f"{name}_before") == last, F.lit(False)) for name in (*_ENDS, "lower")}
     opened = cut_lineage(seen.where(last.isNull() | (F.col("start_pos") >= last)).select(
