@@ -240,13 +240,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         made = cut_compressed(features(docs, id_col, text_col, bands, rows, width))
     alive = made.where("n > 0 and id is not null")
     classes = cut_lineage(alive.groupBy("high", "low").agg(F.min("id").alias("rep")))
-    reps = semi_join(alive, classes.select(F.col("rep").alias("id")), "id")
-    keys = reps.select("id", F.explode("keys").alias("key"))
+    reps = classes.select(F.col("rep").alias("id"))
+    keys = (alive.join(reps, "id", "left_semi") if spread else semi_join(alive, reps, "id")).select("id", F.explode("keys").alias("key"))
     # Counts combine before they leave a task; only keys that are met twice have their rows moved.
     counts = cut_lineage(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     shared = cut_lineage(join_counted(keys, counts, "key", "size", spread).distinct())
-    buckets = shared.join(reps.select("id", "n", "sketch", "keys"), "id")
     ids = cut_lineage(shared.select("id").distinct())
+    # Of the sketches only those of ids that meet another one are moved.
+    buckets = shared.join(semi_join(alive.select("id", "n", "sketch", "keys"), ids, "id"), "id")
     with small_batches(docs.sparkSession):
         sets = cut_lineage(shingle_sets(
             semi_join(docs, ids.withColumnRenamed("id", id_col), id_col), id_col, text_col, width).dropDuplicates(["id"]))

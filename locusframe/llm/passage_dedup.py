@@ -131,6 +131,39 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
+def _joined(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of many rows, in order of row and start, without those that touch one before: row, start and end."""
+    if not len(row):
+        return row, start.astype(np.int64), end.astype(np.int64)
+    room = row * (int(end.max()) + 1)  # rows lie behind each other, so that none touches the next
+    reach = np.maximum.accumulate(end + room)
+    opens = np.concatenate([[True], (start + room)[1:] > reach[:-1]])
+    last = np.append(np.flatnonzero(opens)[1:], len(row)) - 1
+    return row[opens], start[opens], reach[last] - room[last]
+
+
+def _distinct(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of each row, sorted and once each."""
+    order = np.lexsort((value, row))
+    row, value = row[order], value[order].astype(np.int64)
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+    return row[new], value[new]
+
+
+def word_totals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc`` and ``n_words`` of every row, a null text as empty."""
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            n = [len((text.as_py() or "").encode().split()) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc", "n_words"])
+
+    ship(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc bigint, n_words bigint")
+
+
 def without(text: str, spans: list[dict]) -> str:
     """The text without the words of the spans; the white space before what follows a span stays."""
     places = [m.span() for m in WORD.finditer(text)]
@@ -156,16 +189,23 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         import pyarrow as pa
 
         for batch in batches:
-            spans = [_merged(x) if x else [] for x in batch.column("spans").to_pylist()]
-            sources = [sorted({y["source"] for y in x}) if x else [] for x in batch.column("spans").to_pylist()]
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            n, lists = batch.num_rows, batch.column("spans")
+            size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            start, end, source = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+            row, first, last = _joined(np.repeat(np.arange(n), size), start, end)
+            whose, who = _distinct(np.repeat(np.arange(n), size), source)
+            removed = np.zeros(n, np.int64)
+            np.add.at(removed, row, last - first)
+            spans = pa.StructArray.from_arrays([pa.array(first), pa.array(last)], names=["start", "end"])
+            rows = np.arange(n + 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("n_words"), pa.array([sum(e - s for s, e in x) for x in spans], pa.int64()),
-                 pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], kind), pa.array(sources, pa.list_(pa.int64()))],
+                [batch.column("doc"), batch.column("n_words"), pa.array(removed),
+                 pa.ListArray.from_arrays(pa.array(np.searchsorted(row, rows).astype(np.int32)), spans),
+                 pa.ListArray.from_arrays(pa.array(np.searchsorted(whose, rows).astype(np.int32)), pa.array(who))],
                 names=[id_col, "n_words", "removed_words", "spans", "sources"])
 
-    words = F.size(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD.pattern), F.lit(0))).cast("long")
-    sized = docs.select(F.col(id_col).cast("long").alias("doc"), words.alias("n_words"))
+    with small_batches(docs.sparkSession):
+        sized = cut_lineage(word_totals(docs, id_col, text_col))
     return sized.join(found, "doc", "left").mapInArrow(
         run, f"`{id_col}` bigint, n_words bigint, removed_words bigint, "
              "spans array<struct<start: bigint, end: bigint>>, sources array<bigint>")

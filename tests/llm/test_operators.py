@@ -254,6 +254,30 @@ def test_passage_filter_rewrites_only_what_it_must(docs):
     assert passage_dedup.without("a b  c\nd e", [{"start": 1, "end": 3}]) == "a d e"
 
 
+def test_spans_of_many_rows_are_joined_at_once():
+    rows = [[(0, 32, 5), (3, 35, 5), (3, 35, 2), (36, 68, 9)], [], [(0, 40, 1), (2, 10, 7), (40, 50, 1)], [(0, 1, 3)]]
+    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    start, end, source = (np.array([x[k] for r in rows for x in r], np.int64) for k in range(3))
+    got = list(zip(*(x.tolist() for x in passage_dedup._joined(row, start, end))))
+    assert got == [(k, *s) for k, r in enumerate(rows) for s in passage_dedup._merged([{"start": a, "end": b} for a, b, _ in r])]
+    whose, who = passage_dedup._distinct(row, source)
+    assert list(zip(whose.tolist(), who.tolist())) == [(k, x) for k, r in enumerate(rows) for x in sorted({y[2] for y in r})]
+    none = np.zeros(0, np.int64)
+    assert [len(x) for x in passage_dedup._joined(none, none, none)] == [0, 0, 0]
+
+
+def test_sketches_that_meet_no_other_stay_where_they_are(spark, monkeypatch):
+    """Of the written features, only ids that share a band have their sketches joined, with ``spread`` too."""
+    seen = []
+    plain = near_dedup.semi_join
+    monkeypatch.setattr(near_dedup, "semi_join", lambda df, ids, on: seen.append((df.columns, ids.count())) or plain(df, ids, on))
+    texts = [(k, prose(40, 500 + k)) for k in range(12)] + [(20, prose(40, 500) + " tail")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, spread=True).collect()}
+    assert got == {k: 0 if k == 20 else k for k, _ in texts}
+    assert [n for columns, n in seen if "sketch" in columns] == [2]
+
+
 def test_preferences_share_their_prompt_once(spark):
     rows = [(1, 0, "user", "hi", 0), (1, 1, "assistant", "x", 0), (1, 2, "user", "more", 0), (1, 3, "assistant", "p", 0),
             (2, 0, "user", "hi", 0), (2, 1, "assistant", "x", 0), (2, 2, "user", "more", 0), (2, 3, "assistant", "q", 0),
