@@ -11,7 +11,7 @@ from locusframe.functions import cigar as C
 from locusframe.functions.sequence import is_canonical, splice_motif
 from locusframe.operators.sequences import extract_sequence
 from locusframe.operators.stats import ALIGNMENT_CLASSES, counts_over_domain
-from locusframe.session import broadcast_if_small
+from locusframe.session import broadcast_if_small, cut_lineage
 from locusframe.sources.fasta import CHUNK_BITS
 
 # Bits of the packed facts about one primary mate.
@@ -166,30 +166,46 @@ def junction_summary(support: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def with_motifs(
     support: DataFrame, chunks: DataFrame, sequences: DataFrame, chunk_bits: int = CHUNK_BITS
 ) -> DataFrame:
-    """Add the intron motif; ``unavailable`` outside the known sequence."""
+    """Add the intron motif; ``unavailable`` outside the known sequence.
+
+    An intron with both its ends in one chunk reads them where it meets that
+    chunk; only ends in different chunks are extracted and joined back.
+    """
     named = support.withColumn("seqid", F.col("rname")).join(
         sequences.select("seqid", "length"), "seqid", "left")
     start, end = F.col("intron_start"), F.col("intron_end")
     inside = (start >= 0) & (start < end) & (end <= F.col("length"))
-    known = named.withColumn("inside", F.coalesce(inside, F.lit(False)))
-    ends = known.where("inside").select("seqid", F.explode(F.array(
-        F.struct(start.alias("s"), F.least(start + 2, F.col("length")).alias("e")),
-        F.struct(F.greatest(end - 2, F.lit(0)).alias("s"), end.alias("e")),
+    known = named.withColumns({
+        "inside": F.coalesce(inside, F.lit(False)),
+        "donor_end": F.least(start + 2, F.col("length")),
+        "acceptor_start": F.greatest(end - 2, F.lit(0)),
+    })
+    first = F.shiftright(F.least(start, F.col("acceptor_start")), chunk_bits)
+    last = F.shiftright(F.greatest(F.col("donor_end"), end) - 1, chunk_bits)
+    at_once = F.col("inside") & (first == last)
+    base = first * (1 << chunk_bits)
+
+    def piece(low: Column, high: Column) -> Column:
+        return F.substring("bases", (low - base + 1).cast("int"), (high - low).cast("int"))
+
+    near = known.where(at_once).withColumn("chunk_no", first).join(
+        chunks.select("seqid", "chunk_no", "bases"), ["seqid", "chunk_no"], "left").withColumns({
+            "donor": piece(start, F.col("donor_end")), "acceptor": piece(F.col("acceptor_start"), end)})
+    rest = known.where(~at_once)
+    ends = rest.where("inside").select("seqid", F.explode(F.array(
+        F.struct(start.alias("s"), F.col("donor_end").alias("e")),
+        F.struct(F.col("acceptor_start").alias("s"), end.alias("e")),
     )).alias("x")).select("seqid", F.col("x.s").alias("start_pos"), F.col("x.e").alias("end_pos"))
     bases = extract_sequence(ends, chunks, chunk_bits=chunk_bits)
     donor = bases.select("seqid", F.col("start_pos").alias("intron_start"),
                          F.col("end_pos").alias("donor_end"), F.col("sequence").alias("donor"))
     acceptor = bases.select("seqid", F.col("start_pos").alias("acceptor_start"),
                             F.col("end_pos").alias("intron_end"), F.col("sequence").alias("acceptor"))
-    looked_up = (
-        known.withColumns({
-            "donor_end": F.least(start + 2, F.col("length")),
-            "acceptor_start": F.greatest(end - 2, F.lit(0))})
-        .join(donor, ["seqid", "intron_start", "donor_end"], "left")
-        .join(acceptor, ["seqid", "intron_end", "acceptor_start"], "left")
-    )
+    looked_up = rest.join(donor, ["seqid", "intron_start", "donor_end"], "left").join(
+        acceptor, ["seqid", "intron_end", "acceptor_start"], "left")
+    both = [*support.columns, "inside", "donor", "acceptor"]
     motif = F.when(F.col("inside"), splice_motif(F.col("donor"), F.col("acceptor"))).otherwise("unavailable")
-    return looked_up.withColumn("motif", motif).select(
+    return near.select(*both).unionByName(looked_up.select(*both)).withColumn("motif", motif).select(
         *support.columns, "motif", is_canonical(motif).alias("canonical"))
 
 
@@ -203,8 +219,9 @@ def reference_identity(
 
     ``row_key`` tells records apart: by default file, if there is that
     column, and line number.
-    Each aligned block is cut at chunk borders and carries only its own bases,
-    so introns of any length need no wide overlap.  A block that runs past
+    A record inside one chunk is counted there.  Of others each aligned block is
+    cut at chunk borders and carries only its own bases, so introns of any
+    length need no wide overlap.  A block that runs past
     the read or the sequence makes the record invalid; counts of the blocks
     before it are kept.
     """
@@ -243,9 +260,30 @@ def reference_identity(
             F.col("pos") - 1),
     })
     size = 1 << chunk_bits
-    placed = described.select(
-        *row_key, "rname", "seq", F.explode(aligned_blocks).alias("b")
-    ).where(F.col("b.ref_end") > F.col("b.ref_start")).withColumn(
+
+    def alike(query: Column, target: Column) -> Column:
+        same = F.zip_with(F.split(query, ""), F.split(target, ""), lambda q, r: (q == r).cast("int"))
+        return F.aggregate(same, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
+
+    described = cut_lineage(described.withColumn("aligned", F.filter(aligned_blocks, lambda b: b["ref_end"] > b["ref_start"])).drop(
+        "walk", "kept")).withColumns({
+            "first_chunk": F.shiftright(F.array_min(F.col("aligned")["ref_start"]), chunk_bits),
+            "last_chunk": F.shiftright(F.array_max(F.col("aligned")["ref_end"]) - 1, chunk_bits)})
+    # A record whose blocks lie in one chunk is counted where it meets that chunk.
+    at_once = F.coalesce(F.col("first_chunk") == F.col("last_chunk"), F.lit(False))
+
+    def block_matches(b: Column) -> Column:
+        n = (b["ref_end"] - b["ref_start"]).cast("int")
+        return alike(F.substring("seq", (b["read_start"] + 1).cast("int"), n), F.substring(
+            "bases", (b["ref_start"] - F.col("first_chunk") * size + 1).cast("int"), n))
+
+    near = described.where(at_once).join(chunks.select(
+        F.col("seqid").alias("rname"), F.col("chunk_no").alias("first_chunk"), "bases"), ["rname", "first_chunk"], "left").withColumn(
+        "matches", F.when(F.col("bases").isNotNull(), F.aggregate("aligned", zero, lambda a, b: a + block_matches(b)))).drop("bases")
+    rest = described.where(~at_once)
+    placed = rest.select(
+        *row_key, "rname", "seq", F.explode("aligned").alias("b")
+    ).withColumn(
         "chunk_no", F.explode(F.sequence(
             F.shiftright("b.ref_start", chunk_bits),
             F.shiftright(F.col("b.ref_end") - 1, chunk_bits))))
@@ -256,17 +294,14 @@ def reference_identity(
         *row_key, F.col("rname").alias("seqid"), "chunk_no", (low - base).cast("int").alias("at"),
         F.substring("seq", (F.col("b.read_start") + low - F.col("b.ref_start") + 1).cast("int"),
                     (high - low).cast("int")).alias("query"))
-    target = F.substring("bases", F.col("at") + 1, F.length("query"))
-    same = F.zip_with(F.split("query", ""), F.split(target, ""),
-                      lambda q, r: (q == r).cast("int"))
     matched = (
         queries.join(chunks, ["seqid", "chunk_no"])
-        .select(*row_key, F.aggregate(same, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))).alias("m"))
+        .select(*row_key, alike(F.col("query"), F.substring("bases", F.col("at") + 1, F.length("query"))).alias("m"))
         .groupBy(*row_key).agg(F.sum("m").alias("matches"))
     )
     valid = F.col("stop").isNull() & (F.col("aligned_bases") > 0)
-    return described.join(matched, row_key, "left").withColumn(
-        "matches", F.coalesce("matches", F.lit(0))
+    return near.unionByName(rest.join(matched, row_key, "left")).withColumn(
+        "matches", F.coalesce("matches", zero)
     ).withColumns({
         "coordinate_valid": valid,
         "reference_identity": F.when(
