@@ -100,8 +100,8 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Written table of documents that lose words: ``doc`` and ``spans`` of words (start, end, source: who keeps them)."""
+def _alike(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Written spans (doc, start, end, source) of lines like one of an earlier document; lines and sketches are deleted before windows are made."""
     with scratch(docs.sparkSession) as keep:
         with small_batches(docs.sparkSession):
             lines = cut_compressed(paragraphs(docs, id_col, text_col))
@@ -109,8 +109,14 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         placed = cut_lineage(lines.select("id", "doc", "first", "words").join(near, "id"))
         groups = cut_lineage(placed.groupBy("component_id").agg(
             F.min("doc").alias("source"), F.max("doc").alias("other"), F.count("*").alias("rows")).where("source < other"))
-        alike = (join_counted(placed, groups, "component_id", "rows", spread=True).where("doc <> source")
-                 .select("doc", F.col("first").alias("start"), (F.col("first") + F.col("words")).alias("end"), "source"))
+        return keep(join_counted(placed, groups, "component_id", "rows", spread=True).where("doc <> source")
+                    .select("doc", F.col("first").alias("start"), (F.col("first") + F.col("words")).alias("end"), "source"))
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Written table of documents that lose words: ``doc`` and ``spans`` of words (start, end, source: who keeps them)."""
+    with scratch(docs.sparkSession) as keep:
+        alike = _alike(docs, id_col, text_col)
         with small_batches(docs.sparkSession):
             found = cut_lineage(windows(docs, id_col, text_col))
         keys = cut_lineage(found.groupBy("high", "low").agg(

@@ -254,6 +254,20 @@ def test_passage_filter_rewrites_only_what_it_must(docs):
     assert passage_dedup.without("a b  c\nd e", [{"start": 1, "end": 3}]) == "a d e"
 
 
+def test_tables_of_lines_are_gone_before_windows_are_made(docs, monkeypatch):
+    """Lines, sketches and sets of the paragraph step don't lie on disk beside the windows; the spans of lines do."""
+    from pathlib import Path
+
+    from locusframe.session import shared_folder
+
+    folder, seen = Path(shared_folder(docs.sparkSession)), []
+    before = {p.name for p in folder.glob("cut-*")}
+    plain = passage_dedup.windows
+    monkeypatch.setattr(passage_dedup, "windows", lambda *a: seen.append({p.name for p in folder.glob("cut-*")} - before) or plain(*a))
+    assert any(r["spans"] for r in passage_dedup.removals(docs).collect())
+    assert [len(x) for x in seen] == [1]
+
+
 def test_spans_of_many_rows_are_joined_at_once():
     rows = [[(0, 32, 5), (3, 35, 5), (3, 35, 2), (36, 68, 9)], [], [(0, 40, 1), (2, 10, 7), (40, 50, 1)], [(0, 1, 3)]]
     row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
