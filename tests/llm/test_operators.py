@@ -396,6 +396,73 @@ def test_unseen_open_class_is_not_certain(spark):
     assert score < 2 * model.base(0) / 3
 
 
+def test_every_word_seen_twice_is_exchanged(spark, monkeypatch):
+    """Words of one class follow words of the other; few are held by the workers, the classes of all others are joined."""
+    monkeypatch.setattr(class_lm, "HEAD", 1100)
+    monkeypatch.setattr(class_lm, "HELD", 1100)
+    monkeypatch.setattr(class_lm, "PAIR_BLOCK", 5000)
+    rng = random.Random(8)
+    sides = [[f"{x}{k:04d}a" for k in range(1500)] for x in "xy"]
+    texts = [" ".join(sides[k % 2][min(int(rng.expovariate(1 / 400)), 1499)] for k in range(200)) + f" once{i}a" for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    model, counts = class_lm.fit(docs)
+    rows = counts.collect()
+    assert len(model.units) == 1100 < sum(r["n"] > 1 for r in rows) and all(r["cls"] < class_lm.CLASSES for r in rows if r["n"] > 1 and r["word"])
+    assert all(r["cls"] == class_lm.CLASSES + r["open"] for r in rows if r["n"] == 1 and r["word"].encode() not in model.units)
+    cls = {r["word"]: r["cls"] for r in rows}
+    votes = defaultdict(Counter)
+    for r in rows:
+        if r["n"] > 1 and r["word"]:
+            votes[r["cls"]][r["word"][0]] += r["n"]
+    assert sum(max(v.values()) for v in votes.values()) > 0.95 * sum(sum(v.values()) for v in votes.values())
+    pairs, size = Counter(), Counter()
+    for text in texts:
+        line = [class_lm.KINDS - 1, *(cls[w] for w in text.split()), class_lm.KINDS - 1]
+        pairs.update(zip(line, line[1:]))
+        size.update(line[1:])
+    k = class_lm.KINDS
+    assert model.size.tolist() == [size[c] for c in range(k)]
+    m = np.array([[pairs[a, b] for b in range(k)] for a in range(k)], float)
+    prior = (model.size + 1) / (model.size.sum() + k)
+    assert model.transition == pytest.approx(np.log10((m + k * prior) / (m.sum(axis=1, keepdims=True) + k)))
+    n_of = {r["word"]: r["n"] for r in rows}
+    for r in class_lm.score(docs, model, counts).collect():
+        line = [*texts[r["doc_id"]].split(), ""]
+        steps = zip([class_lm.KINDS - 1, *(cls[w] for w in line)], line)
+        units = [(c, w, class_lm.UNITS + cls[w] if cls[w] < class_lm.CLASSES else class_lm.CLUSTERED + cls[w] - class_lm.CLASSES) for c, w in steps]
+        assert r["score"] == pytest.approx(sum(model.transition[c, cls[w]] + model.emission(n_of[w], u) for c, w, u in units))
+
+
+def test_moves_of_many_words_are_those_of_the_exchange():
+    rng, k = np.random.default_rng(3), class_lm.KINDS
+    words = 150
+    b = rng.poisson(0.8, (words + class_lm.OPEN + 1,) * 2).astype(float)
+    own = np.concatenate([rng.integers(0, class_lm.KINDS - 1, words), class_lm.CLASSES + np.arange(class_lm.OPEN + 1)])
+    one = np.eye(k)[own]
+    m = one.T @ b @ one
+    profile = np.zeros((words, 2 * k + 1))
+    for w in range(words):
+        row, column = b[w].copy(), b[:, w].copy()
+        row[w] = column[w] = 0
+        profile[w] = [*(row @ one), *(column @ one), b[w, w]]
+
+    def likelihood(own):
+        one = np.eye(k)[own]
+        m = one.T @ b @ one
+        size = b.sum(axis=1) @ one
+        return sum((x * np.log(np.maximum(x, 1e-300))).sum() * f for x, f in ((m, 1), (size, -2)))
+
+    # Row sums stand for the sizes, as in a corpus, where they equal the column sums.
+    got = class_lm.best_classes(m, profile, own[:words])
+    for w in range(0, words, 7):
+        gains = []
+        for c in range(class_lm.CLASSES):
+            other = own.copy()
+            other[w] = c
+            gains.append(likelihood(other))
+        assert gains[got[w]] == pytest.approx(max(gains), abs=1e-6)
+
+
 def test_exchange_finds_planted_classes():
     rng = np.random.default_rng(1)
     truth, line = np.arange(12) % 2, [0]
