@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from locusframe.session import broadcast_if_small, shared_folder, ship
 
-__all__ = ["anti_join", "components", "cut_compressed", "cut_lineage", "join_counted", "number_rows", "scratch", "scratch_folder",
+__all__ = ["anti_join", "components", "cut_compressed", "cut_lineage", "join_counted", "number_rows", "release", "scratch", "scratch_folder",
            "semi_join", "ship", "small_batches", "table"]
 
 
@@ -110,6 +110,11 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def release(pa) -> None:
+    """Give back what Arrow's pool keeps of freed batches: workers live on between tasks, beside their executor."""
+    pa.default_memory_pool().release_unused()
+
+
 def number_rows(df: DataFrame, key: str, order: Sequence[str], name: str, sizes: DataFrame,
                 per_block: int = 2_000) -> DataFrame:
     """Gapless numbers from 0 within each key, with about ``per_block`` rows to a task.

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import cut_lineage, scratch, ship, small_batches
+from locusframe.llm.common import cut_lineage, release, scratch, ship, small_batches
 from locusframe.llm.shingles import odd_numbers
 from locusframe.session import broadcast_if_small
 
@@ -84,6 +84,7 @@ def frequencies(rows: DataFrame, text_col: str) -> DataFrame:
                 for columns in grams(text):
                     seen[columns] = True
                 held += seen
+            release(pa)
         some = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], names=["column", "n"])
 
@@ -265,6 +266,7 @@ def drop_unidentified(docs: DataFrame, model: Model | None, least: float = 0.3,
                     name, x = _labelled(shared.value, tables, text)
                     gone.append(name == UNKNOWN or x < least)
             yield batch.select([1, 2]).filter(pa.array(gone, pa.bool_()))
+            release(pa)
 
     known = docs.where(F.col(text_col).isNotNull())
     with small_batches(spark):

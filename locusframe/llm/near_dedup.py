@@ -21,14 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.llm import shingles
-from locusframe.llm.common import anti_join, components, cut_compressed, cut_lineage, join_counted, scratch, semi_join, ship, small_batches
-from locusframe.llm.shingles import band_keys, minhash, mix
+from locusframe.llm.common import anti_join, components, cut_compressed, cut_lineage, join_counted, release, scratch, semi_join, ship, small_batches
+from locusframe.llm.shingles import band_keys, mix
 
 BANDS, ROWS = 32, 6
 #: Bits of the parity bitmap, and hash ranges that give a sample each.
 PARITY_BITS, RANGES = 2048, 512
 #: Rows of a block: larger buckets are compared block by block, each pair of blocks in a task of its own.
 BLOCK = 2000
+#: Pairs that are judged at once: their sketches and keys are copied, half a kilobyte a row.
+PAIRS = 10_000
 #: Buckets up to this size propose all their pairs at once.
 SMALL = 8
 #: Standard deviations of the sampling error that a pair may lie below the threshold before it is dropped.
@@ -36,13 +38,30 @@ MARGIN = 5.0
 
 
 def odd_sketch(values: np.ndarray) -> bytes:
-    """Parity bitmap of the samples, then the bitmap of the hash ranges that hold one; ``values`` is sorted."""
+    """``odd_sketches`` of one set."""
+    return odd_sketches(values, np.array([len(values)])).tobytes()
+
+
+def odd_sketches(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each set the parity bitmap of its samples, then the bitmap of the hash ranges that hold one, as a row of bytes.
+
+    The sets lie behind each other in ``values``, each sorted.
+    """
+    row = np.repeat(np.arange(len(sizes)), sizes)
     ranges = (values >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64)
-    first = np.concatenate([[True], ranges[1:] != ranges[:-1]])
-    parity = np.bincount((mix(values[first]) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
-    held = np.zeros(RANGES, bool)
-    held[ranges[first]] = True
-    return np.packbits(parity.astype(bool)).tobytes() + np.packbits(held).tobytes()
+    first = np.ones(len(row), bool)
+    first[1:] = (row[1:] != row[:-1]) | (ranges[1:] != ranges[:-1])
+    row, ranges, bit = row[first], ranges[first], (mix(values[first]) % np.uint64(PARITY_BITS)).astype(np.int64)
+    out = np.empty((len(sizes), (PARITY_BITS + RANGES) // 8), np.uint8)
+    for at in range(0, len(sizes), 256):
+        a, b = np.searchsorted(row, [at, at + 256])
+        n = min(256, len(sizes) - at)
+        parity = np.bincount((row[a:b] - at) * PARITY_BITS + bit[a:b], minlength=n * PARITY_BITS) & 1
+        held = np.zeros((n, RANGES), bool)
+        held[row[a:b] - at, ranges[a:b]] = True
+        out[at:at + n, :PARITY_BITS // 8] = np.packbits(parity.astype(bool).reshape(n, -1), axis=1)
+        out[at:at + n, PARITY_BITS // 8:] = np.packbits(held, axis=1)
+    return out
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, width: int) -> DataFrame:
@@ -52,22 +71,24 @@ def features(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int,
         import xxhash
 
         for batch in batches:
-            n, high, low, signatures, sketch = [], [], [], [], []
-            for values in shingles.shingle_sets(batch.column(1).to_pylist(), width):
-                digest = xxhash.xxh3_128_intdigest(values.tobytes())
-                n.append(len(values))
-                high.append((digest >> 64) - 2**63)
-                low.append((digest & (2**64 - 1)) - 2**63)
-                signatures.append(minhash(values, bands * rows))
-                sketch.append(odd_sketch(values) if len(values) else None)
-            banded = band_keys(np.array(signatures, np.uint32).reshape(-1, bands * rows), bands, rows)
-            keys = pa.array(banded.ravel()), pa.array(np.arange(len(n) + 1) * bands, pa.int32())
-            # An empty set has no bands.
-            keys = pa.ListArray.from_arrays(keys[1], keys[0], mask=pa.array([not x for x in n], pa.bool_()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()),
-                 keys, pa.array(sketch, pa.binary())],
-                names=["id", "n", "high", "low", "keys", "sketch"])
+            at = 0
+            for values, sizes in shingles.shingle_blocks(batch.column(1).to_pylist(), width):
+                ends, some = np.cumsum(sizes), np.flatnonzero(sizes)
+                digests = [xxhash.xxh3_128_intdigest(values[a:b].tobytes()) for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+                # An empty set has no bands and no sketch.
+                has = np.append(0, np.cumsum(sizes > 0)).astype(np.int32)
+                banded = band_keys(shingles.minhashes(values, (ends - sizes)[some], bands * rows), bands, rows)
+                empty = pa.array(sizes == 0)
+                keys = pa.ListArray.from_arrays(pa.array(has * bands, pa.int32()), pa.array(banded.ravel()), mask=empty)
+                sketch = odd_sketches(values, sizes[some])
+                bits = pa.Array.from_buffers(pa.binary(sketch.shape[1]), len(some), [None, pa.py_buffer(sketch)]).cast(pa.binary())
+                sketch = bits.take(pa.array(np.where(sizes > 0, has[:-1], 0), mask=sizes == 0))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(sizes)), pa.array(sizes.astype(np.int64)), pa.array([(x >> 64) - 2**63 for x in digests], pa.int64()),
+                     pa.array([(x & (2**64 - 1)) - 2**63 for x in digests], pa.int64()), keys, sketch],
+                    names=["id", "n", "high", "low", "keys", "sketch"])
+                at += len(sizes)
+            release(pa)
 
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -81,8 +102,12 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
         import pyarrow as pa
 
         for batch in batches:
-            sets = [values.view(np.int64) for values in shingles.shingle_sets(batch.column(1).to_pylist(), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+            at = 0
+            for values, sizes in shingles.shingle_blocks(batch.column(1).to_pylist(), width):
+                sets = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sizes)), sets], names=["id", "set"])
+                at += len(sizes)
+            release(pa)
 
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -139,8 +164,8 @@ class _Bucket:
             if m <= SMALL or all_pairs:
                 a, b = _triangle(int(m))
                 groups = self.starts[sizes == m]
-                for at in range(0, len(groups), max(1, 200_000 // len(a))):
-                    some = groups[at:at + max(1, 200_000 // len(a)), None]
+                for at in range(0, len(groups), max(1, PAIRS // len(a))):
+                    some = groups[at:at + max(1, PAIRS // len(a)), None]
                     yield self._chosen((some + a).ravel(), (some + b).ravel())
         for s, e in zip(self.starts, ends):
             if e - s > (64 if all_pairs else SMALL):
@@ -200,6 +225,8 @@ def candidate_pairs(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame
             found = np.concatenate([np.zeros((0, 2), np.int64), *seen])
             found = np.unique(np.sort(found, axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+        del carried
+        release(pa)
 
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = (rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))

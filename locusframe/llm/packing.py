@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.llm.byte_bpe import blocks
-from locusframe.llm.common import cut_compressed, number_rows, ship, small_batches
+from locusframe.llm.common import cut_compressed, number_rows, release, ship, small_batches
 from locusframe.llm.word_coder import WordCoder
 
 BLOCK_CHARS = 1_000_000
@@ -51,6 +51,7 @@ def windows(docs: DataFrame, path: str, window: int = 2048, end: int = 1, id_col
                     pa.array(part, pa.binary())],
                     names=["doc", "piece", "doc_tokens", "start", "length", "ids"])
                 at, count = at + len(block), count + len(cuts)
+            release(pa)
 
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

@@ -73,15 +73,36 @@ def _hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix(out), starts
 
 
-def shingle_sets(texts: list[str], width: int = 5) -> Iterator[np.ndarray]:
-    """The sorted set of shingle hashes of each text; many short texts are hashed together."""
+def words_of(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word hashes of many texts behind each other, a bounded part at a time, and where each text begins and the last one ends."""
     for block in blocks(texts, PART // 4):
         raw = [text.encode() for text in block]
         words, starts = _hashed(b"\n".join(raw))
-        whole = shingles(words, width)
-        cuts = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raw)])).tolist()
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            yield distinct(whole[a:b - width + 1] if b - a >= width else shingles(words[a:b], width))
+        yield words, np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raw)]))
+
+
+def shingle_blocks(texts: list[str], width: int = 5) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sorted sets of shingle hashes of the texts behind each other, a bounded part at a time, and their sizes."""
+    for words, cuts in words_of(texts):
+        whole, size = shingles(words, width), np.diff(cuts)
+        n = np.where(size < width, np.minimum(size, 1), size - width + 1)
+        ends = np.cumsum(n)
+        place = np.arange(ends[-1]) + np.repeat(cuts[:-1] - ends + n, n)
+        values = whole[np.minimum(place, len(whole) - 1)]
+        for k in np.flatnonzero((size > 0) & (size < width)).tolist():
+            values[ends[k] - 1] = shingles(words[cuts[k]:cuts[k + 1]], width)[0]
+        for at, to in zip((ends - n).tolist(), ends.tolist()):
+            values[at:to].sort()
+        row = np.repeat(np.arange(len(n)), n)
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (values[1:] != values[:-1])
+        yield values[new], np.bincount(row[new], minlength=len(size))
+
+
+def shingle_sets(texts: list[str], width: int = 5) -> Iterator[np.ndarray]:
+    """The sorted set of shingle hashes of each text; many short texts are hashed together."""
+    for values, sizes in shingle_blocks(texts, width):
+        yield from np.split(values, np.cumsum(sizes)[:-1])
 
 
 def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
@@ -113,6 +134,22 @@ def minhash(values: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
+def minhashes(values: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
+    """``minhash`` of many sets: ``values`` holds them behind each other, none empty, from ``starts`` on."""
+    factors, shifts = odd_numbers(count, 32, 32)[:, None], odd_numbers(count, 33, 32)[:, None]
+    short, ends = (values >> np.uint64(32)).astype(np.uint32), np.append(starts[1:], len(values))
+    out, at = np.empty((len(starts), count), np.uint32), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + 2048, "right")))
+        if to == at + 1:
+            out[at] = minhash(values[starts[at]:ends[at]], count)
+        else:
+            part = short[None, starts[at]:ends[to - 1]] * factors + shifts
+            out[at:to] = np.minimum.reduceat(part, starts[at:to] - starts[at], axis=1).T
+        at = to
+    return out
+
+
 def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit key per band (last axis of the signature), distinct between bands."""
     part = signature.reshape(*signature.shape[:-1], bands, rows).astype(np.uint64)

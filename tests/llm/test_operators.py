@@ -564,3 +564,44 @@ def test_pipeline_stages_follow_each_other(spark, docs, empty, tmp_path):
     assert len(left[1]) == len({plain(TEXTS[i]) for i in left[0]})
     assert left[3] <= left[2] <= left[1] and set(range(42, 62)) <= left[3] == left[4]
     assert corpus_pipeline.STAGES[-1][1](spark, empty, "").count() == 0
+
+
+def test_pairs_of_many_buckets_are_judged_a_bounded_number_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    groups, m, bands, rng = 150, 60, 40, np.random.default_rng(5)
+    n = groups * m
+    keys = rng.integers(0, 2**62, (n, bands))
+    keys[:, 0] = np.repeat(np.arange(groups), m)
+    sketch = near_dedup.odd_sketch(np.unique(rng.integers(0, 2**64 - 1, 300, np.uint64)))
+    zero = pa.array(np.zeros(n, np.int32))
+    table = pa.table({"key": keys[:, 0], "low_part": zero, "high_part": zero, "id": np.arange(n), "n": np.full(n, 300), "sketch": [sketch] * n,
+                      "keys": pa.array(list(keys)), "part": zero, "label": np.arange(n)})
+    bucket = near_dedup._Bucket(table, 80)
+    tracemalloc.start()
+    found = sum(len(i) for i, _ in bucket.pairs(True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == groups * m * (m - 1) // 2
+    assert peak < 30e6  # before 200,000 pairs were judged at once, with copies of their sketches and keys
+
+
+def test_short_lines_are_hashed_and_sketched_together(monkeypatch):
+    from locusframe.llm import shingles
+
+    rng = np.random.default_rng(6)
+    texts = ["", " ", "one", "a b c d", "a b c d e", "same " * 60, *(" ".join(f"w{k}" for k in rng.integers(0, 50, size)) for size in rng.integers(0, 90, 300)),
+             " ".join(map(str, range(5000)))]
+    single = [shingles.distinct(shingles.shingles(shingles.word_hashes(text))) for text in texts]
+    values, sizes = (np.concatenate(x) for x in zip(*shingles.shingle_blocks(texts)))
+    assert sizes.tolist() == [len(x) for x in single] and (values == np.concatenate(single)).all()
+    one_by_one = [shingles.minhash(x, 48) for x in single if len(x)]
+    calls = []
+    monkeypatch.setattr(shingles, "minhash", lambda x, n, f=shingles.minhash: calls.append(1) or f(x, n))
+    starts, full = np.cumsum(sizes) - sizes, sizes > 0
+    assert (shingles.minhashes(values, starts[full], 48) == one_by_one).all()
+    assert len(calls) == 1  # of the one long text
+    sketches = near_dedup.odd_sketches(values, sizes[full])
+    assert [x.tobytes() for x in sketches] == [near_dedup.odd_sketch(x) for x in single if len(x)]
