@@ -19,14 +19,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import cut_compressed, cut_lineage, join_counted, scratch, ship, small_batches
+from locusframe.llm.common import cut_compressed, cut_lineage, join_counted, release, scratch, ship, small_batches
 from locusframe.llm.near_dedup import near_duplicates
-from locusframe.llm.shingles import mix, odd_numbers, shingles, word_hashes
+from locusframe.llm.shingles import mix, odd_numbers, shingles, words_of
 from locusframe.session import broadcast_if_small
 
 #: Words of a window, and shingle positions one of which begins a window: a copied passage of
 #: WINDOW + REACH - 1 words or more holds a window entirely.
 WINDOW, REACH = 32, 16
+#: Words of a shingle.
+WIDTH = 5
 #: Words of the shortest paragraph that is compared.
 SHORTEST = 20
 PERCENT, BANDS, ROWS = 80, 12, 4
@@ -53,6 +55,7 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc, pa.int64()), pa.array(first, pa.int64()), pa.array(words, pa.int64()), pa.array(lines, pa.string())],
                 names=["doc", "first", "words", "line"])
+            release(pa)
 
     return _texts(docs, id_col, text_col).mapInArrow(
         run, "doc bigint, first bigint, words bigint, line string").withColumn("id", F.monotonically_increasing_id())
@@ -65,33 +68,42 @@ def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         factors = odd_numbers(2 * WINDOW, 51).reshape(2, WINDOW)
         for batch in batches:
-            doc, first, high, low = [], [], [], []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = word_hashes(text)
-                if len(words) < WINDOW:
-                    continue
-                start = anchors(shingles(words))
-                start = start[start + WINDOW <= len(words)]
-                some = words[start[:, None] + np.arange(WINDOW)]
-                doc.append(np.full(len(start), name, np.int64))
-                first.append(start)
-                high.append(mix((some * factors[0]).sum(axis=1, dtype=np.uint64)).view(np.int64))
-                low.append(mix((some * factors[1]).sum(axis=1, dtype=np.uint64)).view(np.int64))
-            columns = [np.concatenate([np.zeros(0, np.int64), *c]) for c in (high, low, doc, first)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["high", "low", "doc", "first"])
+            at = 0
+            for words, cuts in words_of(batch.column(1).to_pylist()):
+                size = np.diff(cuts)
+                place = anchors(shingles(words), cuts[:-1], np.maximum(size - WIDTH + 1, 0))
+                row = np.searchsorted(cuts, place, "right") - 1
+                whole = place + WINDOW <= cuts[row + 1]
+                place, row = place[whole], row[whole]
+                high, low = np.zeros(len(place), np.uint64), np.zeros(len(place), np.uint64)
+                for k in range(WINDOW):
+                    some = words[place + k]
+                    high += some * factors[0, k]
+                    low += some * factors[1, k]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(mix(high).view(np.int64)), pa.array(mix(low).view(np.int64)),
+                     batch.column(0).take(pa.array(at + row)), pa.array(place - cuts[row])], names=["high", "low", "doc", "first"])
+                at += len(size)
+            release(pa)
 
     return _texts(docs, id_col, text_col).mapInArrow(run, "high bigint, low bigint, doc bigint, first bigint")
 
 
-def anchors(values: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Positions that hold the smallest of some ``reach`` consecutive values, the last of equal ones."""
-    if len(values) <= reach:
-        return np.array([len(values) - 1 - int(np.argmin(values[::-1]))])
-    found = []
-    for at in range(0, len(values) - reach + 1, 100_000):
-        view = np.lib.stride_tricks.sliding_window_view(values[at:at + 100_000 + reach - 1], reach)
-        found.append(at + np.arange(len(view)) + reach - 1 - np.argmin(view[:, ::-1], axis=1))
-    return np.unique(np.concatenate(found))
+def anchors(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """Positions that hold the smallest of some ``reach`` consecutive values of one run, the last of equal ones.
+
+    Runs have ``sizes`` values from ``starts`` on; those of fewer than ``reach`` give none.
+    """
+    least, where, width = values, np.arange(len(values)), 1
+    while width < reach and len(least):  # of ``width`` values from each position on; two such stretches make the next, whatever they share
+        step = min(width, reach - width)
+        right = least[step:] <= least[:-step]
+        least, where = np.where(right, least[step:], least[:-step]), np.where(right, where[step:], where[:-step])
+        width += step
+    n = np.maximum(sizes - reach + 1, 0)
+    first = np.repeat(starts - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    found = where[first]  # never falls from one position to the next
+    return found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -165,6 +177,7 @@ def word_totals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             n = [len((text.as_py() or "").encode().split()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc", "n_words"])
+            release(pa)
 
     ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc bigint, n_words bigint")

@@ -605,3 +605,15 @@ def test_short_lines_are_hashed_and_sketched_together(monkeypatch):
     assert len(calls) == 1  # of the one long text
     sketches = near_dedup.odd_sketches(values, sizes[full])
     assert [x.tobytes() for x in sketches] == [near_dedup.odd_sketch(x) for x in single if len(x)]
+
+
+def test_windows_of_many_texts_begin_where_those_of_one_do():
+    rng = np.random.default_rng(7)
+    sizes = np.array([0, 1, 15, 16, 17, 40, 0, 300])
+    values = rng.integers(0, 9, sizes.sum()).astype(np.uint64)  # many are equal
+    starts, expected = np.cumsum(sizes) - sizes, []
+    for start, size in zip(starts, sizes):
+        for at in range(start, start + size - passage_dedup.REACH + 1):
+            some = values[at:at + passage_dedup.REACH]
+            expected.append(int(at + max(np.flatnonzero(some == some.min()))))
+    assert passage_dedup.anchors(values, starts, sizes).tolist() == sorted(set(expected))
