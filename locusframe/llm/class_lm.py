@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.llm.byte_bpe import blocks
-from locusframe.llm.common import cut_compressed, cut_lineage, ship, small_batches
+from locusframe.llm.common import cut_compressed, cut_lineage, release, ship, small_batches
 
 #: Words that the driver clusters to begin with, classes, sweeps over them, and words whose counts every worker holds.
 CLUSTERED, CLASSES, SWEEPS, HEAD = 1024, 64, 4, 65_536
@@ -44,13 +44,12 @@ BLOCK_CHARS = 2_000_000
 END = ""  # no word is empty
 
 
+#: Open class of a word by its last byte.
+SHAPES = bytes(0 if chr(b).isalpha() or b >= 128 else 1 if chr(b).isdigit() else {46: 2, 44: 3, 58: 4, 59: 4, 33: 5, 63: 5}.get(b, 6) for b in range(256))
+
+
 def shape(word: bytes) -> int:
-    last = word[-1:]
-    if last.isalpha() or last >= b"\x80":
-        return 0
-    if last.isdigit():
-        return 1
-    return {b".": 2, b",": 3, b":": 4, b";": 4, b"!": 5, b"?": 5}.get(last, 6)
+    return SHAPES[word[-1]]
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -66,7 +65,7 @@ def word_counts(rows: DataFrame, text_col: str) -> DataFrame:
         def out(held):
             words = list(held)
             return pa.RecordBatch.from_arrays(
-                [pa.array([w.decode() for w in words], pa.string()), pa.array([shape(w) if w else -1 for w in words], pa.int32()),
+                [pa.array(words, pa.string()), pa.array([SHAPES[w[-1]] if w else -1 for w in words], pa.int32()),
                  pa.array(held.values(), pa.int64())], names=["word", "open", "n"])
 
         held: Counter = Counter()
@@ -264,15 +263,19 @@ def moves(profiles: DataFrame, m: np.ndarray, to: np.ndarray | None = None) -> D
 
         (m, to), cells = shared.value, np.zeros(KINDS * KINDS, np.int64)
         for word, at, n in _by_word(batches):
-            names, where = np.unique(word, return_inverse=True)
+            new = np.concatenate([[True], word[1:] != word[:-1]])
+            names, where = word[new], np.cumsum(new) - 1
             cls = to[names] if to is not None else CLASSES + (names & 7)
-            for low in range(0, len(names), JUDGED):
-                a, b = np.searchsorted(where, [low, low + JUDGED])
-                k = min(JUDGED, len(names) - low)
-                slot = at[a:b] if to is not None else at[a:b] % (2 * KINDS)
-                profile = np.bincount((where[a:b] - low) * (2 * KINDS + 1) + slot, n[a:b], k * (2 * KINDS + 1)).reshape(k, -1)
-                often = profile[:, :KINDS].sum(axis=1) + profile[:, 2 * KINDS] > 1
-                cls[low:low + k][often] = best_classes(m, profile[often], cls[low:low + k][often])
+            slot = at if to is not None else at % (2 * KINDS)
+            follows = (slot < KINDS) | (slot == 2 * KINDS)
+            often = np.bincount(where[follows], n[follows], len(names)) > 1
+            some, kept = np.flatnonzero(often), often[where]
+            place, slot, count = (np.cumsum(often) - 1)[where[kept]], slot[kept], n[kept]
+            for low in range(0, len(some), JUDGED):
+                a, b = np.searchsorted(place, [low, low + JUDGED])
+                who = some[low:low + JUDGED]
+                profile = np.bincount((place[a:b] - low) * (2 * KINDS + 1) + slot[a:b], count[a:b], len(who) * (2 * KINDS + 1)).reshape(len(who), -1)
+                cls[who] = best_classes(m, profile, cls[who])
             if to is None:
                 held, mine = at < 2 * KINDS, cls[where]
                 side, kind = np.divmod(at, KINDS)
@@ -303,7 +306,7 @@ class _Ids(dict):
         import xxhash
 
         value = self[word] = KINDS + len(self.ids)
-        x = xxhash.xxh64_intdigest(word, seed=42) & ~7 | shape(word)  # as Spark's xxhash64
+        x = xxhash.xxh64_intdigest(word, seed=42) & ~7 | SHAPES[word[-1]]  # as Spark's xxhash64
         self.ids.append(x - (1 << 64) if x >> 63 else x)
         return value
 
@@ -529,37 +532,39 @@ def _likelihood(m: np.ndarray) -> float:
     return float((m * np.log(np.maximum(m, 1))).sum() - 2 * (size * np.log(np.maximum(size, 1))).sum())
 
 
+@dataclass(frozen=True)
+class Head:
+    """Words with a count in the model: their places, the end first, and values by place; the last ones are of all other words."""
+
+    places: dict[bytes, int]
+    base: np.ndarray
+    emission: np.ndarray
+    kind: np.ndarray  # class, -1 of other words
+
+    @classmethod
+    def of(cls, model: Model) -> Head:
+        end = int(model.size[model.classes[END_UNIT]])
+        rows = [(model.base(end), model.emission(end, END_UNIT) if end else model.base(0), model.classes[END_UNIT])]
+        for word, n in model.counts.items():
+            unit = model.units.get(word, CLUSTERED + shape(word))
+            rows.append((model.base(n), model.emission(n, unit), model.classes[unit]))
+        base, emission, kind = (np.array(x) for x in zip(*rows, (0.0, 0.0, -1)))
+        return cls({END.encode(): 0, **{word: k for k, word in enumerate(model.counts, 1)}}, base, emission, kind.astype(np.int64))
+
+
 class _Known(dict):
-    """Number of each word that a task has met; ``fresh`` are those without an entry in the arrays of values yet."""
+    """Number of each word that a task has met: its place in the head, or from there on others, which are listed."""
 
-    def __init__(self, model: Model):
-        self.model, self.fresh = model, [END.encode()]
-        self[b""] = 0
-        self.base, self.emission = np.zeros(0), np.zeros(0)
-        self.kind, self.open, self.head = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-        self.words: list[str] = []
+    def __init__(self, head: Head):
+        super().__init__(head.places)
+        self.others: list[bytes] = []
+        self.head = len(head.places)
 
     def __missing__(self, word: bytes) -> int:
-        value = self[word] = len(self)
-        self.fresh.append(word)
+        value = self[word] = self.head + len(self.others)
+        self.others.append(word)
         return value
 
-    def fill(self) -> None:
-        """Values of the fresh words; those outside the head have none here, and -1 as class."""
-        m, rows = self.model, []
-        for word in self.fresh:
-            unit = m.units.get(word, CLUSTERED + shape(word)) if word else END_UNIT
-            n = m.counts.get(word, 0) if word else int(m.size[m.classes[END_UNIT]])
-            head = bool(n) or not word
-            rows.append((m.base(n) if head else 0.0, (m.emission(n, unit) if n else m.base(0)) if head else 0.0,
-                         m.classes[unit] if head else -1, shape(word) if word else -1, head))
-        if rows:
-            base, emission, kind, opened, head = zip(*rows)
-            self.base, self.emission = np.append(self.base, base), np.append(self.emission, emission)
-            self.kind, self.open, self.head = np.append(self.kind, kind), np.append(self.open, opened), np.append(self.head, head)
-            self.words += [w.decode() for w in self.fresh]
-            self.fresh = []
-
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``id_col``, n_tokens, n_known, train_tokens, base_score and score (log10 probability of the text).
@@ -569,44 +574,47 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     counts and classes, one row per place in a text.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared, of_head = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(Head.of(model))  # at most HEAD words
 
     def run(batches) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        m, row = shared.value, TaskContext.get().partitionId() << 33
-        own, end_known = _Known(m), int(m.size[m.classes[END_UNIT]] > 0)
+        m, values, row = shared.value, of_head.value, TaskContext.get().partitionId() << 33
+        own, end_known = _Known(values), int(m.size[m.classes[END_UNIT]] > 0)
         for batch in batches:
             at = 0
             for block in blocks((text.as_py() or "" for text in batch.column(1)), BLOCK_CHARS):
-                if len(own) > CACHE:
-                    own = _Known(m)
+                if len(own.others) > CACHE:
+                    own = _Known(values)
                 parts = [tokens(text) for text in block]
                 size = np.fromiter(map(len, parts), np.int64, len(parts))
                 ids = np.fromiter(map(own.__getitem__, chain.from_iterable(parts)), np.int64, int(size.sum()))
-                own.fill()
                 # Each text is its words and the end; what comes before its first word is an end, too.
                 line = np.insert(ids, np.cumsum(size), 0)
                 first = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-                kind = own.kind[line]
-                before = np.concatenate([own.kind[:1], kind[:-1]])
+                head = line < own.head
+                at_head = np.where(head, line, own.head)
+                kind = values.kind[at_head]
+                before = np.concatenate([values.kind[:1], kind[:-1]])
                 step = np.where((before >= 0) & (kind >= 0), m.transition[before, kind], 0.0)
-                head = own.head[line]
                 place = np.flatnonzero(~head)
+                words = [own.others[k] for k in (line[place] - own.head).tolist()]
                 text = np.repeat(np.arange(len(block)), size + 1)[place]
                 others = pa.ListArray.from_arrays(
                     pa.array(np.searchsorted(text, np.arange(len(block) + 1)).astype(np.int32)),
                     pa.StructArray.from_arrays(
-                        [pa.array([own.words[k] for k in line[place].tolist()], pa.string()), pa.array((place - first[text]).astype(np.int32)),
-                         *(pa.array(x.astype(np.int8)) for x in (before[place], kind[np.minimum(place + 1, len(kind) - 1)], own.open[line[place]]))],
+                        [pa.array(words, pa.string()), pa.array((place - first[text]).astype(np.int32)),
+                         *(pa.array(x.astype(np.int8)) for x in (before[place], kind[np.minimum(place + 1, len(kind) - 1)])),
+                         pa.array([SHAPES[w[-1]] for w in words], pa.int8())],
                         names=["word", "pos", "before", "after", "open"]))
                 known = np.add.reduceat(head.astype(np.int64), first) - (1 - end_known)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(block)), pa.array(np.arange(row, row + len(block))), pa.array(size + 1), pa.array(known),
-                     pa.array(np.add.reduceat(own.base[line], first)), pa.array(np.add.reduceat(own.emission[line] + step, first)), others],
+                     pa.array(np.add.reduceat(values.base[at_head], first)), pa.array(np.add.reduceat(values.emission[at_head] + step, first)), others],
                     names=["id", "row", "n_tokens", "n_known", "base", "whole", "other"])
                 at, row = at + len(block), row + len(block)
+            release(pa)
 
     kind = docs.schema[id_col].dataType.simpleString()
     with small_batches(spark):
@@ -614,7 +622,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
             run, f"id {kind}, row bigint, n_tokens bigint, n_known bigint, base double, whole double, "
                  "other array<struct<word: string, pos: int, before: tinyint, after: tinyint, open: tinyint>>"))
     words = local.select("row", F.explode("other").alias("x")).select("row", "x.*")
-    placed = (words.join(counts.select("word", "n", "cls"), "word", "left")
+    # A word is one row of its counts, so a task's part of them is small and need not be sorted.
+    placed = (words.join(counts.select("word", "n", "cls").hint("shuffle_hash"), "word", "left")
               .select("row", "pos", "before", "after", F.coalesce("n", F.lit(0)).cast("long").alias("n"),
                       F.coalesce("cls", F.lit(CLASSES) + F.col("open")).cast("int").alias("cls")))
 

@@ -617,3 +617,20 @@ def test_windows_of_many_texts_begin_where_those_of_one_do():
             some = values[at:at + passage_dedup.REACH]
             expected.append(int(at + max(np.flatnonzero(some == some.min()))))
     assert passage_dedup.anchors(values, starts, sizes).tolist() == sorted(set(expected))
+
+
+def test_values_of_the_head_are_made_once_and_other_words_are_only_listed():
+    size = np.full(class_lm.KINDS, 50.0)
+    classes = np.concatenate([np.zeros(class_lm.CLUSTERED, np.int64), class_lm.CLASSES + np.arange(class_lm.OPEN + 1), np.arange(class_lm.CLASSES)])
+    model = class_lm.Model(1000, 9, {b"often": 30, b"held": 4, b"5": 1}, {b"often": 0, b"held": class_lm.UNITS + 3}, classes,
+                           np.zeros((class_lm.KINDS, class_lm.KINDS)), size, np.full(class_lm.OPEN, 2.0), 0.5)
+    head = class_lm.Head.of(model)
+    own = class_lm._Known(head)
+    assert [own[w] for w in (b"", b"often", b"held", b"5", b"new", b"new.", b"new")] == [0, 1, 2, 3, 4, 5, 4]
+    assert own.others == [b"new", b"new."]
+    assert head.kind.tolist() == [class_lm.KINDS - 1, 0, 3, class_lm.CLASSES + 1, -1]
+    units = [class_lm.END_UNIT, 0, class_lm.UNITS + 3, class_lm.CLUSTERED + 1]
+    for k, (n, unit) in enumerate(zip((50, 30, 4, 1), units)):
+        assert head.base[k] == model.base(n) and head.emission[k] == model.emission(n, unit)
+    assert head.base[4] == head.emission[4] == 0
+    assert all(class_lm.shape(w) == k for w, k in ((b"a", 0), ("é".encode(), 0), (b"a7", 1), (b"a.", 2), (b"a,", 3), (b"a;", 4), (b"a?", 5), (b"a)", 6)))
