@@ -319,6 +319,15 @@ def test_sinks(spark, tmp_path):
     assert sinks.output_manifest(spark, str(tmp_path / "f"), "r").where("name LIKE 'part-%'").count() == 1
 
 
+def test_manifest_leaves_out_empty_parts_beside_others_only(spark, tmp_path):
+    """An empty FASTA is an output, and so are empty files of other names."""
+    for name, text in {"f/part-0": "", "f/part-1": ">x", "f/empty": "", "g/part-0": "", "part-0": "", "h/part-0": "y"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    assert rows(sinks.output_manifest(spark, str(tmp_path), "r"), "run_id", "name", "size_bytes") == [
+        ("r", "f/empty", 0), ("r", "f/part-1", 2), ("r", "g/part-0", 0), ("r", "h/part-0", 1), ("r", "part-0", 0)]
+
+
 # --- whole jobs ------------------------------------------------------------
 
 @pytest.fixture(scope="module")
